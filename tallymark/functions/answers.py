@@ -205,3 +205,25 @@ def parse_rows(text: Column, response_type: Column) -> Column:
         response_type == "tsv", parse_tabular_rows(tabular_text(trimmed))
     )
     return F.transform(raw, clean_row)
+
+
+def example_concepts(answer: Column, response_type: Column) -> Column:
+    """Distinct concepts of a stored example answer, read without clean-up."""
+
+    def named(rows: Column) -> Column:
+        return F.array_distinct(
+            F.transform(rows, lambda r: _last(F.filter(r, lambda e: e["k"] == "Key Concept"))["v"])
+        )
+
+    table = F.transform(
+        F.array(_table(answer, "\t")),
+        lambda t: F.transform(
+            F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))),
+            lambda cells: F.transform(
+                F.get(t, F.lit(0)), lambda name, i: F.struct(name.alias("k"), F.get(cells, i).alias("v"))
+            ),
+        ),
+    )
+    return F.when(response_type == "tsv", named(F.flatten(table))).when(
+        response_type == "json", named(parse_json_rows(answer))
+    )
