@@ -1 +1,213 @@
+"""Queries over whole plans: labelling, evaluation, sources and sinks, stream."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallymark.catalog.answer_queries import graded
+from tallymark.catalog.inputs import CTES, GROUP, RUN, STUDENT, Inputs
+from tallymark.catalog.registry import query
+from tallymark.dims import LESSONS, RUN_KEY, STUDENT_KEY
+from tallymark.functions import text
+from tallymark.operators import metrics
+from tallymark.plans import evaluate, label
+from tallymark.session import materialize, shared_folder
+from tallymark.sources import writers
+from tallymark.streaming import requests as request_stream
+
+CTES["live_student"] = f"SELECT * FROM student ANTI JOIN blank_student USING ({STUDENT})"
+# A program that holds a comment only has no statement at all.
+_NO_STATEMENTS = "(sid % 13 = 1)"
+CTES["expected"] = f"""SELECT {STUDENT}, sid, key_concept, observations, evidence, label, reason FROM
+  (SELECT {STUDENT}, key_concept, '' AS observations, CASE WHEN {_NO_STATEMENTS} THEN '' ELSE evidence END AS evidence,
+   CASE WHEN NOT {_NO_STATEMENTS} THEN label WHEN key_concept = 'Modularity - Multiple Sprites' AND lesson = '{LESSONS[3]}'
+   THEN 'Limited Evidence' ELSE 'No Evidence' END AS label, sid FROM rule_result JOIN live_student USING ({STUDENT}))
+  JOIN (SELECT {STUDENT}, key_concept FROM graded) USING ({GROUP})
+  JOIN (SELECT {RUN}, key_concept, l.label, key_concept || ' / ' || l.label AS reason FROM rubric, scale l WHERE mode = 'exact')
+  USING ({RUN}, key_concept, label)
+  UNION ALL
+  SELECT {STUDENT}, sid, key_concept, observations,
+  regexp_replace(evidence, 'Lines? (\\d+), \\d*, (\\d+)', 'Lines \\1-\\2', 'g'), label, reason
+  FROM graded JOIN live_student USING ({STUDENT}) ANTI JOIN (SELECT key_concept, tree_lesson AS lesson FROM asked) USING (lesson, key_concept)
+  UNION ALL
+  SELECT {STUDENT}, sid, key_concept, 'The program is empty.', '', 'No Evidence', 'The program is empty.'
+  FROM blank_student JOIN rubric USING ({RUN})"""
+
+
+def labelled(i: Inputs, cache=None):
+    return label.label_submissions(
+        i.submissions(), i.rubric_levels(), i.params(), i.responses(), cache=cache,
+        keep_facts=lambda facts: materialize(facts, "facts"),
+    )
+
+
+@query("m1_label_submissions", f"SELECT {STUDENT}, key_concept, observations, evidence, label, reason FROM expected")
+def _(i):
+    return evaluate.predicted_labels(labelled(i)).drop("pos")
+
+
+@query(
+    "m4_failed_students",
+    f"""SELECT {STUDENT}, CASE WHEN b.sid IS NOT NULL THEN 'ok' ELSE outcome END AS outcome,
+    CASE WHEN b.sid IS NOT NULL THEN 'static' ELSE 'openai, code feature extractor' END AS agent
+    FROM outcomes o LEFT JOIN blank_student b USING ({STUDENT})""",
+)
+def _(i):
+    return labelled(i).select(*STUDENT_KEY, "outcome", "agent")
+
+
+@query(
+    "d2_rule_override",
+    f"""SELECT {STUDENT}, key_concept, label FROM expected ANTI JOIN blank_student USING ({STUDENT})
+    JOIN (SELECT key_concept, tree_lesson AS lesson FROM asked) USING (lesson, key_concept)""",
+)
+def _(i):
+    rows = evaluate.predicted_labels(labelled(i).where("agent <> 'static'"))
+    return rows.join(i.requested(), [*RUN_KEY, "key_concept"], "left_semi").select(*STUDENT_KEY, "key_concept", "label")
+
+
+@query("d11_blank_join", f"SELECT {RUN}, count(*) AS n_rows FROM blank_student JOIN rubric USING ({RUN}) GROUP BY {RUN}")
+def _(i):
+    blank = label.blank_results(label.prepare(i.submissions(), i.params()), label.rubric_concepts(i.rubric_levels()))
+    return blank.groupBy(*RUN_KEY).agg(F.sum(F.size("data")).alias("n_rows"))
+
+
+@query(
+    "b30_result_envelope",
+    f"SELECT {STUDENT}, 'static' AS agent, student_id AS named, CAST(4 AS BIGINT) AS n_rows FROM blank_student",
+)
+def _(i):
+    blank = label.blank_results(label.prepare(i.submissions(), i.params()), label.rubric_concepts(i.rubric_levels()))
+    document = label.result_envelope(blank)
+    return document.select(
+        *STUDENT_KEY,
+        F.get_json_object("result", "$.metadata.agent").alias("agent"),
+        F.get_json_object("result", "$.metadata.student_id").alias("named"),
+        F.json_array_length(F.get_json_object("result", "$.data")).cast("bigint").alias("n_rows"),
+    )
+
+
+# Human labels of the runs: the label of the student's first answer, with
+# labels off the scale read as Limited Evidence.
+CTES["human"] = f"""SELECT {GROUP}, arg_min(CASE label WHEN 'invalid label' THEN 'Limited Evidence' ELSE label END, choice) AS label
+  FROM answers GROUP BY {GROUP}"""
+
+
+def _human(i: Inputs):
+    known = F.when(F.col("label") == "invalid label", "Limited Evidence").otherwise(F.col("label"))
+    return i.answers().groupBy(*STUDENT_KEY, "key_concept").agg(F.min_by(known, "choice").alias("label"))
+
+
+def _evaluated(i: Inputs):
+    return evaluate.evaluate_runs(materialize(labelled(i), "labelled"), _human(i), i.params())
+
+
+@query(
+    "m3_evaluation",
+    f"""SELECT {RUN}, key_concept, mode, count(*) AS n,
+    CAST(sum(CAST(CASE mode WHEN 'exact' THEN e.label = h.label ELSE (e.label IN ('Extensive Evidence', 'Convincing Evidence')) =
+    (h.label IN ('Extensive Evidence', 'Convincing Evidence')) END AS INT)) AS BIGINT) AS n_equal
+    FROM expected e JOIN human h USING ({GROUP}) CROSS JOIN (VALUES ('exact'), ('pass_fail')) AS m(mode)
+    GROUP BY {RUN}, key_concept, mode""",
+)
+def _(i):
+    predicted = evaluate.predicted_labels(labelled(i))
+    pairs = metrics.in_both_modes(metrics.label_pairs(metrics.match_labels(predicted, _human(i))))
+    acc = metrics.accuracy(pairs).where(~F.col("overall"))
+    return acc.select(*RUN_KEY, "key_concept", "mode", "n", "n_equal")
+
+
+@query("l4_run_headers")
+def _(i):
+    return _evaluated(i)["headers"]
+
+
+@query("a11_report_tables")
+def _(i):
+    """Write all report tables, then count the rows of each."""
+    path = shared_folder(i.spark, "report")
+    tables = _evaluated(i)
+    writers.write_tables(tables, path)
+    counts = [
+        i.spark.read.schema(t.schema).parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows"))
+        for n, t in tables.items()
+    ]
+    result = counts[0]
+    for more in counts[1:]:
+        result = result.unionByName(more)
+    return result
+
+
+@query("a10_confidence_tables")
+def _(i):
+    path = shared_folder(i.spark, "confidence")
+    tables = metrics.evaluate(i.voted(), i.actual())
+    kept = {n: tables[n] for n in ("confidence_pass_fail", "confidence_exact")}
+    writers.write_tables(kept, path, fmt="json")
+    return i.spark.read.schema(kept["confidence_exact"].schema).json(f"{path}/confidence_exact")
+
+
+@query("a8_result_cache", f"SELECT {STUDENT}, outcome FROM outcomes ANTI JOIN blank_student USING ({STUDENT}) WHERE outcome = 'ok'")
+def _(i):
+    path = shared_folder(i.spark, "results")
+    writers.write_cache(labelled(i), path)
+    return writers.read_cache(i.spark, path).select(*STUDENT_KEY, "outcome")
+
+
+@query("a7_resume_from_cache", f"SELECT {STUDENT}, key_concept, label FROM expected")
+def _(i):
+    """A second run that finds the valid results of the first one."""
+    path = shared_folder(i.spark, "results")
+    writers.write_cache(labelled(i), path)
+    again = labelled(i, cache=writers.read_cache(i.spark, path))
+    return evaluate.predicted_labels(again).select(*STUDENT_KEY, "key_concept", "label")
+
+
+@query("m5_request_stream", f"SELECT {STUDENT}, key_concept, observations, evidence, label, reason FROM expected")
+def _(i):
+    """Requests written as files, labelled by the stream, read back."""
+    path = shared_folder(i.spark, "requests")
+    requests = i.submissions().join(i.responses(), STUDENT_KEY)
+    requests.write.json(f"{path}/in")
+    stream = request_stream.read_request_stream(i.spark, f"{path}/in")
+    levels, params = materialize(i.rubric_levels(), "rubric"), materialize(i.params(), "params")
+    request_stream.label_stream(stream, levels, params, f"{path}/out", f"{path}/state").awaitTermination()
+    done = i.spark.read.parquet(f"{path}/out").drop("batch")
+    return evaluate.predicted_labels(done).drop("pos")
+
+
+@query("m8_new_labels", f"SELECT {RUN}, student_id AS student, max(label) FILTER (key_concept = 'Concept 3') AS \"Concept 3\" FROM expected GROUP BY {STUDENT}")
+def _(i):
+    return evaluate.new_labels(labelled(i), ["Concept 3"])
+
+
+@query("b31_requests_table", f"SELECT {STUDENT}, 'openai' AS provider, 'gpt-4-0613' AS provider_model, CAST(2 AS BIGINT) AS n_messages FROM live_student")
+def _(i):
+    runs = i.params().select(*RUN_KEY, F.lit("Grade it").alias("prompt"), F.lit("Key Concept").alias("rubric"))
+    runs = runs.withColumn("examples", F.array().cast("array<struct<code:string,answer:string>>"))
+    table = label.requests_table(i.submissions(), i.params(), runs)
+    messages = F.json_array_length(F.get_json_object("body", "$.messages"))
+    return table.select(*STUDENT_KEY, "provider", "provider_model", messages.cast("bigint").alias("n_messages"))
+
+
+@query(
+    "b13_stretch_repair",
+    """SELECT doc_id, replace(lang || ' ' || chr(92) || '"Stretch' || chr(92) || '" ' || source, chr(92) || '"Stretch' || chr(92) || '"', '“Stretch”') AS repaired
+    FROM documents""",
+)
+def _(i):
+    from tallymark.functions.responses import repair_stretch
+
+    raw = F.concat("lang", F.lit(' \\"Stretch\\" '), "source")
+    return i.table("documents").select("doc_id", repair_stretch(raw).alias("repaired"))
+
+
+@query("m1_total_outcomes", f"SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome")
+def _(i):
+    return graded(i).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b3_submission_blanks", f"SELECT {STUDENT}, b.sid IS NOT NULL AS blank FROM student LEFT JOIN (SELECT * FROM blank_student) b USING ({STUDENT})")
+def _(i):
+    prepared = label.prepare(i.submissions(), i.params())
+    return prepared.select(*STUDENT_KEY, text.is_blank(F.col("code")).alias("blank"))

@@ -46,7 +46,6 @@ def _(i):
     return _programs(i).select("doc_id", text.is_blank(text.remove_comments(F.col("code"))).alias("blank"))
 
 
-CTES["rubric"] = f"SELECT DISTINCT {RUN}, key_concept FROM answers"
 CTES["student"] = f"SELECT DISTINCT {STUDENT}, sid FROM answers"
 CTES["blank_student"] = "SELECT * FROM student WHERE sid % 13 = 0 OR (sid % 13 = 1 AND sid % 2 = 1)"
 

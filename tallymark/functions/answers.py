@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallymark.functions.expressions import let
 from tallymark.functions.text import starts_alphanumeric, strip, strip_value
 
 # What Python's lenient JSON reader accepts, and nothing more.
@@ -44,8 +45,7 @@ def parse_json_rows(array_text: Column) -> Column:
 
     A list under Evidence becomes its items joined by blanks.
     """
-    rows = _from_wrapped_json(array_text, "map<string,string>")
-    lists = _from_wrapped_json(array_text, "struct<Evidence:array<string>>")
+    no_list = F.lit(None).cast("struct<Evidence:array<string>>")
 
     def entries(row: Column, listed: Column) -> Column:
         joined = F.array_join(listed["Evidence"], " ")
@@ -59,9 +59,18 @@ def parse_json_rows(array_text: Column) -> Column:
             ),
         )
 
-    return F.when(F.size(lists) == F.size(rows), F.zip_with(rows, lists, entries)).otherwise(
-        F.transform(rows, lambda row: entries(row, F.lit(None).cast("struct<Evidence:array<string>>")))
-    )
+    def combine(parsed: Column) -> Column:
+        rows, lists = parsed["rows"], parsed["lists"]
+        return F.when(F.size(lists) == F.size(rows), F.zip_with(rows, lists, entries)).otherwise(
+            F.transform(rows, lambda row: entries(row, no_list))
+        )
+
+    def parse(text: Column) -> Column:
+        rows = _from_wrapped_json(text, "map<string,string>")
+        lists = _from_wrapped_json(text, "struct<Evidence:array<string>>")
+        return let(F.struct(rows.alias("rows"), lists.alias("lists")), combine)
+
+    return let(array_text, parse)
 
 
 def is_json_array(array_text: Column) -> Column:
@@ -114,24 +123,26 @@ def _table(text: Column, sep: str) -> Column:
 
 def parse_tabular_rows(text: Column) -> Column:
     """Rows under a header line; short rows get NULLs, extra cells are dropped."""
-    ready = drop_rulers(text)
-    sep = delimiter(text)
-    table = (
-        F.when(sep == "\t", _table(ready, "\t")).when(sep == "|", _table(ready, "|")).otherwise(_table(ready, ","))
-    )
 
-    # A one-element transform binds the table, so it is built once.
-    def under_header(t: Column) -> Column:
-        header = F.get(t, F.lit(0))
-        return F.transform(
-            F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))),
-            lambda cells: F.transform(
-                header,
-                lambda name, i: F.struct(name.alias("k"), F.get(cells, i).alias("v")),
-            ),
+    def parse(ready: Column) -> Column:
+        sep = delimiter(ready)
+        table = (
+            F.when(sep == "\t", _table(ready, "\t")).when(sep == "|", _table(ready, "|")).otherwise(_table(ready, ","))
         )
+        return let(table, _under_header)
 
-    return F.flatten(F.transform(F.array(table), under_header))
+    return let(drop_rulers(text), parse)
+
+
+def _under_header(table: Column) -> Column:
+    """Rows of (header cell, cell) entries."""
+    header = F.get(table, F.lit(0))
+    return F.transform(
+        F.slice(table, F.lit(2), F.greatest(F.size(table) - 1, F.lit(0))),
+        lambda cells: F.transform(
+            header, lambda name, i: F.struct(name.alias("k"), F.get(cells, i).alias("v"))
+        ),
+    )
 
 
 def _last(entries: Column) -> Column:
@@ -144,14 +155,23 @@ def clean_row(entries: Column) -> Column:
     def pick(row: Column, key: str) -> Column:
         return _last(F.filter(row, lambda e: e["k"] == key))
 
-    # Keys that needed stripping win over the same key written plainly.
-    plain = F.filter(entries, lambda e: e["k"] == strip(e["k"]))
-    padded = F.filter(entries, lambda e: e["k"] != strip(e["k"]))
     stripped = F.transform(
-        F.concat(plain, padded),
-        lambda e: F.struct(strip(e["k"]).alias("k"), strip_value(e["v"]).alias("v")),
+        entries,
+        lambda e: let(
+            strip(e["k"]),
+            lambda key: F.struct(
+                key.alias("k"), strip_value(e["v"]).alias("v"), (key != e["k"]).alias("padded")
+            ),
+        ),
     )
 
+    # Keys that needed stripping win over the same key written plainly.
+    def in_order(row: Column) -> Column:
+        padded = F.filter(row, lambda e: e["padded"])
+        return F.when(F.size(padded) == 0, row).otherwise(
+            F.concat(F.filter(row, lambda e: ~e["padded"]), padded)
+        )
+
     def project(row: Column) -> Column:
         grade, label = pick(row, "Grade"), pick(row, "Label")
         renamed = F.transform(row, lambda e: F.when(e["k"] == "Grade", "Label").otherwise(e["k"]))
@@ -166,7 +186,7 @@ def clean_row(entries: Column) -> Column:
             F.array_distinct(renamed).alias("columns"),
         )
 
-    return F.get(F.transform(F.array(stripped), project), F.lit(0))
+    return let(let(stripped, in_order), project)
 
 
 def _has_column(row: Column, name: str) -> Column:
@@ -189,22 +209,27 @@ def drop_junk_rows(rows: Column) -> Column:
     The row after a removed one is never looked at, so of k adjacent junk rows
     the 2nd, 4th, ... survive. Pairs are found by one pass over a mask string.
     """
-    mask = F.array_join(
-        F.transform(rows, lambda r: F.when(F.coalesce(is_junk(r), F.lit(False)), "J").otherwise("-")), ""
-    )
-    keep = F.split(F.replace(F.replace(mask, F.lit("JJ"), F.lit("x-")), F.lit("J"), F.lit("x")), "")
-    marked = F.zip_with(rows, keep, lambda r, m: F.struct(r.alias("r"), m.alias("m")))
-    kept = F.filter(marked, lambda p: p["r"].isNotNull() & (p["m"] == "-"))
-    return F.when(~F.contains(mask, F.lit("J")), rows).otherwise(F.transform(kept, lambda p: p["r"]))
+    flags = F.transform(rows, lambda r: F.when(F.coalesce(is_junk(r), F.lit(False)), "J").otherwise("-"))
+
+    def keep(mask: Column) -> Column:
+        survivors = F.split(F.replace(F.replace(mask, F.lit("JJ"), F.lit("x-")), F.lit("J"), F.lit("x")), "")
+        marked = F.zip_with(rows, survivors, lambda r, m: F.struct(r.alias("r"), m.alias("m")))
+        kept = F.filter(marked, lambda p: p["r"].isNotNull() & (p["m"] == "-"))
+        return F.when(~F.contains(mask, F.lit("J")), rows).otherwise(F.transform(kept, lambda p: p["r"]))
+
+    return let(F.array_join(flags, ""), keep)
 
 
 def parse_rows(text: Column, response_type: Column) -> Column:
     """All rows of one answer, cleaned; NULL when the text cannot be read."""
-    trimmed = strip(text)
-    raw = F.when(response_type == "json", parse_json_rows(json_slice(trimmed))).when(
-        response_type == "tsv", parse_tabular_rows(tabular_text(trimmed))
-    )
-    return F.transform(raw, clean_row)
+
+    def read(trimmed: Column) -> Column:
+        raw = F.when(response_type == "json", parse_json_rows(json_slice(trimmed))).when(
+            response_type == "tsv", let(tabular_text(trimmed), parse_tabular_rows)
+        )
+        return F.transform(raw, clean_row)
+
+    return let(strip(text), read)
 
 
 def example_concepts(answer: Column, response_type: Column) -> Column:
@@ -215,15 +240,6 @@ def example_concepts(answer: Column, response_type: Column) -> Column:
             F.transform(rows, lambda r: _last(F.filter(r, lambda e: e["k"] == "Key Concept"))["v"])
         )
 
-    table = F.transform(
-        F.array(_table(answer, "\t")),
-        lambda t: F.transform(
-            F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))),
-            lambda cells: F.transform(
-                F.get(t, F.lit(0)), lambda name, i: F.struct(name.alias("k"), F.get(cells, i).alias("v"))
-            ),
-        ),
-    )
-    return F.when(response_type == "tsv", named(F.flatten(table))).when(
-        response_type == "json", named(parse_json_rows(answer))
+    return F.when(response_type == "tsv", let(let(_table(answer, "\t"), _under_header), named)).when(
+        response_type == "json", let(parse_json_rows(answer), named)
     )

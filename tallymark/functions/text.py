@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# White space as a Unicode-aware strip() sees it. The look-behind keeps the
-# trailing match linear on long runs of blanks.
-_SPACE = r"[\s\x1c-\x1f]"
-_STRIP = rf"(?U)^{_SPACE}+|(?<!{_SPACE}){_SPACE}+$"
+# Fixed value: the characters Python's strip() takes as white space.
+WHITE_SPACE = "".join(
+    chr(c)
+    for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+)
 
 # A quoted string (kept), a block comment or a line comment; `d` makes only \n
 # a line end. Fixed value: an empty literal "" is not taken as a string.
@@ -17,7 +18,7 @@ _COMMENT_OR_STRING = r"""(?smd)(".*?[^\\]"|'.*?[^\\]')|/\*.*?\*/|//.*?$"""
 
 def strip(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, _STRIP, "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def strip_value(text: Column) -> Column:
@@ -37,7 +38,7 @@ def sanitize_code(code: Column, remove: Column) -> Column:
 
 def is_blank(code: Column) -> Column:
     """True when nothing but white space is left of a program."""
-    return ~F.coalesce(code, F.lit("")).rlike(rf"(?U)[^\s\x1c-\x1f]")
+    return F.coalesce(strip(code), F.lit("")) == ""
 
 
 def sanitize_evidence(evidence: Column) -> Column:

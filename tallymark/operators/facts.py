@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymark.dims import FUNCTION_ARGS, STUDENT_KEY, lit_array
+from tallymark.functions.text import strip
 
 # Quoted text and comments first, so that brackets inside them do not count.
 _TOKEN = (
@@ -142,7 +143,7 @@ def statements(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     return (
         grouped.select(
             *keys, "pos", "start", "end",
-            F.regexp_replace(inner, r"(?U)^\s+|(?<!\s)\s+$", "").alias("text"),
+            strip(inner).alias("text"),
             last.alias("term"),
         )
         .where((F.col("text") != "") | F.col("term").isin("{", "}"))

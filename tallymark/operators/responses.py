@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallymark.dims import REQUIRED_COLUMNS, RESPONSE_TYPES, STUDENT_KEY, VALID_LABELS, lit_array
 from tallymark.functions import answers, responses
+from tallymark.functions.expressions import let, with_once
 from tallymark.functions.text import sanitize_evidence
 
 INVALID = ["invalid_json", "invalid_columns", "invalid_concepts", "invalid_label"]
@@ -19,7 +20,7 @@ INVALID = ["invalid_json", "invalid_columns", "invalid_concepts", "invalid_label
 
 def open_envelopes(raw: DataFrame) -> DataFrame:
     """Add http_outcome, choices and total_tokens; drops the body."""
-    opened = raw.withColumn("_env", responses.envelope(F.col("body")))
+    opened = with_once(raw, _env=responses.envelope(F.col("body")))
     env = F.col("_env")
     return opened.select(
         *[c for c in raw.columns if c != "body"],
@@ -146,7 +147,7 @@ def check_choices(df: DataFrame) -> DataFrame:
     staged = F.transform("choices", parse)
     for step in (drop_junk, errors, status):
         staged = F.transform(staged, step)
-    return df.withColumn("checked", staged)
+    return with_once(df, checked=staged)
 
 
 # ---- one response -----------------------------------------------------------
@@ -234,7 +235,7 @@ def add_votes(df: DataFrame) -> DataFrame:
             lambda name: F.filter(all_rows, lambda r: r["key_concept"] == name),
         )
 
-    groups = F.flatten(F.transform(F.array(rows), grouped))
+    groups = let(rows, grouped)
     return df.withColumn("tallies", F.transform(groups, _tally))
 
 
@@ -250,12 +251,8 @@ def add_consensus(df: DataFrame) -> DataFrame:
             r["reason"],
         ),
     )
-    return df.withColumn(
-        "data",
-        F.when(F.size("valid") == 1, single).when(
-            F.size("valid") > 1, F.transform("tallies", _consensus_row)
-        ),
-    )
+    voted = F.transform("tallies", _consensus_row)
+    return with_once(df, data=F.when(F.size("valid") == 1, single).when(F.size("valid") > 1, voted))
 
 
 def sanitize_data(data: Column) -> Column:
