@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymark.dims import FUNCTION_ARGS, STUDENT_KEY, lit_array
+from tallymark.functions.expressions import let, with_once
 from tallymark.functions.text import strip
 
 # Quoted text and comments first, so that brackets inside them do not count.
@@ -41,7 +42,6 @@ _TOKEN = (
 # Stand-ins for significant characters inside quotes (private-use code points).
 _SIGNIFICANT = "{};(),\n"
 _STAND_INS = "".join(chr(0xE000 + i) for i in range(len(_SIGNIFICANT)))
-_LINE_BREAKS = f"[\n{_STAND_INS[-1]}]"
 
 _ID = r"[A-Za-z_$][\w$]*+"
 _ARGS = r"(?:[^()]++|\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\))*+"
@@ -52,12 +52,35 @@ _UNARY = rf"[-+!~]\s*+(?:{_LITERAL}|{_MEMBER}|{_ID})"
 _OPERAND = rf"(?:{_CALL}|{_MEMBER}|{_LITERAL}|{_ID}|{_UNARY})"
 _BINARY = rf"(?s)^({_OPERAND})\s*+(===|!==|==|!=|<=|>=|<<|>>|<|>|[-+*/%&|^])\s*+({_OPERAND})$"
 
-_HEADER = rf"(?s)^\s*+(?:else|(?:else\s++)?if\s*+\({_ARGS}\)|function\s++{_ID}\s*+\({_ARGS}\)|(?:for|while)\s*+\({_ARGS}\))\s*+$"
-_CONTINUES = r"(?:[-+*/%=<>&|,.?:])\s*+$"
-_STEP = r"(?:\+\+|--)\s*+$"
+
+# A line goes on after a trailing operator, and from a header to its brace on
+# the next line; such line ends get a stand-in.
+_LINE_END = _STAND_INS[-1]
+_AFTER_OPERATOR = r"((?<!\+)\+|(?<!-)-|[*/%=<>&|,.])[ \t]*+\n"
+_BEFORE_BRACE = r"\n(?=[ \t]*+\n?[ \t]*+\{)"
+# Up to a ; { } or line end outside round brackets.
+_PIECE = rf"\s*+(?:[^;{{}}\n()]++|\({_ARGS}\)|[()])*+[;{{}}\n]?"
+_CASE_LABEL = r"^(?:case\s[^:]*+|default\s*+):\s*+"
+
+# One match gives all parts of a statement, in the order of _PARTS.
+_STATEMENT = (
+    rf"(?s)^(?:(?:var|let|const)\s++(.+)|({_ID})(?:\.({_ID}))?\s*+\(({_ARGS})\)|(\+\+|--)\s*+({_ID})(?:\.({_ID}))?"
+    rf"|({_ID})(?:\.({_ID}))?\s*+(?:(\+\+|--)|([-+*/%]?=)(?!=)\s*+(.+)))$"
+)
+_PARTS = ["declared", "callee", "callee_method", "call_args", "pre_op", "pre_id", "pre_prop", "id", "prop", "post_op", "set_op", "rhs"]
+_DECLARATOR = rf"(?s)^({_ID})\s*+(?:=\s*+(.*))?$"
+_NEXT_DECLARATOR = rf",\s*+(?={_ID}\s*+=[^=])"
+_PLAIN_CALL = rf"(?s)^({_ID})\s*+\(({_ARGS})\)$"
+_NOT_CALLS = ["if", "while", "for", "switch", "return", "function", "catch"]
 # Place of a closing brace that is not there.
 _OPEN_ENDED = 1 << 31
-_HARD_START = rf"^\s*+(?:(?:var|let|const)\s|function\s++{_ID}\s*+\()"
+
+
+def _split_match(text: Column, pattern: str, n_groups: int) -> Column:
+    """Groups of a whole-text match as an array, NULL when there is no match."""
+    joined = F.regexp_replace(text, pattern, "\x01".join(f"${g}" for g in range(1, n_groups + 1)))
+    parts = F.split(joined, "\x01", -1)
+    return F.when(F.size(parts) == n_groups, F.transform(parts, lambda p: F.nullif(p, F.lit(""))))
 
 
 def mask_code(code: Column) -> Column:
@@ -78,75 +101,28 @@ def _unmask(text: Column) -> Column:
     return F.translate(text, _STAND_INS, _SIGNIFICANT)
 
 
-def _pieces(programs: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per run of text up to a ; { } or line end."""
-    # Bound: carriage returns would hide line ends.
-    code = F.regexp_replace(F.col("code"), "\r\n?", "\n")
-    found = F.regexp_extract_all(mask_code(code), F.lit(r"[^;{}\n]*+[;{}\n]|[^;{}\n]++"), F.lit(0))
-    return programs.select(*keys, F.posexplode(found).alias("pos", "piece"))
-
-
 def statements(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
-    """Pieces joined to statements: text, terminator, first and last line.
+    """One row per statement: text, terminator, line breaks before and inside.
 
-    A statement goes on while a bracket is open, after a trailing operator, and
-    from a block header to its brace on the next line. A new declaration always
-    starts a statement, so one missing bracket spoils one statement only.
+    Balanced round brackets keep a statement together over lines; brackets that
+    never close are ordinary characters, so they spoil one statement only.
     """
-    program = W.partitionBy(*keys).orderBy("pos")
-    before = program.rowsBetween(W.unboundedPreceding, -1)
-    text = F.regexp_replace("piece", r"[;{}\n]$", "")
-    pieces = (
-        _pieces(programs, keys)
-        .withColumn("_text", text)
-        .withColumn("_term", F.when(F.col("piece") == F.col("_text"), "").otherwise(F.right("piece", F.lit(1))))
-        .withColumn("_hard", F.col("_text").rlike(_HARD_START))
-        .withColumn(
-            "_open",
-            F.regexp_count("piece", F.lit(r"\(")) - F.regexp_count("piece", F.lit(r"\)")),
-        )
-        .withColumn(
-            "_goes_on",
-            (F.col("_term") == "\n")
-            & (
-                F.col("_text").rlike(_HEADER)
-                | (F.col("_text").rlike(_CONTINUES) & ~F.col("_text").rlike(_STEP))
-            ),
-        )
-        .withColumn(
-            "line", 1 + F.coalesce(F.sum(F.regexp_count("piece", F.lit(_LINE_BREAKS))).over(before), F.lit(0))
-        )
-        .withColumn("_segment", F.sum(F.col("_hard").cast("int")).over(program))
-        .withColumn("_depth", F.sum("_open").over(W.partitionBy(*keys, "_segment").orderBy("pos")))
-    )
-    ended = F.coalesce(F.lag((F.col("_depth") <= 0) & ~F.col("_goes_on")).over(program), F.lit(True))
-    numbered = pieces.withColumn("_starts", (F.col("_hard") | ended).cast("int")).withColumn(
-        "stmt", F.sum("_starts").over(program)
-    )
-    shown = F.trim(F.col("_text")) != ""
-    parts = F.array_sort(F.collect_list(F.struct("pos", "_text", "_term")))
-    grouped = numbered.groupBy(*keys, "stmt").agg(
-        parts.alias("parts"),
-        F.min("pos").alias("pos"),
-        F.min(F.when(shown | F.col("_term").isin("{", "}"), F.col("line"))).alias("start"),
-        F.max(F.when(shown | F.col("_term").isin("{", "}"), F.col("line"))).alias("end"),
-    )
-    last = F.try_element_at("parts", F.lit(-1))["_term"]
-    # Terminators inside a statement (for headers, object literals) stay text.
-    inner = F.array_join(
-        F.transform(
-            "parts",
-            lambda p, i: F.when(i == F.size("parts") - 1, p["_text"]).otherwise(F.concat(p["_text"], p["_term"])),
-        ),
-        "",
-    )
+    code = mask_code(F.regexp_replace(F.col("code"), "\r\n?", "\n"))
+    code = F.regexp_replace(code, _AFTER_OPERATOR, f"$1{_LINE_END}")
+    code = F.regexp_replace(code, _BEFORE_BRACE, _LINE_END)
+    pieces = F.regexp_extract_all(code, F.lit(_PIECE), F.lit(0))
+    rows = programs.select(*keys, F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece") != "")
+    term = F.when(F.right("piece", F.lit(1)).isin(*";{}\n"), F.right("piece", F.lit(1))).otherwise("")
+    raw = F.translate("piece", _LINE_END, "\n")
+    body = F.ltrim(F.substring(raw, F.lit(1), F.length(raw) - F.length("term")), F.lit(" \t\n\x0b\f"))
+    inside = F.length(body) - F.length(F.translate(body, "\n", ""))
     return (
-        grouped.select(
-            *keys, "pos", "start", "end",
-            strip(inner).alias("text"),
-            last.alias("term"),
-        )
-        .where((F.col("text") != "") | F.col("term").isin("{", "}"))
+        rows.withColumn("term", term)
+        .withColumn("breaks", F.length(raw) - F.length(F.translate(raw, "\n", "")))
+        .withColumn("text", F.regexp_replace(strip(body), _CASE_LABEL, ""))
+        .withColumn("inside", inside)
+        .withColumn("lead", F.col("breaks") - F.col("inside") - (F.col("term") == "\n").cast("int"))
+        .drop("piece")
     )
 
 
@@ -156,18 +132,21 @@ def blocks(stmts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     before = program.rowsBetween(W.unboundedPreceding, -1)
     opens, closes = F.col("term") == "{", F.col("term") == "}"
     text = F.col("text")
-    kind = (
-        F.when(~opens, None)
-        .when(text.rlike(rf"(?s)^function\s++{_ID}\s*+\({_ARGS}\)$"), "function")
+    kind = F.when(
+        opens,
+        F.when(text.rlike(rf"(?s)^function\s++{_ID}\s*+\({_ARGS}\)$"), "function")
         .when(text.rlike(rf"(?s)^if\s*+\({_ARGS}\)$"), "if")
         .when(text.rlike(rf"(?s)^else\s++if\s*+\({_ARGS}\)$"), "else_if")
         .when(text == "else", "else")
-        .otherwise("block")
+        .otherwise("block"),
     )
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     leveled = (
         stmts.withColumn("block", kind)
+        .withColumn("start", 1 + F.coalesce(F.sum("breaks").over(before), F.lit(0)) + F.col("lead"))
         .withColumn("depth", F.coalesce(F.sum(step).over(before), F.lit(0)))
+        .where((F.col("text") != "") | F.col("term").isin("{", "}"))
+        .withColumn("end", F.col("start") + F.col("inside"))
         .withColumn("level", F.when(closes, F.col("depth") - 1).otherwise(F.col("depth")))
         .withColumn("brace", opens | closes)
         .withColumn("last_line", F.max("end").over(W.partitionBy(*keys)))
@@ -241,78 +220,72 @@ def _operand_class(text: Column) -> Column:
     )
 
 
-def with_trigger(rows: DataFrame, is_test: Column) -> DataFrame:
-    """Add what makes a conditional fire, from its test in ``value``.
+def _trigger(test: Column, binary: Column) -> Column:
+    """What makes a conditional fire.
 
     In a comparison a variable counts before an object property and that
     before a call; any call counts as user interaction.
     """
-    test = F.when(is_test, F.col("value"))
-    operands = (
-        rows.withColumn("_single", _operand_class(test))
-        .withColumn("_left", _operand_class(F.regexp_extract(test, _BINARY, 1)))
-        .withColumn("_right", _operand_class(F.regexp_extract(test, _BINARY, 3)))
+    operands = F.when(binary.isNull(), F.array(test)).otherwise(F.array(F.get(binary, F.lit(0)), F.get(binary, F.lit(2))))
+    classes = F.transform(operands, _operand_class)
+    return let(
+        classes,
+        lambda c: F.when(F.array_contains(c, "identifier"), "variable")
+        .when(F.array_contains(c, "object"), "object")
+        .when(F.array_contains(c, "call"), "user")
+        .otherwise("untracked"),
     )
-    found = F.lit("untracked")
-    for kind, name in (("call", "user"), ("object", "object"), ("identifier", "variable")):
-        hit = (F.col("_single") == kind) | (F.col("_left") == kind) | (F.col("_right") == kind)
-        found = F.when(hit, name).otherwise(found)
-    return operands.withColumn("trigger", F.when(is_test, found)).drop("_single", "_left", "_right")
-
-
-_DECLARE = r"(?s)^(?:var|let|const)\s++(.*)$"
-_DECLARATOR = rf"(?s)^({_ID})\s*+(?:=\s*+(.*))?$"
-_NEXT_DECLARATOR = rf",\s*+(?={_ID}\s*+=[^=])"
-_PLAIN_CALL = rf"(?s)^({_ID})\s*+\(({_ARGS})\)$"
-_METHOD_CALL = rf"(?s)^({_ID})\.({_ID})\s*+\(({_ARGS})\)$"
-_UPDATE = rf"^(?:(\+\+|--)\s*+)?({_ID})(?:\.({_ID}))?(?:\s*+(\+\+|--))?$"
-_ASSIGN = rf"(?s)^({_ID})(?:\.({_ID}))?\s*+([-+*/%]?=)(?!=)\s*+(.+)$"
-
-
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
 def facts(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     """Scan programs (key columns and ``code``) to facts."""
     nested = blocks(statements(programs, keys), keys)
-    text = F.col("text")
+    block, text = F.col("block"), F.col("text")
+    plain = nested.where(block.isin("function", "if", "else_if") | (block.isNull() & (text != "")))
+    parsed = with_once(plain, m=F.when(block.isNull(), _split_match(text, _STATEMENT, len(_PARTS))))
+    part = {name: F.get("m", F.lit(n)) for n, name in enumerate(_PARTS)}
     kind = (
-        F.when(F.col("block") == "function", "function")
-        .when(F.col("block").isin("if", "else_if"), "if")
-        .when(F.col("block").isNotNull() | (text == ""), None)
-        .when(text.rlike(_DECLARE), "declare")
-        .when(text.rlike(_PLAIN_CALL) & ~text.rlike(r"^(?:if|while|for|switch|return)\b"), "call")
-        .when(text.rlike(_METHOD_CALL), "method")
-        .when(text.rlike(_UPDATE) & text.rlike(r"\+\+|--"), "update")
-        .when(text.rlike(_ASSIGN), "assign")
+        F.when(block == "function", "function")
+        .when(block.isNotNull(), "if")
+        .when(part["declared"].isNotNull(), "declare")
+        .when(part["callee_method"].isNotNull(), "method")
+        .when(part["callee"].isNotNull() & ~part["callee"].isin(_NOT_CALLS), "call")
+        .when(part["pre_op"].isNotNull() | part["post_op"].isNotNull(), "update")
+        .when(part["set_op"].isNotNull(), "assign")
         .otherwise("unparsed")
     )
-    declared = F.split(F.regexp_extract("text", _DECLARE, 1), _NEXT_DECLARATOR, -1)
-    parts = F.when(F.col("kind") == "declare", declared).otherwise(F.array("text"))
-    rows = (
-        nested.withColumn("kind", kind)
-        .where("kind IS NOT NULL")
-        .select("*", F.posexplode(parts).alias("_i", "part"))
+    test = F.regexp_extract(text, rf"(?s)^(?:else\s++)?if\s*+\(({_ARGS})\)$", 1)
+    values = (
+        F.when(part["declared"].isNotNull(), F.split(part["declared"], _NEXT_DECLARATOR, -1))
+        .when(block.isin("if", "else_if"), F.array(test))
+        .when(part["rhs"].isNotNull(), F.array(part["rhs"]))
+        .when(block.isNull() & F.col("m").isNull(), F.array(text))
+        .otherwise(F.array(F.lit(None).cast("string")))
     )
-    part, is_kind = F.col("part"), lambda k: F.col("kind") == k
-    value = (
-        F.when(is_kind("declare"), _part(part, _DECLARATOR, 2))
-        .when(is_kind("assign"), _part(part, _ASSIGN, 4))
-        .when(is_kind("if"), F.regexp_extract("text", rf"(?s)^(?:else\s++)?if\s*+\(({_ARGS})\)$", 1))
-        .when(is_kind("unparsed"), part)
+    rows = parsed.withColumn("kind", kind).select("*", F.posexplode(values).alias("_i", "_value"))
+    is_kind = lambda *k: F.col("kind").isin(*k)
+    declared = F.when(is_kind("declare"), _split_match(F.col("_value"), _DECLARATOR, 2))
+    named = with_once(rows, d=declared).withColumn(
+        "value", F.when(is_kind("declare"), F.get("d", F.lit(1))).otherwise(F.col("_value"))
     )
-    target = F.concat_ws(".", "object", "property")
-    left, op, right = (F.regexp_extract("value", _BINARY, g) for g in (1, 2, 3))
-    calls_random = lambda operand: operand.rlike(r"^[\w$]*randomNumber[\w$]*\s*\(")
-    counter = F.when(is_kind("update"), F.col("property").isNotNull()).when(
-        is_kind("assign"), op.isin("+", "-") & ((left == target) | (right == target)) & F.col("property").isNotNull()
+    ready = with_once(
+        named,
+        c=F.when(is_kind("declare", "assign"), _split_match(F.col("value"), _PLAIN_CALL, 2)),
+        b=F.when(is_kind("if", "assign"), _split_match(F.col("value"), _BINARY, 3)),
     )
+    target = F.coalesce(part["id"], part["pre_id"])
+    prop = F.coalesce(part["prop"], part["pre_prop"])
+    member = F.concat(target, F.lit("."), prop)
+    left, op, right = (F.get("b", F.lit(g)) for g in (0, 1, 2))
+    calls_random = lambda operand: F.coalesce(operand.rlike(r"^[\w$]*randomNumber[\w$]*\s*\("), F.lit(False))
+    counter = F.when(is_kind("update"), prop.isNotNull()).when(
+        is_kind("assign"), F.coalesce(op.isin("+", "-") & ((left == member) | (right == member)), F.lit(False))
+    )
+    call = F.get("c", F.lit(0))
     random = F.when(
-        is_kind("assign"),
-        calls_random(left) | calls_random(right) | F.coalesce(F.col("call") == "randomNumber", F.lit(False)),
+        is_kind("assign"), calls_random(left) | calls_random(right) | F.coalesce(call == "randomNumber", F.lit(False))
     )
-    visible = F.col("in_draw") & (F.col("hiding") == 0) & F.col("kind").isin("assign", "update")
+    visible = F.col("in_draw") & (F.col("hiding") == 0) & is_kind("assign", "update")
     direct = F.col("depth") == F.col("draw.level") + 1
     place = F.col("pos").cast("bigint") * 100 + F.col("_i")
     seen = (
@@ -321,61 +294,40 @@ def facts(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
         & (F.col("depth") <= F.col("draw.level"))
         & F.col("start").between(F.col("draw.from"), F.col("draw.to"))
     )
-    return (
-        with_trigger(rows.withColumn("value", value), is_kind("if"))
-        .withColumn(
-            "name",
-            F.coalesce(
-                F.col("name"),
-                F.when(is_kind("declare"), _part(part, _DECLARATOR, 1))
-                .when(is_kind("call"), _part(part, _PLAIN_CALL, 1))
-                .when(is_kind("method"), _part(part, _METHOD_CALL, 2))
-                .when(is_kind("assign") & _part(part, _ASSIGN, 2).isNull(), _part(part, _ASSIGN, 1))
-                .when(is_kind("update") & _part(part, _UPDATE, 3).isNull(), _part(part, _UPDATE, 2)),
-            ),
-        )
-        .withColumn("property", F.when(is_kind("assign"), _part(part, _ASSIGN, 2)).when(is_kind("update"), _part(part, _UPDATE, 3)))
-        .withColumn(
-            "object",
-            F.when(is_kind("method"), _part(part, _METHOD_CALL, 1))
-            .when(is_kind("assign") & F.col("property").isNotNull(), _part(part, _ASSIGN, 1))
-            .when(is_kind("update") & F.col("property").isNotNull(), _part(part, _UPDATE, 2)),
-        )
-        .withColumn(
-            "op",
-            F.when(is_kind("assign"), _part(part, _ASSIGN, 3)).when(
-                is_kind("update"), F.coalesce(_part(part, _UPDATE, 1), _part(part, _UPDATE, 4))
-            ),
-        )
-        .withColumn("call", F.when(F.col("value").isNotNull() & ~is_kind("if"), _part(F.col("value"), _PLAIN_CALL, 1)))
-        .withColumn(
-            "args",
-            F.when(is_kind("call"), F.regexp_extract(part, _PLAIN_CALL, 2))
-            .when(is_kind("method"), F.regexp_extract(part, _METHOD_CALL, 3))
-            .when(F.col("call").isNotNull(), F.regexp_extract("value", _PLAIN_CALL, 2)),
-        )
-        .select(
-            *keys,
-            place.alias("seq"),
-            "kind",
-            F.col("start").cast("int").alias("start"),
-            F.col("stmt_end").cast("int").alias("end"),
-            "name", "object", "property", "op", "call",
-            _unmask(F.col("args")).alias("args"),
-            _unmask(F.col("value")).alias("value"),
-            "trigger",
-            counter.alias("counter"),
-            random.alias("random"),
-            "in_draw",
-            F.when(F.col("in_draw"), F.col("draw.to")).cast("int").alias("draw_end"),
-            F.coalesce(seen, F.lit(False)).alias("seen_draw"),
-            F.when(is_kind("function"), F.col("block_close") * 100 + 99)
-            .when(is_kind("if"), F.col("chain_close") * 100 + 99)
-            .otherwise(place)
-            .alias("done"),
-            F.when(visible, F.when(direct, F.col("start")).otherwise(F.col("outer_if.from"))).cast("int").alias("move_start"),
-            F.when(visible, F.when(direct, F.col("stmt_end")).otherwise(F.col("outer_if.to"))).cast("int").alias("move_end"),
-        )
+    changed = is_kind("assign", "update")
+    args = F.when(is_kind("call", "method"), F.coalesce(part["call_args"], F.lit(""))).when(
+        call.isNotNull(), F.coalesce(F.get("c", F.lit(1)), F.lit(""))
+    )
+    return ready.select(
+        *keys,
+        place.alias("seq"),
+        "kind",
+        F.col("start").cast("int").alias("start"),
+        F.col("stmt_end").cast("int").alias("end"),
+        F.when(is_kind("function"), F.col("name"))
+        .when(is_kind("declare"), F.get("d", F.lit(0)))
+        .when(is_kind("call"), part["callee"])
+        .when(is_kind("method"), part["callee_method"])
+        .when(changed & prop.isNull(), target)
+        .alias("name"),
+        F.when(is_kind("method"), part["callee"]).when(changed & prop.isNotNull(), target).alias("object"),
+        F.when(changed, prop).alias("property"),
+        F.when(changed, F.coalesce(part["set_op"], part["pre_op"], part["post_op"])).alias("op"),
+        call.alias("call"),
+        _unmask(args).alias("args"),
+        _unmask(F.col("value")).alias("value"),
+        F.when(is_kind("if"), _trigger(F.col("value"), F.col("b"))).alias("trigger"),
+        counter.alias("counter"),
+        random.alias("random"),
+        "in_draw",
+        F.when(F.col("in_draw"), F.col("draw.to")).cast("int").alias("draw_end"),
+        F.coalesce(seen, F.lit(False)).alias("seen_draw"),
+        F.when(is_kind("function"), F.col("block_close") * 100 + 99)
+        .when(is_kind("if"), F.col("chain_close") * 100 + 99)
+        .otherwise(place)
+        .alias("done"),
+        F.when(visible, F.when(direct, F.col("start")).otherwise(F.col("outer_if.from"))).cast("int").alias("move_start"),
+        F.when(visible, F.when(direct, F.col("stmt_end")).otherwise(F.col("outer_if.to"))).cast("int").alias("move_end"),
     )
 
 
