@@ -62,7 +62,7 @@ LABEL = (
 )
 VOTES = {
     "dataset": "'d' || (user_id % 2)",
-    "experiment": "'base'",
+    "experiment": "'e' || (user_id % 3)",
     "lesson": "'L' || (user_id % 7)",
     "student_id": "'student_' || user_id",
     "key_concept": "'KC' || (event_id % 4)",

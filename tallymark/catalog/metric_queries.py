@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymark.catalog.inputs import CTES, GROUP, RUN, STUDENT, Inputs
@@ -108,14 +107,13 @@ def _(i):
 
 @query(
     "f5_student_order",
-    f"""SELECT {STUDENT}, row_number() OVER (PARTITION BY {RUN} ORDER BY CAST(split_part(student_id, '_', 2) AS BIGINT)) AS place
-    FROM (SELECT DISTINCT {STUDENT} FROM votes)""",
+    f"SELECT DISTINCT {STUDENT}, CAST(split_part(student_id, '_', 2) AS BIGINT) AS number FROM votes",
 )
 def _(i):
+    # A global sort is ranges over tasks; no run is gathered in one of them.
     number = F.split_part("student_id", F.lit("_"), F.lit(2)).cast("bigint")
     students = i.votes().select(*STUDENT_KEY).distinct()
-    place = F.row_number().over(W.partitionBy(*RUN_KEY).orderBy(number))
-    return students.withColumn("place", place.cast("bigint"))
+    return students.withColumn("number", number).orderBy(*RUN_KEY, "number")
 
 
 @query(

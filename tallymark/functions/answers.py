@@ -145,6 +145,16 @@ def _under_header(table: Column) -> Column:
     )
 
 
+def sheet_rows(text: Column, sep: str = ",") -> Column:
+    """Rows of (header cell, cell) entries of a whole CSV text, as it stands."""
+    return let(_table(F.regexp_replace(text, "\r\n?", "\n"), sep), _under_header)
+
+
+def cell(entries: Column, name: str) -> Column:
+    """Value under a header cell; the last one when the header repeats."""
+    return _last(F.filter(entries, lambda e: e["k"] == name))["v"]
+
+
 def _last(entries: Column) -> Column:
     return F.try_element_at(entries, F.lit(-1))
 
@@ -237,7 +247,7 @@ def example_concepts(answer: Column, response_type: Column) -> Column:
 
     def named(rows: Column) -> Column:
         return F.array_distinct(
-            F.transform(rows, lambda r: _last(F.filter(r, lambda e: e["k"] == "Key Concept"))["v"])
+            F.transform(rows, lambda r: cell(r, "Key Concept"))
         )
 
     return F.when(response_type == "tsv", let(let(_table(answer, "\t"), _under_header), named)).when(

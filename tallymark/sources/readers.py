@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymark.dims import LESSONS, VALID_LABELS
+from tallymark.functions import answers
 
 THRESHOLDS_TYPE = "map<string,struct<overall:double,key_concepts:map<string,double>>>"
 RESPONSE_SCHEMA = (
@@ -84,14 +85,32 @@ def unpivot_labels(wide: DataFrame, keys: list[str], student: str = "student", o
     )
 
 
+def _sheet_rows(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """Rows of many sheets, each under its own header.
+
+    A sheet is one small file and its columns are its own, so files of one
+    glob may differ in columns and in their order.
+    """
+    rows = F.posexplode(answers.sheet_rows(F.col("value")))
+    return (
+        read_whole(spark, path)
+        .select(_parent(2).alias(root), _parent(1).alias("lesson"), _path().alias("path"), "value")
+        .select(root, "lesson", "path", rows.alias("ord", "entries"))
+    )
+
+
 def read_actual_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Human labels of one lesson's sheet ``…/<dataset>/<lesson>/<file>.csv``."""
-    sheet = _csv(spark, path)
-    with_place = sheet.select(
-        _parent(2).alias("dataset"), _parent(1).alias("lesson"), "*",
-        F.struct(_path().alias("f"), F.monotonically_increasing_id().alias("n")).alias("_order"),
+    """Human labels of any number of sheets ``…/<dataset>/<lesson>/<file>.csv``.
+
+    A later row of the same student replaces an earlier one.
+    """
+    labels = F.filter("entries", lambda e: e["k"] != "student")
+    long = _sheet_rows(spark, path, "dataset").select(
+        "dataset", "lesson", answers.cell(F.col("entries"), "student").alias("student_id"),
+        "path", "ord", F.inline(labels),
     )
-    return unpivot_labels(with_place, ["dataset", "lesson"], order="_order")
+    keys = ["dataset", "lesson", "student_id", F.col("k").alias("key_concept")]
+    return long.groupBy(*keys).agg(F.max_by("v", F.struct("path", "ord")).alias("label"))
 
 
 def read_rubrics(spark: SparkSession, path: str) -> DataFrame:
@@ -99,14 +118,11 @@ def read_rubrics(spark: SparkSession, path: str) -> DataFrame:
 
     ``Instructions`` is optional; descriptors is a map label -> text.
     """
-    sheet = _csv(spark, path)
-    instructions = F.col("Instructions") if "Instructions" in sheet.columns else F.lit(None).cast("string")
-    pairs = [x for label in VALID_LABELS for x in (F.lit(label), F.col(f"`{label}`"))]
-    return sheet.select(
-        _parent(2).alias("experiment"), _parent(1).alias("lesson"),
-        F.col("`Key Concept`").alias("key_concept"),
-        F.monotonically_increasing_id().alias("ord"),
-        instructions.alias("instructions"),
+    entries = F.col("entries")
+    pairs = [x for label in VALID_LABELS for x in (F.lit(label), answers.cell(entries, label))]
+    return _sheet_rows(spark, path, "experiment").select(
+        "experiment", "lesson", answers.cell(entries, "Key Concept").alias("key_concept"), "ord",
+        answers.cell(entries, "Instructions").alias("instructions"),
         F.create_map(*pairs).alias("descriptors"),
     )
 
@@ -147,12 +163,12 @@ def cast_params(raw: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def read_examples(spark: SparkSession, path: str, answers: str) -> DataFrame:
+def read_examples(spark: SparkSession, path: str, answer_path: str) -> DataFrame:
     """``…/<experiment>/<lesson>/examples/<id>.js`` with ``<id>.tsv`` or ``<id>.json``."""
     place = [_parent(3).alias("experiment"), _parent(2).alias("lesson")]
-    extension = answers.rsplit(".", 1)[-1]
+    extension = answer_path.rsplit(".", 1)[-1]
     code = read_whole(spark, path).select(*place, _stem("js").alias("example_id"), F.col("value").alias("code"))
-    answer = read_whole(spark, answers).select(
+    answer = read_whole(spark, answer_path).select(
         *place, _stem(extension).alias("example_id"), F.col("value").alias("answer")
     )
     return code.join(answer, ["experiment", "lesson", "example_id"])

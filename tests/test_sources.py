@@ -29,15 +29,18 @@ def test_submissions(spark, tmp_path):
 
 def test_labels_rubric_and_params(spark, tmp_path):
     write(tmp_path, "d/L1/actual.csv", 'student,"A, b",C.d\ns1,x,y\ns2,z,w\ns1,new,y2\n')
-    labels = {(r.student_id, r.key_concept): r.label for r in readers.read_actual_labels(spark, f"{tmp_path}/d/L1/*.csv").collect()}
-    assert labels == {("s1", "A, b"): "new", ("s1", "C.d"): "y2", ("s2", "A, b"): "z", ("s2", "C.d"): "w"}
+    write(tmp_path, "d/L2/actual.csv", "student,Z\r\ns9,q\r\n")
+    labels = {(r.student_id, r.key_concept): r.label for r in readers.read_actual_labels(spark, f"{tmp_path}/d/*/*.csv").collect()}
+    assert labels == {("s1", "A, b"): "new", ("s1", "C.d"): "y2", ("s2", "A, b"): "z", ("s2", "C.d"): "w", ("s9", "Z"): "q"}
 
     head = "Key Concept,Instructions,Extensive Evidence,Convincing Evidence,Limited Evidence,No Evidence"
     write(tmp_path, "e/L1/rubric.csv", f'{head}\nA,"do, it",e,c,l,n\nB,"two\nlines",e2,c2,l2,n2\n')
-    rubric = readers.read_rubrics(spark, f"{tmp_path}/e/L1/rubric.csv").orderBy("ord").collect()
+    write(tmp_path, "e/L2/rubric.csv", "No Evidence,Key Concept,Extensive Evidence\nn3,Z,e3\n")
+    rubric = readers.read_rubrics(spark, f"{tmp_path}/e/*/rubric.csv").orderBy("lesson", "ord").collect()
     assert [(r.experiment, r.lesson, r.key_concept, r.instructions) for r in rubric] == [
-        ("e", "L1", "A", "do, it"), ("e", "L1", "B", "two\nlines")
+        ("e", "L1", "A", "do, it"), ("e", "L1", "B", "two\nlines"), ("e", "L2", "Z", None)
     ]
+    assert (rubric[2].descriptors["No Evidence"], rubric[2].descriptors["Extensive Evidence"]) == ("n3", "e3")
     assert rubric[1].descriptors["No Evidence"] == "n2"
     levels = readers.rubric_levels(readers.read_rubrics(spark, f"{tmp_path}/e/L1/rubric.csv"), ["experiment", "lesson"])
     assert levels.count() == 8
