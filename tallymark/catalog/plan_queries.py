@@ -118,7 +118,21 @@ def _(i):
     return acc.select(*RUN_KEY, "key_concept", "mode", "n", "n_equal")
 
 
-@query("l4_run_headers")
+CTES["run_equal"] = f"""SELECT {RUN}, m.mode, sum(CAST(CASE m.mode WHEN 'exact' THEN e.label = h.label ELSE
+  (e.label IN ('Extensive Evidence', 'Convincing Evidence')) = (h.label IN ('Extensive Evidence', 'Convincing Evidence')) END AS INT)) / count(*) AS share
+  FROM expected e JOIN human h USING ({GROUP}) CROSS JOIN (VALUES ('exact'), ('pass_fail')) AS m(mode) GROUP BY {RUN}, m.mode"""
+
+
+@query(
+    "l4_run_headers",
+    f"""SELECT {RUN}, mode, CAST(to_json({{'dataset_name': dataset, 'experiment_name': experiment, 'lesson_name': lesson,
+    'model_params': {{'model': 'gpt-4-0613', 'num_responses': 6, 'temperature': 0.2::DOUBLE, 'remove_comments': dataset = 'd1',
+    'response_type': CASE experiment WHEN 'e0' THEN 'json' ELSE 'tsv' END}}}}) AS VARCHAR) AS input_params,
+    coalesce(trunc(share * 100)::BIGINT || '%', 'N/A') AS overall_accuracy, n_students, n_errors FROM
+    (SELECT {RUN}, count(*) AS n_students, count(*) FILTER (outcome <> 'ok' AND b.sid IS NULL) AS n_errors
+     FROM outcomes o LEFT JOIN blank_student b USING ({STUDENT}) GROUP BY {RUN})
+    CROSS JOIN (VALUES ('exact'), ('pass_fail')) AS m(mode) LEFT JOIN run_equal USING ({RUN}, mode)""",
+)
 def _(i):
     return _evaluated(i)["headers"]
 
@@ -139,13 +153,18 @@ def _(i):
     return result
 
 
-@query("a10_confidence_tables")
+@query(
+    "a10_confidence_tables",
+    f"""SELECT {RUN}, key_concept, label, n, round(prec, 6) AS "precision",
+    CASE WHEN prec >= 0.88 AND n >= 10 THEN 'HIGH' ELSE 'LOW' END AS level FROM class_stats WHERE mode = 'exact'""",
+)
 def _(i):
     path = shared_folder(i.spark, "confidence")
     tables = metrics.evaluate(i.voted(), i.actual())
     kept = {n: tables[n] for n in ("confidence_pass_fail", "confidence_exact")}
     writers.write_tables(kept, path, fmt="json")
-    return i.spark.read.schema(kept["confidence_exact"].schema).json(f"{path}/confidence_exact")
+    written = i.spark.read.schema(kept["confidence_exact"].schema).json(f"{path}/confidence_exact")
+    return written.withColumn("precision", F.round("precision", 6))
 
 
 @query("a8_result_cache", f"SELECT {STUDENT}, outcome FROM outcomes ANTI JOIN blank_student USING ({STUDENT}) WHERE outcome = 'ok'")

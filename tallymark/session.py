@@ -34,7 +34,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     The folder is the one the session names in ``spark.checkpoint.dir``. Only a
     local session without that setting gets a temporary folder of its own.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    setting = "spark.checkpoint.dir"
+    base = spark.conf.get(setting, None) or spark.sparkContext.getConf().get(setting, None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

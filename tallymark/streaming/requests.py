@@ -30,13 +30,23 @@ def label_stream(requests: DataFrame, rubric_levels: DataFrame, params: DataFram
     """Start labelling; stops by itself once all present files are done."""
 
     def label_batch(batch: DataFrame, batch_id: int) -> None:
+        kept = []
+
+        def keep(df: DataFrame) -> DataFrame:
+            kept.append(df.persist())
+            return kept[-1]
+
+        keep(batch)
         labelled = label_submissions(
             batch.select(*STUDENT_KEY, "code"),
             rubric_levels,
             params,
             batch.select(*STUDENT_KEY, "http_status", "body"),
+            keep_facts=keep,
         )
         labelled.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        for df in kept:
+            df.unpersist()
 
     return (
         requests.writeStream.foreachBatch(label_batch)
