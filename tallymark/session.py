@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import atexit
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 # What the jobs rely on: runtime re-planning (skewed joins are split, small
@@ -31,18 +31,34 @@ def build_session(app: str = "tallymark", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the cluster's shared checkpoint folder.
+    """A fresh path in the folder that driver and executors share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder of its own.
+    One rule for every master: the folder named in ``spark.checkpoint.dir``, or
+    ``_scratch`` in the warehouse (``spark.sql.warehouse.dir``), which executors
+    share as well. What was made is removed when the driver ends.
     """
     setting = "spark.checkpoint.dir"
     base = spark.conf.get(setting, None) or spark.sparkContext.getConf().get(setting, None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tallymark-")
-    return os.path.join(base.rstrip("/"), f"{name}-{uuid.uuid4().hex}")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+_made: list[str] = []
+
+
+@atexit.register
+def remove_made() -> None:
+    """Delete the folders that ``shared_folder`` has named in this process."""
+    jvm = SparkContext._jvm
+    while _made and jvm is not None:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        try:
+            path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # noqa: BLE001 - the JVM or the store has gone already
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
