@@ -18,7 +18,7 @@ class Stream:
 
     def __init__(self, scores: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray):
         self.n, self.k = scores.shape
-        self.steps = max(1, min(self.n, int(4 * self.n**0.5) or 1))
+        self.steps = max(1, int(self.n**0.5))
         self.blocks = -(-self.n // self.steps)
         pad = self.blocks * self.steps - self.n
         scores = np.concatenate([scores, np.zeros((pad, self.k), scores.dtype)])
@@ -90,7 +90,9 @@ class Stream:
         whole = np.where(np.eye(k, dtype=bool), 0, -1e9).astype(self.scores.dtype)
         whole = np.broadcast_to(whole, (blocks, k, k)).copy()
         for t in range(steps):
-            moved = (whole[:, :, :, None] + trans).max(axis=2)
+            moved = whole[:, :, :1] + trans[0]
+            for via in range(1, k):
+                np.maximum(moved, whole[:, :, via : via + 1] + trans[via], out=moved)
             at = np.flatnonzero(self.first[t])
             if len(at):
                 moved[at] = whole[at].max(axis=2, keepdims=True) + start
@@ -101,14 +103,19 @@ class Stream:
             into[b] = state
             state = (state[:, None] + whole[b]).max(axis=0)
             state = state - state.max()
-        came = np.empty((steps, blocks, k), np.uint8)
+        came = np.zeros((steps, blocks, k), np.uint8)
         for t in range(steps):
-            ways = into[:, :, None] + trans
             at = np.flatnonzero(self.first[t])
+            best = into[:, :1] + trans[0]
             if len(at):
-                ways[at] = into[at][:, :, None] + start
-            came[t] = ways.argmax(axis=1)
-            into = ways.max(axis=1) + self.scores[t]
+                best[at] = into[at, :1] + start
+            for via in range(1, k):
+                other = into[:, via : via + 1] + trans[via]
+                if len(at):
+                    other[at] = into[at, via : via + 1] + start
+                came[t][other > best] = via
+                np.maximum(best, other, out=best)
+            into = best + self.scores[t]
             into -= into.max(axis=1, keepdims=True)
         # Where each end state of a block entered it, then the end state of each block.
         row = np.arange(blocks)
