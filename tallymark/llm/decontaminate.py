@@ -130,7 +130,7 @@ def overlaps(docs: DataFrame, items: DataFrame, length: int = WINDOW, broadcast_
     docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     fps, windows, sizes = item_tables(items, length)
     rows = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), words(F.col("text")).alias("parts"))
-    small = _bytes(fps) <= broadcast_bytes
+    small = not sizes or _bytes(fps) <= broadcast_bytes
     spans = _in_place(rows, fps, sizes) if small else _shuffled(rows, fps, sizes)
     known = windows.withColumn("hit", F.lit(True))
     spans = spans.join(F.broadcast(known) if _bytes(windows) <= broadcast_bytes else known, ["size", "win"], "left")

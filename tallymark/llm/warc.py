@@ -117,7 +117,11 @@ def read_page(fields: dict[str, str], block: bytes) -> dict:
 
 
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> zstandard.ZstdCompressionDict:
-    """A dictionary of the archive's records; their bytes as they are, if they are too few."""
+    """A dictionary of the archive's records, at most a sixteenth of their size.
+
+    Too few records to learn from give their last bytes as they are.
+    """
+    size = min(size, max(1024, sum(map(len, records)) // 16))
     try:
         return zstandard.train_dictionary(size, records, k=512, d=8, f=18, accel=4, split_point=1.0)
     except zstandard.ZstdError:

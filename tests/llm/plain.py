@@ -54,3 +54,88 @@ def overlap_rows(docs, items):
         sha = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out.append((doc_id, len(words), len(hit), len(found), sha, bool(hit) and 20 * len(hit) >= len(words)))
     return out
+
+
+def exact_rows(rows):
+    """(doc_id, keep_id, group_size, kept, text_sha256), one kept row per text."""
+    groups = {}
+    for doc_id, text in rows:
+        groups.setdefault(text or "", []).append(doc_id)
+    out, used = [], set()
+    for doc_id, text in rows:
+        text = text or ""
+        known = [d for d in groups[text] if d is not None]
+        keep = max(known) if known else None
+        kept = doc_id == keep and text not in used
+        if kept:
+            used.add(text)
+        out.append((doc_id, keep, len(groups[text]), kept, hashlib.sha256(text.encode()).hexdigest()))
+    return out
+
+
+def url_rows(rows, rules, default="allow"):
+    """(page_id, host, path, rule, verdict) by trying every rule."""
+    out = []
+    for page_id, url in rows:
+        host, path = "", ""
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+            path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+            host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [
+            (len(h) + len(p), len(h), h + p, v)
+            for h, p, v in rules
+            if host and (host == h or host.endswith("." + h)) and path.startswith(p)
+        ]
+        best = max(fits, default=None)
+        out.append((page_id, host, path, best and best[2], best[3] if best else default))
+    return out
+
+
+def archive_rows(rows, least=1000):
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to)."""
+    groups = {}
+    for page_id, html in rows:
+        groups.setdefault(html or "", []).append(page_id)
+    out = []
+    for page_id, html in rows:
+        data = (html or "").encode()
+        known = [p for p in groups[html or ""] if p is not None]
+        refers = max(known) if len(data) >= least and known and page_id != max(known) else None
+        out.append((page_id, len(data), hashlib.sha1(data).hexdigest(), "response" if refers is None else "revisit", refers))
+    return out
+
+
+def secret_spans(text):
+    """Matches of the fixed secret patterns, found with the plain expressions."""
+    text, out = text or "", []
+    pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    out += [("assign", m.start(), m.end()) for m in re.finditer(pattern, text, re.I | re.A) if len(m[2]) >= 12]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return out
+
+
+def personal_spans(text):
+    """Matches of the fixed patterns for personal data."""
+    text, out = text or "", []
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+    out += [("email", m.start(), m.end()) for m in re.finditer(email, text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append(("ip", m.start(), m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        odd, even = digits[-1::-2], digits[-2::-2]
+        if 14 <= len(digits) <= 19 and (sum(odd) + sum(sum(divmod(2 * d, 10)) for d in even)) % 10 == 0:
+            out.append(("card", m.start(), m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", m.start(), m.end()))
+    return out
+
+
+def spans_sha(spans, kinds):
+    ordered = sorted(spans, key=lambda s: (s[1], kinds.index(s[0])))
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in ordered).encode()).hexdigest()
