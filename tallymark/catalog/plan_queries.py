@@ -170,15 +170,16 @@ def _(i):
 @query("a8_result_cache", f"SELECT {STUDENT}, outcome FROM outcomes ANTI JOIN blank_student USING ({STUDENT}) WHERE outcome = 'ok'")
 def _(i):
     path = shared_folder(i.spark, "results")
-    writers.write_cache(labelled(i), path)
+    writers.write_cache(labelled(i), path, i.params())
     return writers.read_cache(i.spark, path).select(*STUDENT_KEY, "outcome")
 
 
 @query("a7_resume_from_cache", f"SELECT {STUDENT}, key_concept, label FROM expected")
 def _(i):
-    """A second run that finds the valid results of the first one."""
+    """A third run over results that a fresh one and a resumed one have kept."""
     path = shared_folder(i.spark, "results")
-    writers.write_cache(labelled(i), path)
+    writers.write_cache(labelled(i), path, i.params())
+    writers.write_cache(labelled(i, cache=writers.read_cache(i.spark, path)), path, i.params(), resume=True)
     again = labelled(i, cache=writers.read_cache(i.spark, path))
     return evaluate.predicted_labels(again).select(*STUDENT_KEY, "key_concept", "label")
 

@@ -136,8 +136,8 @@ def _(i):
     WHERE c.kind = 'if' AND c.in_draw AND f.kind IN ('assign', 'update') AND f.start >= c.start AND f.end_line <= c.end_line""",
 )
 def _(i):
-    inside = i.facts().where(F.col("kind").isin("assign", "update") & (F.col("seq") % 10 == 5) & F.col("move_start").isNotNull())
-    return inside.select(*STUDENT_KEY, "seq", F.col("move_start").cast("bigint").alias("if_start"))
+    inside = features.conditional_statements(i.facts()).where(F.col("kind").isin("assign", "update"))
+    return inside.select(*STUDENT_KEY, "seq", F.col("if_start").cast("bigint").alias("if_start"))
 
 
 @query("i10_movements", f"SELECT {STUDENT}, seq, movement, object, property FROM moves")

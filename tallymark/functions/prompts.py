@@ -125,5 +125,7 @@ def request_body(
 
 
 def option_or_param(option: Column, param: Column) -> Column:
-    """A run option wins unless it is missing, zero or empty."""
-    return F.coalesce(F.nullif(option, F.lit(0)), param)
+    """A run option wins unless it is missing, zero or empty; text is compared as text."""
+    shown = F.trim(option.cast("string"))
+    unset = shown.isNull() | (shown == "") | F.coalesce(shown.try_cast("double") == 0, F.lit(False))
+    return F.when(unset, param).otherwise(option)

@@ -20,8 +20,10 @@ Fact columns (besides the program key):
   move_start, move_end          lines to report for movement in the draw loop;
                                 NULL where the statement is not looked at
 
-Statements outside the recognised shapes become kind 'unparsed' and never stop
-a job.
+Round brackets may nest to any depth and a declaration may name any number of
+variables; names without a value have a NULL value. Declarations in loop heads
+and of function expressions count as well. Statements outside the recognised
+shapes become kind 'unparsed' and never stop a job.
 """
 
 from __future__ import annotations
@@ -42,9 +44,13 @@ _TOKEN = (
 # Stand-ins for significant characters inside quotes (private-use code points).
 _SIGNIFICANT = "{};(),\n"
 _STAND_INS = "".join(chr(0xE000 + i) for i in range(len(_SIGNIFICANT)))
+# Stand-ins for balanced round brackets inside other round brackets, so that
+# patterns meet one level only, however deep the nesting.
+_OPEN, _CLOSE, _COMMA = "\ue010", "\ue011", "\ue012"
+_DISGUISED, _PLAIN = _STAND_INS + _OPEN + _CLOSE + _COMMA, _SIGNIFICANT + "(),"
 
 _ID = r"[A-Za-z_$][\w$]*+"
-_ARGS = r"(?:[^()]++|\((?:[^()]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\))*+\))*+"
+_ARGS = r"[^()]*+"
 _CALL = rf"{_ID}(?:\.{_ID})?\s*+\({_ARGS}\)"
 _MEMBER = rf"{_ID}\.{_ID}"
 _LITERAL = r"""(?:\d++(?:\.\d*+)?|\.\d++|"(?:[^"\\]++|\\.)*+"|'(?:[^'\\]++|\\.)*+'|(?:true|false|null)(?![\w$]))"""
@@ -69,11 +75,17 @@ _STATEMENT = (
 )
 _PARTS = ["declared", "callee", "callee_method", "call_args", "pre_op", "pre_id", "pre_prop", "id", "prop", "post_op", "set_op", "rhs"]
 _DECLARATOR = rf"(?s)^({_ID})\s*+(?:=\s*+(.*))?$"
-_NEXT_DECLARATOR = rf",\s*+(?={_ID}\s*+=[^=])"
+# Commas inside round brackets have stand-ins; a bare name is not inside square ones.
+_NEXT_DECLARATOR = rf",\s*+(?={_ID}\s*+(?:=[^=]|,(?![^\[\]]*+\])|$))"
+# Declarations in the head of a loop, and of function expressions.
+_LOOP_HEAD = r"(?s)^for\s*+\(\s*+(?:var|let|const)\s++(.*?)\s*(?:;.*|\s(?:of|in)\s.*)\)$"
+_FUNCTION_VALUE = rf"(?s)^(?:var|let|const)\s++({_ID})\s*+=\s*+(?:async\s++)?function(?![\w$]).*$"
 _PLAIN_CALL = rf"(?s)^({_ID})\s*+\(({_ARGS})\)$"
 _NOT_CALLS = ["if", "while", "for", "switch", "return", "function", "catch"]
 # Place of a closing brace that is not there.
 _OPEN_ENDED = 1 << 31
+# A text has fewer characters than this, so parts of a statement never reach the next.
+_PARTS_OF_STATEMENT = 1 << 31
 
 
 def _split_match(text: Column, pattern: str, n_groups: int) -> Column:
@@ -99,8 +111,54 @@ def mask_code(code: Column) -> Column:
 
 def _unmask(text: Column) -> Column:
     # Translating is slow per character and hardly ever needed.
-    disguised = text.rlike(f"[{_STAND_INS[0]}-{_STAND_INS[-1]}]")
-    return F.when(disguised, F.translate(text, _STAND_INS, _SIGNIFICANT)).otherwise(text)
+    disguised = text.rlike(f"[{_DISGUISED[0]}-{_DISGUISED[-1]}]")
+    return F.when(disguised, F.translate(text, _DISGUISED, _PLAIN)).otherwise(text)
+
+
+def _outer_brackets(text: Column) -> Column:
+    """Show the outermost pairs of disguised brackets; disguise the commas in them."""
+    state = lambda depth, out: F.struct(depth.alias("depth"), out.alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        mark = F.right(piece, F.lit(1))
+        opens, closes = mark == _OPEN, mark == _CLOSE
+        inner = F.when(acc["depth"] > 0, F.replace(piece, F.lit(","), F.lit(_COMMA))).otherwise(
+            F.replace(piece, F.lit(_COMMA), F.lit(","))
+        )
+        shown = (
+            F.when(opens & (acc["depth"] == 0), F.replace(inner, F.lit(_OPEN), F.lit("(")))
+            .when(closes & (acc["depth"] == 1), F.replace(inner, F.lit(_CLOSE), F.lit(")")))
+            .otherwise(inner)
+        )
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        return state(depth, F.concat(acc["out"], shown))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)[^{_OPEN}{_CLOSE}]++[{_OPEN}{_CLOSE}]?|[{_OPEN}{_CLOSE}]"), F.lit(0))
+    walked = F.aggregate(pieces, state(F.lit(0), F.lit("")), step, lambda acc: acc["out"])
+    return F.when(text.contains(_OPEN) | text.contains(_COMMA), walked).otherwise(text)
+
+
+def mask_brackets(masked: Column) -> Column:
+    """Leave only the outermost balanced round brackets of masked code.
+
+    Innermost pairs are disguised first, level by level (as many rounds as the
+    text is deep); then the outermost are shown again. Brackets without partner
+    stay as they are.
+    """
+    state = lambda depth, most: F.struct(depth.alias("depth"), most.alias("most"))
+
+    def deeper(acc: Column, mark: Column) -> Column:
+        depth = F.when(mark == "(", acc["depth"] + 1).otherwise(F.greatest(acc["depth"] - 1, F.lit(0)))
+        return state(depth, F.greatest(acc["most"], depth))
+
+    def disguised(text: Column) -> Column:
+        marks = F.regexp_extract_all(text, F.lit("[()]"), F.lit(0))
+        depth = F.aggregate(marks, state(F.lit(0), F.lit(0)), deeper, lambda acc: acc["most"])
+        closing = F.size(F.filter(marks, lambda m: m == ")"))
+        levels = let(F.least(depth, closing), lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
+        return F.aggregate(levels, text, lambda t, _: F.regexp_replace(t, r"\(([^()]*+)\)", f"{_OPEN}$1{_CLOSE}"))
+
+    return let(masked, lambda text: let(disguised(text), _outer_brackets))
 
 
 def _count_breaks(text: Column) -> Column:
@@ -113,7 +171,7 @@ def statements(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     Balanced round brackets keep a statement together over lines; brackets that
     never close are ordinary characters, so they spoil one statement only.
     """
-    code = mask_code(F.regexp_replace(F.col("code"), "\r\n?", "\n"))
+    code = mask_brackets(mask_code(F.regexp_replace(F.col("code"), "\r\n?", "\n")))
     code = F.regexp_replace(code, _AFTER_OPERATOR, f"$1{_LINE_END}")
     code = F.regexp_replace(code, _BEFORE_BRACE, _LINE_END)
     pieces = F.regexp_extract_all(code, F.lit(_PIECE), F.lit(0))
@@ -246,13 +304,19 @@ def facts(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     """Scan programs (key columns and ``code``) to facts."""
     nested = blocks(statements(programs, keys), keys)
     block, text = F.col("block"), F.col("text")
-    plain = nested.where(block.isin("function", "if", "else_if") | (block.isNull() & (text != "")))
+    head = F.nullif(F.regexp_extract(text, _LOOP_HEAD, 1), F.lit(""))
+    function_value = F.nullif(F.regexp_extract(text, _FUNCTION_VALUE, 1), F.lit(""))
+    nested = nested.withColumn("head", F.when(block == "block", F.coalesce(_outer_brackets(head), function_value)))
+    plain = nested.where(
+        block.isin("function", "if", "else_if") | F.col("head").isNotNull() | (block.isNull() & (text != ""))
+    )
     parsed = with_once(plain, m=F.when(block.isNull(), _split_match(text, _STATEMENT, len(_PARTS))))
     part = {name: F.get("m", F.lit(n)) for n, name in enumerate(_PARTS)}
+    part["declared"] = F.coalesce(part["declared"], F.col("head"))
     kind = (
         F.when(block == "function", "function")
-        .when(block.isNotNull(), "if")
         .when(part["declared"].isNotNull(), "declare")
+        .when(block.isNotNull(), "if")
         .when(part["callee_method"].isNotNull(), "method")
         .when(part["callee"].isNotNull() & ~part["callee"].isin(_NOT_CALLS), "call")
         .when(part["pre_op"].isNotNull() | part["post_op"].isNotNull(), "update")
@@ -262,7 +326,7 @@ def facts(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     test = F.regexp_extract(text, rf"(?s)^(?:else\s++)?if\s*+\(({_ARGS})\)$", 1)
     values = (
         F.when(part["declared"].isNotNull(), F.split(part["declared"], _NEXT_DECLARATOR, -1))
-        .when(block.isin("if", "else_if"), F.array(test))
+        .when(block.isin("if", "else_if"), F.array(_outer_brackets(test)))
         .when(part["rhs"].isNotNull(), F.array(part["rhs"]))
         .when(block.isNull() & F.col("m").isNull(), F.array(text))
         .otherwise(F.array(F.lit(None).cast("string")))
@@ -292,7 +356,8 @@ def facts(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     )
     visible = F.col("in_draw") & (F.col("hiding") == 0) & is_kind("assign", "update")
     direct = F.col("depth") == F.col("draw.level") + 1
-    place = F.col("pos").cast("bigint") * 100 + F.col("_i")
+    place = F.col("pos").cast("bigint") * _PARTS_OF_STATEMENT + F.col("_i")
+    last_of = lambda pos: pos * _PARTS_OF_STATEMENT + (_PARTS_OF_STATEMENT - 1)
     seen = (
         is_kind("function")
         & (F.col("pos") > F.col("draw.pos"))
@@ -327,8 +392,8 @@ def facts(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
         "in_draw",
         F.when(F.col("in_draw"), F.col("draw.to")).cast("int").alias("draw_end"),
         F.coalesce(seen, F.lit(False)).alias("seen_draw"),
-        F.when(is_kind("function"), F.col("block_close") * 100 + 99)
-        .when(is_kind("if"), F.col("chain_close") * 100 + 99)
+        F.when(is_kind("function"), last_of(F.col("block_close").cast("bigint")))
+        .when(is_kind("if"), last_of(F.col("chain_close").cast("bigint")))
         .otherwise(place)
         .alias("done"),
         F.when(visible, F.when(direct, F.col("start")).otherwise(F.col("outer_if.from"))).cast("int").alias("move_start"),
@@ -345,7 +410,7 @@ def named_args(name: Column, args: Column) -> Column:
     names = F.lit(None).cast("array<string>")
     for function, arg_names in FUNCTION_ARGS.items():
         names = F.when(name == function, lit_array(arg_names)).otherwise(names)
-    masked = mask_code(args)
+    masked = mask_brackets(mask_code(args))
     pieces = F.regexp_extract_all(masked, F.lit(rf"(?s)(?:[^,()]++|\({_ARGS}\))++"), F.lit(0))
     kept = F.filter(
         F.transform(pieces, lambda a: F.trim(a)), lambda a: a.rlike(rf"(?s)^(?:{_CALL}|{_LITERAL}|{_ID})$")

@@ -187,9 +187,13 @@ def conditionals(facts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
 
 
 def conditional_statements(facts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
-    """Statements of all paths of the draw loop's conditionals, nested ones too."""
-    inside = (F.col("move_start") != F.col("start")) | (F.col("move_end") != F.col("end")) | F.col("in_if")
-    return facts.where(inside & ~kind_is("if"))
+    """Statements of all paths of the draw loop's conditionals, once per conditional around them."""
+    around = facts.where(kind_is("if") & F.col("in_draw")).select(
+        *keys, F.col("seq").alias("if_seq"), F.col("start").alias("if_start"), F.col("end").alias("if_end")
+    )
+    inside = (F.col("start") >= F.col("if_start")) & (F.col("end") <= F.col("if_end"))
+    found = facts.where(~kind_is("if")).join(around, keys).where(inside)
+    return found.select(*keys, "seq", "kind", "start", "end", "if_seq", "if_start", "if_end")
 
 
 def _moves() -> Column:

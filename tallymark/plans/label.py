@@ -112,10 +112,14 @@ def label_submissions(
     concepts = rubric_concepts(rubric_levels)
     prepared = prepare(submissions, params)
     if cache is not None:
+        # Only results of students that were asked for; what is cached is not parsed again.
+        cache = cache.join(submissions.select(*STUDENT_KEY), STUDENT_KEY, "left_semi")
         prepared = prepared.join(cache.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
+        responses = responses.join(cache.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
     live = prepared.where(~F.col("blank"))
 
-    results = live.select(*STUDENT_KEY, "model").join(
+    listed = (F.size("rule_concepts") > 0).alias("by_rules")
+    results = live.select(*STUDENT_KEY, "model", listed).join(
         response_results(responses, params, concepts), STUDENT_KEY, "left"
     )
     requested = requested_rules(params, rubric_levels)
@@ -128,7 +132,7 @@ def label_submissions(
 
     agent = F.concat(
         prompts.provider(F.col("model")),
-        F.when(F.col("by_rule").isNotNull(), f", {RULE_AGENT}").otherwise(""),
+        F.when(F.col("by_rules"), f", {RULE_AGENT}").otherwise(""),
     )
     answered = results.join(by_rule, STUDENT_KEY, "left").select(
         *STUDENT_KEY, "model", agent.alias("agent"),

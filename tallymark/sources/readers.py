@@ -51,14 +51,17 @@ def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def choose_submissions(submissions: DataFrame, limit: int = 100, student_ids: list[str] | None = None, keys: tuple[str, ...] = ("dataset", "lesson"), by: str = "path") -> DataFrame:
+def choose_submissions(submissions: DataFrame, limit: int | None = None, student_ids: list[str] | None = None, keys: tuple[str, ...] = ("dataset", "lesson"), by: str = "path") -> DataFrame:
     """The given students, or the first ``limit`` of every lesson by path.
 
     The limit is the number of students to evaluate per lesson, an option of a
-    run; Spark keeps only the first rows per task before the exchange.
+    run; without it all stay. Spark keeps only the first rows per task before the
+    exchange.
     """
     if student_ids:
         return submissions.where(F.col("student_id").isin(student_ids))
+    if limit is None:
+        return submissions
     first = W.partitionBy(*keys).orderBy(by)
     return submissions.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit).drop("_n")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.dims import RUN_KEY
+from tallymark.dims import RUN_KEY, STUDENT_KEY
+from tallymark.session import materialize
 
 CACHED_AGENTS_EXCLUDED = ["static"]
 
@@ -15,26 +16,58 @@ def cacheable(assessed: DataFrame) -> DataFrame:
     return assessed.where((F.col("outcome") == "ok") & ~F.col("agent").isin(CACHED_AGENTS_EXCLUDED))
 
 
-def write_cache(assessed: DataFrame, path: str, resume: bool = False) -> None:
-    """Keep valid results; without ``resume`` the runs' earlier results go."""
-    writer = cacheable(assessed).write.partitionBy(*RUN_KEY)
-    if resume:
-        writer.mode("append").parquet(path)
-    else:
-        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def write_cache(assessed: DataFrame, path: str, runs: DataFrame, resume: bool = False) -> None:
+    """Keep the valid results of ``runs`` (the run keys of this job).
 
+    A fresh evaluation replaces whatever the cache has of its runs, also of those
+    without a single valid result now; runs outside the job stay. ``resume`` adds the
+    students that the cache does not have yet. Results are stored before the cache
+    changes, so they may have been read from it.
+    """
+    spark = assessed.sparkSession
+    kept = materialize(cacheable(assessed), "cache-rows")
+    if _exists(spark, path):
+        old = read_cache(spark, path)
+        if resume:
+            kept = kept.join(old.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
+        else:
+            _remove_runs(spark, path, old, runs)
+    kept.write.partitionBy(*RUN_KEY).mode("append").parquet(path)
 
-def read_cache(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # A first run without valid results leaves a folder without partitions.
+    return store.exists(at) and any(s.isDirectory() for s in store.listStatus(at))
+
+
+def _remove_runs(spark: SparkSession, path: str, old: DataFrame, runs: DataFrame) -> None:
+    """Delete the cache's partitions of the runs; a partition is one run."""
+    stale = runs.select(*RUN_KEY).distinct().join(old.select(*RUN_KEY).distinct(), RUN_KEY, "left_semi")
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for run in stale.toLocalIterator():  # a line per run, not per result
+        folder = "/".join(f"{key}={escape(run[key])}" for key in RUN_KEY)
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    text = {key: F.col(key).cast("string") for key in RUN_KEY}
+    return spark.read.parquet(path).withColumns(text)
 
 
 def label_sheet(predicted: DataFrame, concepts: list[str], keys: list[str] = RUN_KEY) -> DataFrame:
-    """One row per student, one column per concept (sorted), by student number."""
+    """One row per student, one column per concept (sorted), by student number.
+
+    A concept that a result holds twice shows its first label.
+    """
+    order = F.col("pos") if "pos" in predicted.columns else F.col("label")
     number = F.split_part("student_id", F.lit("_"), F.lit(2)).try_cast("bigint")
     return (
         predicted.groupBy(*keys, "student_id")
         .pivot("key_concept", sorted(concepts))
-        .agg(F.first("label"))
+        .agg(F.min_by("label", order))
         .withColumn("_n", number)
         .orderBy(*keys, "_n")
         .drop("_n")

@@ -87,10 +87,34 @@ def test_cache_keeps_valid_results_of_other_runs(spark, tmp_path):
         return [("d", "e", lesson, "s1", "openai", "ok", note), ("d", "e", lesson, "s2", "static", "ok", note),
                 ("d", "e", lesson, "s3", "openai", "invalid", note)]
 
+    def runs(*lessons):
+        return spark.createDataFrame([("d", "e", lesson) for lesson in lessons], "dataset string, experiment string, lesson string")
+
     path = f"{tmp_path}/cache"
-    writers.write_cache(spark.createDataFrame(rows("L1", "a") + rows("L2", "a"), schema), path)
-    writers.write_cache(spark.createDataFrame(rows("L1", "b"), schema), path)
+    writers.write_cache(spark.createDataFrame(rows("L1", "a") + rows("L2", "a"), schema), path, runs("L1", "L2"))
+    writers.write_cache(spark.createDataFrame(rows("L1", "b"), schema), path, runs("L1"))
     kept = writers.read_cache(spark, path)
     assert sorted((r.lesson, r.student_id, r.note) for r in kept.collect()) == [("L1", "s1", "b"), ("L2", "s1", "a")]
-    writers.write_cache(spark.createDataFrame(rows("L3", "c"), schema), path, resume=True)
-    assert writers.read_cache(spark, path).groupBy(*RUN_KEY).agg(F.count("*")).count() == 3
+    for _ in range(2):  # what is there already is not added again
+        writers.write_cache(spark.createDataFrame(rows("L3", "c") + rows("L1", "c"), schema), path, runs("L1", "L3"), resume=True)
+    kept = writers.read_cache(spark, path)
+    assert sorted((r.lesson, r.student_id, r.note) for r in kept.collect()) == [("L1", "s1", "b"), ("L2", "s1", "a"), ("L3", "s1", "c")]
+    assert kept.groupBy(*RUN_KEY).agg(F.count("*")).count() == 3
+    # A fresh run in which everything failed leaves nothing of its own runs.
+    failed = spark.createDataFrame([r for r in rows("L1", "d") if r[5] != "ok"], schema)
+    writers.write_cache(failed, path, runs("L1"))
+    assert sorted(r.lesson for r in writers.read_cache(spark, path).collect()) == ["L2", "L3"]
+
+
+def test_no_default_limit_of_students(spark):
+    rows = spark.createDataFrame([("d", "l", f"s{n:03}", f"p{n:03}") for n in range(150)], "dataset string, lesson string, student_id string, path string")
+    assert readers.choose_submissions(rows).count() == 150
+
+
+def test_run_options(spark):
+    from tallymark.functions.prompts import option_or_param
+
+    text = spark.createDataFrame([("", "p"), ("0", "p"), (None, "p"), ("gpt", "p")], "o string, p string")
+    assert [r[0] for r in text.select(option_or_param(F.col("o"), F.col("p"))).collect()] == ["p", "p", "p", "gpt"]
+    number = spark.createDataFrame([(0.0, 1.5), (None, 1.5), (0.2, 1.5)], "o double, p double")
+    assert [r[0] for r in number.select(option_or_param(F.col("o"), F.col("p"))).collect()] == [1.5, 1.5, 0.2]
