@@ -5,6 +5,7 @@ from tallymark.catalog import (  # noqa: F401
     metric_queries,
     plan_queries,
     program_queries,
+    source_queries,
     text_queries,
 )
 from tallymark.catalog.inputs import Inputs

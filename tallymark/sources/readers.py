@@ -2,7 +2,8 @@
 
 A dataset is ``<root>/<dataset>/<lesson>/…`` and parameters are
 ``<root>/<experiment>/<lesson>/…``; one read with a glob covers all lessons of
-any Hadoop file system, and names come from the path.
+any Hadoop file system, and names come from the path. ``read_…`` opens files,
+``…_of`` takes a table of them (path, value), wherever it comes from.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ RESPONSE_SCHEMA = (
 
 
 def _path():
-    return F.col("_metadata.file_path")
+    return F.col("path")
 
 
 def _decoded(part):
@@ -39,13 +40,17 @@ def _parent(level: int):
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file; the text is the whole file."""
-    return spark.read.text(path, wholetext=True)
+    """One row per file: its path and, in ``value``, the whole file."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
     """``…/<dataset>/<lesson>/<student>.js`` -> dataset, lesson, student_id, code."""
-    return read_whole(spark, path).select(
+    return submissions_of(read_whole(spark, path))
+
+
+def submissions_of(files: DataFrame) -> DataFrame:
+    return files.select(
         _parent(2).alias("dataset"), _parent(1).alias("lesson"), _stem("js").alias("student_id"),
         _path().alias("path"), F.col("value").alias("code"),
     )
@@ -88,7 +93,7 @@ def unpivot_labels(wide: DataFrame, keys: list[str], student: str = "student", o
     )
 
 
-def _sheet_rows(spark: SparkSession, path: str, root: str) -> DataFrame:
+def _sheet_rows(files: DataFrame, root: str) -> DataFrame:
     """Rows of many sheets, each under its own header.
 
     A sheet is one small file and its columns are its own, so files of one
@@ -96,8 +101,7 @@ def _sheet_rows(spark: SparkSession, path: str, root: str) -> DataFrame:
     """
     rows = F.posexplode(answers.sheet_rows(F.col("value")))
     return (
-        read_whole(spark, path)
-        .select(_parent(2).alias(root), _parent(1).alias("lesson"), _path().alias("path"), "value")
+        files.select(_parent(2).alias(root), _parent(1).alias("lesson"), _path().alias("path"), "value")
         .select(root, "lesson", "path", rows.alias("ord", "entries"))
     )
 
@@ -107,8 +111,12 @@ def read_actual_labels(spark: SparkSession, path: str) -> DataFrame:
 
     A later row of the same student replaces an earlier one.
     """
+    return actual_labels_of(read_whole(spark, path))
+
+
+def actual_labels_of(files: DataFrame) -> DataFrame:
     labels = F.filter("entries", lambda e: e["k"] != "student")
-    long = _sheet_rows(spark, path, "dataset").select(
+    long = _sheet_rows(files, "dataset").select(
         "dataset", "lesson", answers.cell(F.col("entries"), "student").alias("student_id"),
         "path", "ord", F.inline(labels),
     )
@@ -121,9 +129,13 @@ def read_rubrics(spark: SparkSession, path: str) -> DataFrame:
 
     ``Instructions`` is optional; descriptors is a map label -> text.
     """
+    return rubrics_of(read_whole(spark, path))
+
+
+def rubrics_of(files: DataFrame) -> DataFrame:
     entries = F.col("entries")
     pairs = [x for label in VALID_LABELS for x in (F.lit(label), answers.cell(entries, label))]
-    return _sheet_rows(spark, path, "experiment").select(
+    return _sheet_rows(files, "experiment").select(
         "experiment", "lesson", answers.cell(entries, "Key Concept").alias("key_concept"), "ord",
         answers.cell(entries, "Instructions").alias("instructions"),
         F.create_map(*pairs).alias("descriptors"),
@@ -138,14 +150,22 @@ def rubric_levels(rubrics: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    return read_whole(spark, path).select(
+    return prompts_of(read_whole(spark, path))
+
+
+def prompts_of(files: DataFrame) -> DataFrame:
+    return files.select(
         _parent(2).alias("experiment"), _parent(1).alias("lesson"), F.col("value").alias("prompt")
     )
 
 
 def raw_params(spark: SparkSession, path: str) -> DataFrame:
     """Parameter files as MAP<STRING, STRING>, for checking."""
-    return read_whole(spark, path).select(
+    return raw_params_of(read_whole(spark, path))
+
+
+def raw_params_of(files: DataFrame) -> DataFrame:
+    return files.select(
         _parent(2).alias("experiment"), _parent(1).alias("lesson"),
         F.from_json("value", "map<string,string>").alias("params"),
     )
@@ -168,11 +188,14 @@ def cast_params(raw: DataFrame, keys: list[str]) -> DataFrame:
 
 def read_examples(spark: SparkSession, path: str, answer_path: str) -> DataFrame:
     """``…/<experiment>/<lesson>/examples/<id>.js`` with ``<id>.tsv`` or ``<id>.json``."""
+    return examples_of(read_whole(spark, path), read_whole(spark, answer_path))
+
+
+def examples_of(code_files: DataFrame, answer_files: DataFrame) -> DataFrame:
     place = [_parent(3).alias("experiment"), _parent(2).alias("lesson")]
-    extension = answer_path.rsplit(".", 1)[-1]
-    code = read_whole(spark, path).select(*place, _stem("js").alias("example_id"), F.col("value").alias("code"))
-    answer = read_whole(spark, answer_path).select(
-        *place, _stem(extension).alias("example_id"), F.col("value").alias("answer")
+    code = code_files.select(*place, _stem("js").alias("example_id"), F.col("value").alias("code"))
+    answer = answer_files.select(
+        *place, _stem("(?:tsv|json)").alias("example_id"), F.col("value").alias("answer")
     )
     return code.join(answer, ["experiment", "lesson", "example_id"])
 
