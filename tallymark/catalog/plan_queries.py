@@ -75,11 +75,13 @@ def _(i):
 
 @query(
     "b30_result_envelope",
-    f"SELECT {STUDENT}, 'static' AS agent, student_id AS named, CAST(4 AS BIGINT) AS n_rows FROM blank_student",
+    f"""SELECT {STUDENT}, CASE WHEN b.sid IS NOT NULL THEN 'static' ELSE 'openai, code feature extractor' END AS agent, student_id AS named,
+    CASE WHEN b.sid IS NOT NULL THEN 4 ELSE n END AS n_rows
+    FROM outcomes o LEFT JOIN blank_student b USING ({STUDENT})
+    LEFT JOIN (SELECT {STUDENT}, count(*) AS n FROM expected GROUP BY {STUDENT}) USING ({STUDENT})""",
 )
 def _(i):
-    blank = label.blank_results(label.prepare(i.submissions(), i.params()), label.rubric_concepts(i.rubric_levels()))
-    document = label.result_envelope(blank)
+    document = label.result_envelope(labelled(i))
     return document.select(
         *STUDENT_KEY,
         F.get_json_object("result", "$.metadata.agent").alias("agent"),
@@ -112,9 +114,7 @@ def _evaluated(i: Inputs):
     GROUP BY {RUN}, key_concept, mode""",
 )
 def _(i):
-    predicted = evaluate.predicted_labels(labelled(i))
-    pairs = metrics.in_both_modes(metrics.label_pairs(metrics.match_labels(predicted, _human(i))))
-    acc = metrics.accuracy(pairs).where(~F.col("overall"))
+    acc = _evaluated(i)["accuracy_counts"].where(~F.col("overall"))
     return acc.select(*RUN_KEY, "key_concept", "mode", "n", "n_equal")
 
 
@@ -197,9 +197,21 @@ def _(i):
     return evaluate.predicted_labels(done).drop("pos")
 
 
-@query("m8_new_labels", f"SELECT {RUN}, student_id AS student, max(label) FILTER (key_concept = 'Concept 3') AS \"Concept 3\" FROM expected GROUP BY {STUDENT}")
+@query(
+    "m8_new_labels",
+    f"""SELECT {STUDENT}, key_concept, coalesce(e.label, 'none') AS label FROM rubric JOIN (SELECT DISTINCT {STUDENT} FROM expected) USING ({RUN})
+    LEFT JOIN expected e USING ({GROUP})""",
+)
 def _(i):
-    return evaluate.new_labels(labelled(i), ["Concept 3"])
+    """Every run's sheet with all its concepts, back in long form."""
+    sheets = evaluate.new_labels(materialize(labelled(i), "labelled"), i.rubric_levels())
+    result = None
+    for sheet in sheets.values():
+        concepts = [c for c in sheet.columns if c not in (*RUN_KEY, "student")]
+        long = sheet.unpivot([*RUN_KEY, "student"], [f"`{c}`" for c in concepts], "key_concept", "label")
+        long = long.select(*RUN_KEY, F.col("student").alias("student_id"), "key_concept", F.coalesce("label", F.lit("none")).alias("label"))
+        result = long if result is None else result.unionByName(long)
+    return result
 
 
 @query("b31_requests_table", f"SELECT {STUDENT}, 'openai' AS provider, 'gpt-4-0613' AS provider_model, CAST(2 AS BIGINT) AS n_messages FROM live_student")

@@ -67,7 +67,8 @@ def parse_json_rows(array_text: Column) -> Column:
 
     def parse(text: Column) -> Column:
         rows = _from_wrapped_json(text, "map<string,string>")
-        lists = _from_wrapped_json(text, "struct<Evidence:array<string>>")
+        # Only a text with another bracket can hold a list: most are parsed once.
+        lists = F.when(F.locate("[", text, 2) > 0, _from_wrapped_json(text, "struct<Evidence:array<string>>"))
         return let(F.struct(rows.alias("rows"), lists.alias("lists")), combine)
 
     return let(array_text, parse)

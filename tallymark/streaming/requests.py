@@ -36,17 +36,19 @@ def label_stream(requests: DataFrame, rubric_levels: DataFrame, params: DataFram
             kept.append(df.persist())
             return kept[-1]
 
-        keep(batch)
-        labelled = label_submissions(
-            batch.select(*STUDENT_KEY, "code"),
-            rubric_levels,
-            params,
-            batch.select(*STUDENT_KEY, "http_status", "body"),
-            keep_facts=keep,
-        )
-        labelled.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        for df in kept:
-            df.unpersist()
+        try:
+            keep(batch)
+            labelled = label_submissions(
+                batch.select(*STUDENT_KEY, "code"),
+                rubric_levels,
+                params,
+                batch.select(*STUDENT_KEY, "http_status", "body"),
+                keep_facts=keep,
+            )
+            labelled.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            for df in kept:
+                df.unpersist()
 
     return (
         requests.writeStream.foreachBatch(label_batch)

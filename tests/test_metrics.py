@@ -54,3 +54,20 @@ def test_gate_reports_missing_thresholds(spark):
     assert checked == {"c": "below", None: "missing"}
     failures = metrics.threshold_failures(metrics.against_thresholds(acc, limits))
     assert metrics.gate(failures).first().passed is False
+
+
+def test_run_options_and_input_checks(spark):
+    from tallymark.plans import evaluate
+
+    params = spark.createDataFrame([("d", "e", "l", "gpt-4", 3, 0.2, True)], "dataset string, experiment string, lesson string, model string, num_responses int, temperature double, remove_comments boolean")
+    row = evaluate.run_options(params, model="", num_responses=5, temperature=0.0, remove_comments=None).first()
+    assert (row.model, row.num_responses, row.temperature, row.remove_comments) == ("gpt-4", 5, 0.2, True)
+
+    run = "dataset string, experiment string, lesson string"
+    raw = spark.createDataFrame([("d", "e", "nowhere", {"model": "odd"})], f"{run}, params map<string,string>")
+    rubric = spark.createDataFrame([("d", "e", "nowhere", "A", 0)], f"{run}, key_concept string, ord int")
+    actual = spark.createDataFrame([("d", "e", "nowhere", "s1", "B", "No Evidence")], f"{run}, student_id string, key_concept string, label string")
+    submitted = spark.createDataFrame([("d", "e", "nowhere", s) for s in ("s1", "s2")], f"{run}, student_id string")
+    found = {name: table.count() for name, table in evaluate.input_checks(raw, rubric, actual, submitted).items()}
+    assert found["concept_mismatches"] == 2 and found["students_without_labels"] == 1 and found["unsupported_lessons"] == 1
+    assert found["param_problems"] >= 2
