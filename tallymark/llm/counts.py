@@ -19,6 +19,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -126,7 +127,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, size: int = FRE
     docs = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
     frequent = frequent_words(docs, size)
     lengths = np.array(counter(path).lengths(frequent), dtype=np.uint16)
-    mark = str(hash((tuple(frequent), path)))
+    mark = xxhash.xxh64_hexdigest("\n".join([path, *frequent]))
     table = docs.sparkSession.sparkContext.broadcast((frequent, lengths, mark))
     counted = arrow_map(docs, __name__, "_count_batches", "doc_id bigint, n_bytes bigint, n_tokens bigint", path, table)
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

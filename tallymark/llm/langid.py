@@ -31,6 +31,7 @@ UND = "und"
 # Bounds of the training sample.
 PER_LANGUAGE = 150
 MAX_CHARS = 20_000
+LANGUAGES = 200  # the most frequent labels are learned
 # Most frequent features that are learned.
 FEATURES = 60_000
 ROUNDS = 25
@@ -192,13 +193,15 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> LanguageModel:
     """Learn from the text and lang of labelled rows that are not held out.
 
-    Reads at most ``per_language`` rows of each language to the driver, those with
-    the lowest hash of doc_id among rows of at most ``max_chars`` characters.
+    Reads at most ``per_language`` rows of each of the ``LANGUAGES`` most frequent
+    languages to the driver, those with the lowest hash of doc_id among rows of at
+    most ``max_chars`` characters.
     """
     labelled = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text", "CAST(lang AS STRING) AS lang")
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.length("text") <= max_chars))
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["count"] for r in seen.collect()}
     share = F.lit(0.0)
     for lang, count in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * per_language + 20) / count))).otherwise(share)
