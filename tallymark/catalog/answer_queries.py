@@ -8,13 +8,13 @@ from tallymark.catalog.inputs import CTES, RUN, STUDENT, Inputs
 from tallymark.catalog.registry import query
 from tallymark.dims import LESSONS, RUN_KEY, STUDENT_KEY, SUPPORTED_MODELS
 from tallymark.operators import responses, validate
-from tallymark.plans.label import rubric_concepts
+from tallymark.plans.label import run_settings
 
 
 def _known(i: Inputs):
     """Responses with the response type and rubric concepts of their run."""
-    settings = i.params().select(*RUN_KEY, "response_type").join(rubric_concepts(i.rubric_levels()), RUN_KEY)
-    return i.responses().join(settings, RUN_KEY)
+    settings = run_settings(i.params(), i.rubric_levels()).where("concepts IS NOT NULL")
+    return i.responses().join(settings.select(*RUN_KEY, "response_type", "concepts"), RUN_KEY)
 
 
 def graded(i: Inputs):

@@ -38,7 +38,7 @@ CTES["expected"] = f"""SELECT {STUDENT}, sid, key_concept, observations, evidenc
 def labelled(i: Inputs, cache=None):
     return label.label_submissions(
         i.submissions(), i.rubric_levels(), i.params(), i.responses(), cache=cache,
-        keep_facts=lambda facts: materialize(facts, "facts"),
+        keep=lambda rows: materialize(rows, "labelling"),
     )
 
 

@@ -310,8 +310,13 @@ def label_programs(programs: DataFrame, features: DataFrame, requested: DataFram
     )
 
 
-def evidence_items(facts: DataFrame, stats: DataFrame, features: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
-    """Every message every section would give: one row per fact and section."""
+def evidence_items(
+    facts: DataFrame, stats: DataFrame, features: DataFrame, keys: list[str] = STUDENT_KEY, requested: DataFrame | None = None
+) -> DataFrame:
+    """Every message a section would give: one row per fact and section.
+
+    With ``requested``, only the sections that the run's rules show are built.
+    """
     names = stats.select(
         *keys, "ns", "nm", "type", "moves", "n_open_defs",
         F.col("decl.seq").alias("decl_seq"),
@@ -332,14 +337,20 @@ def evidence_items(facts: DataFrame, stats: DataFrame, features: DataFrame, keys
         )
     )
 
+    if requested is not None:
+        sections = F.broadcast(rule_dim(facts.sparkSession))  # a few dozen constant rows
+        shown = requested.join(sections, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(F.collect_set("section").alias("shown"))
+        rows = rows.join(shown, RUN_KEY)
+
     def entry(section: str) -> Column:
         by_if = section in _MOVEMENT_SECTIONS
-        return F.struct(
+        built = F.struct(
             F.lit(section).alias("section"),
             F.col("move_start" if by_if else "start").alias("start"),
             F.col("move_end" if by_if else "end").alias("end"),
             SECTIONS[section]().alias("message"),
         )
+        return built if requested is None else F.when(F.array_contains("shown", section), built)
 
     found = F.filter(F.array(*[entry(s) for s in SECTIONS]), lambda e: e["message"].isNotNull())
     return rows.select(*keys, "seq", "done", F.explode(found).alias("e")).select(
@@ -381,7 +392,7 @@ def rule_rows(programs: DataFrame, facts: DataFrame, requested: DataFrame, rubri
     stats = name_stats(facts, keys)
     features = program_features(stats, keys)
     labels = label_programs(programs, features, requested, keys)
-    lists = evidence_lists(rule_evidence(evidence_items(facts, stats, features, keys), requested, keys), keys)
+    lists = evidence_lists(rule_evidence(evidence_items(facts, stats, features, keys, requested), requested, keys), keys)
     reason = rubric_levels.select(*RUN_KEY, "key_concept", "label", F.col("descriptor").alias("reason"))
     return (
         labels.join(lists, [*keys, "key_concept"], "left")

@@ -11,6 +11,7 @@ from tallymark.functions.text import is_blank, sanitize_code
 from tallymark.operators import facts as fact_ops
 from tallymark.operators import responses as response_ops
 from tallymark.operators import rules
+from tallymark.session import materialize
 
 BLANK_TEXT = "The program is empty."
 RULE_AGENT = "code feature extractor"
@@ -24,6 +25,17 @@ def rubric_concepts(rubric_levels: DataFrame) -> DataFrame:
     return first.groupBy(*RUN_KEY).agg(F.transform(ordered, lambda c: c["key_concept"]).alias("concepts"))
 
 
+def run_settings(params: DataFrame, rubric_levels: DataFrame) -> DataFrame:
+    """One stored row per run: its parameters and the rubric's concepts.
+
+    Programs and responses are joined with it by the run key. Stored, its size is
+    known, so that it is broadcast and the heavy side does not move for it.
+    """
+    names = ["model", "response_type", "remove_comments", "rule_concepts", "tree_lesson"]
+    joined = params.select(*RUN_KEY, *names).join(rubric_concepts(rubric_levels), RUN_KEY, "left")
+    return materialize(joined, "run-settings")
+
+
 def prepare(submissions: DataFrame, params: DataFrame) -> DataFrame:
     """Submissions of known runs, comments removed where asked, blank ones flagged."""
     code = sanitize_code(F.col("code"), F.col("remove_comments"))
@@ -53,9 +65,9 @@ def blank_results(prepared: DataFrame, concepts: DataFrame) -> DataFrame:
     )
 
 
-def response_results(responses: DataFrame, params: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Parse, check and vote every stored response."""
-    settings = params.select(*RUN_KEY, "model", "response_type").join(concepts, RUN_KEY)
+def response_results(responses: DataFrame, settings: DataFrame) -> DataFrame:
+    """Parse, check and vote every stored response of the runs in ``settings``."""
+    settings = settings.where(F.col("concepts").isNotNull()).select(*RUN_KEY, "model", "response_type", "concepts")
     provider = prompts.provider(F.col("model"))
     known = responses.join(settings, RUN_KEY).withColumn(
         # Other providers always answer in JSON.
@@ -101,34 +113,38 @@ def label_submissions(
     responses: DataFrame,
     cache: DataFrame | None = None,
     facts: DataFrame | None = None,
-    keep_facts=None,
+    keep=None,
+    settings: DataFrame | None = None,
 ) -> DataFrame:
     """One result row per submission; failures are outcomes, not errors.
 
     Program text meets nothing but its own settings and statements, response
     text is parsed where it is read; only keys and result rows are joined.
-    ``keep_facts`` may store the scanned facts (they are read three times).
+    ``keep`` may store what several branches read: the submissions without their
+    text (four times) and the scanned facts (three times). ``settings`` are the
+    stored ``run_settings``, made here unless given.
     """
-    concepts = rubric_concepts(rubric_levels)
-    prepared = prepare(submissions, params)
+    keep = keep or (lambda df: df)
+    if settings is None:
+        settings = run_settings(params, rubric_levels)
+    prepared = prepare(submissions, settings)
     if cache is not None:
         # Only results of students that were asked for; what is cached is not parsed again.
         cache = cache.join(submissions.select(*STUDENT_KEY), STUDENT_KEY, "left_semi")
         prepared = prepared.join(cache.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
         responses = responses.join(cache.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
-    live = prepared.where(~F.col("blank"))
+    state = keep(prepared.drop("code"))
+    live = state.where(~F.col("blank"))
 
     listed = (F.size("rule_concepts") > 0).alias("by_rules")
     results = live.select(*STUDENT_KEY, "model", listed).join(
-        response_results(responses, params, concepts), STUDENT_KEY, "left"
+        response_results(responses, settings), STUDENT_KEY, "left"
     )
-    requested = requested_rules(params, rubric_levels)
-    ruled = live.where(F.size("rule_concepts") > 0)
+    requested = requested_rules(settings, rubric_levels)
+    by_rules = F.size("rule_concepts") > 0
     if facts is None:
-        facts = fact_ops.facts(ruled, STUDENT_KEY)
-        if keep_facts is not None:
-            facts = keep_facts(facts)
-    by_rule = rule_lists(rules.rule_rows(ruled, facts, requested, rubric_levels))
+        facts = keep(fact_ops.facts(prepared.where(~F.col("blank") & by_rules), STUDENT_KEY))
+    by_rule = rule_lists(rules.rule_rows(live.where(by_rules), facts, requested, rubric_levels))
 
     agent = F.concat(
         prompts.provider(F.col("model")),
@@ -140,7 +156,7 @@ def label_submissions(
         F.coalesce("total_tokens", F.lit(0).cast("bigint")).alias("total_tokens"),
         response_ops.sanitize_data(_override(F.col("data"), F.col("by_rule"))).alias("data"),
     )
-    parts = [answered, blank_results(prepared, concepts)]
+    parts = [answered, blank_results(state, settings.where("concepts IS NOT NULL").select(*RUN_KEY, "concepts"))]
     if cache is not None:
         parts.append(cache.select(*RESULT_COLUMNS))
     union = parts[0].select(*RESULT_COLUMNS)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymark.dims import STUDENT_KEY
-from tallymark.plans.label import label_submissions
+from tallymark.plans.label import label_submissions, run_settings
 
 REQUEST_SCHEMA = (
     "dataset string, experiment string, lesson string, student_id string, "
@@ -28,6 +28,7 @@ def read_request_stream(spark: SparkSession, path: str, files_per_batch: int = 1
 
 def label_stream(requests: DataFrame, rubric_levels: DataFrame, params: DataFrame, out: str, checkpoint: str):
     """Start labelling; stops by itself once all present files are done."""
+    settings = run_settings(params, rubric_levels)  # once, not in every batch
 
     def label_batch(batch: DataFrame, batch_id: int) -> None:
         kept = []
@@ -43,7 +44,8 @@ def label_stream(requests: DataFrame, rubric_levels: DataFrame, params: DataFram
                 rubric_levels,
                 params,
                 batch.select(*STUDENT_KEY, "http_status", "body"),
-                keep_facts=keep,
+                keep=keep,
+                settings=settings,
             )
             labelled.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         finally:
