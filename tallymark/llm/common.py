@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -15,7 +16,13 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 CHUNK_CHARS = 2_000_000
 
 
-def arrow_map(df: DataFrame, module: str, name: str, schema: str, *args) -> DataFrame:
+def widened(df: DataFrame, added: str = "") -> T.StructType:
+    """The columns of ``df``, all nullable, and those of the DDL text ``added``."""
+    own = [T.StructField(f.name, f.dataType, True) for f in df.schema]
+    return T.StructType(own + (T.StructType.fromDDL(added).fields if added else []))
+
+
+def arrow_map(df: DataFrame, module: str, name: str, schema: str | T.StructType, *args) -> DataFrame:
     """``mapInArrow`` with the function ``name`` of ``module``.
 
     Tasks import the module instead of unpickling the function, so what it keeps
@@ -47,12 +54,6 @@ def text_chunks(
                 start, chars = at + 1, 0
 
 
-def with_columns(batch: pa.RecordBatch, kept: list[int], added: dict[str, pa.Array]) -> pa.RecordBatch:
-    arrays = [batch.column(i) for i in kept] + list(added.values())
-    names = [batch.schema.names[i] for i in kept] + list(added)
-    return pa.RecordBatch.from_arrays(arrays, names=names)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """True for the fifth of the documents that no model learns from."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import arrow_map, ordinal_rows
+from tallymark.llm.common import arrow_map, ordinal_rows, widened
 from tallymark.session import materialize
 
 # Distinct hashes a bucket holds before it splits.
@@ -176,8 +176,8 @@ def build_index(docs: DataFrame, owners: int | None = None, capacity: int = BUCK
     owners = owners or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = docs.columns
     text, key = names.index("text"), names.index("doc_id")
-    plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    entries = arrow_map(docs, __name__, "_combine", f"{plain}, {MARK}hash bigint, {MARK}n bigint, {MARK}ties bigint", text, key)
+    combined = widened(docs, f"{MARK}hash bigint, {MARK}n bigint, {MARK}ties bigint")
+    entries = arrow_map(docs, __name__, "_combine", combined, text, key)
     ranges = owners * RANGES_PER_TASK
     # The high bits choose the range, the low ones the place in its directory.
     owner = F.floor(F.shiftrightunsigned(MARK + "hash", 32) * F.lit(ranges) / F.lit(2.0**32)).cast("bigint")
@@ -187,7 +187,7 @@ def build_index(docs: DataFrame, owners: int | None = None, capacity: int = BUCK
         for n, t in [("owner", "bigint"), ("bucket", "bigint"), ("depth", "bigint"), ("chain", "bigint"),
                      ("hash", "bigint"), ("sha256", "string"), ("n", "bigint"), ("ties", "bigint")]
     )
-    return materialize(arrow_map(dealt, __name__, "_own", f"{plain}, {added}", text, key, capacity), "exact-index")
+    return materialize(arrow_map(dealt, __name__, "_own", widened(docs, added), text, key, capacity), "exact-index")
 
 
 def decisions(docs: DataFrame, owners: int | None = None) -> DataFrame:

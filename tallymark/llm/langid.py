@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.chains import Bags, Climber, Stream, pair_sums
-from tallymark.llm.common import arrow_map, held_out, text_chunks
+from tallymark.llm.common import arrow_map, held_out, text_chunks, widened
 
 UND = "und"
 # Bounds of the training sample.
@@ -255,6 +255,5 @@ def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     ``und`` texts go. When nothing is labelled, texts with letters stay.
     """
     model = fit(docs)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     every = list(range(len(docs.columns)))
-    return arrow_map(docs, __name__, "_predict_batches", schema, docs.columns.index("text"), every, model.state(), _key(model), least)
+    return arrow_map(docs, __name__, "_predict_batches", widened(docs), docs.columns.index("text"), every, model.state(), _key(model), least)

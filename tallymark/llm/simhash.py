@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import arrow_map, text_chunks
+from tallymark.llm.common import arrow_map, text_chunks, widened
 from tallymark.llm.components import components
 from tallymark.session import materialize
 
@@ -249,5 +249,4 @@ def _append_batches(batches, text: int, words: int) -> Iterator[pa.RecordBatch]:
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
     """``docs`` and their fingerprint in ``__own_fp``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, __name__, "_append_batches", f"{schema}, __own_fp bigint", docs.columns.index("text"), WORDS)
+    return arrow_map(docs, __name__, "_append_batches", widened(docs, "__own_fp bigint"), docs.columns.index("text"), WORDS)

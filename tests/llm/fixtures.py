@@ -2,9 +2,10 @@
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, fp string, digest string, "
-    "ids string, times string, score string, lang_pred string, `size` string, `odd name` string, a int, root int"
+    "ids string, times string, score string, lang_pred string, `size` string, `odd name` string, a int, root int, "
+    "nested struct<`x y`: int, z: array<string>>"
 )
-EXTRA = (None, None, None, *["clash"] * 9, 1, 2)
+EXTRA = (None, None, None, *["clash"] * 9, 1, 2, (1, ["z"]))
 
 ENGLISH = "the people of the town would often think about the weather before they went out to the market"
 GERMAN = "die Leute in der Stadt dachten oft an das Wetter bevor sie auf den Markt gingen und Brot kauften"
