@@ -255,7 +255,9 @@ _STATEMENTS = [
     ("draw", [7], _q("line(1, 2, 3, 4);"), _fact("call", name=_q("line"), args=_q("1, 2, 3, 4")), None),
     ("post", [0, 1, 2], f"'function ' || {_FUN} || '() {{ noStroke(); }}'",
      _fact("function", name=_FUN), _fact("call", name=_q("noStroke"), args=_q(""))),
-    ("post", [3, 4, 5], f"{_FUN} || '();'", _fact("call", name=_FUN, args=_q("")), None),
+    ("post", [3, 4], f"{_FUN} || '();'", _fact("call", name=_FUN, args=_q("")), None),
+    ("post", [5], _q('keyDown(((((((("up"))))))));'),
+     _fact("call", name=_q("keyDown"), args=_q('((((((("up")))))))')), None),
     ("post", [6], f"'var ' || {_OBJ} || ' = createSprite(3, 4);'",
      _fact("declare", name=_OBJ, call=_q("createSprite"), args=_q("3, 4"), value=_q("createSprite(3, 4)")), None),
     ("post", [7], f"{_OBJ} || '.setAnimation(\"z\");'",

@@ -91,7 +91,7 @@ def _(i):
 @query(
     "i5_function_calls",
     f"""SELECT {STUDENT}, seq, CASE WHEN kind = 'call' THEN name END AS function, object, CASE WHEN kind = 'method' THEN name END AS method,
-    false AS user_interaction FROM facts WHERE kind IN ('call', 'method')""",
+    kind = 'call' AND name = 'keyDown' AS user_interaction FROM facts WHERE kind IN ('call', 'method')""",
 )
 def _(i):
     return features.function_calls(i.facts()).select(*STUDENT_KEY, "seq", "function", "object", "method", "user_interaction")

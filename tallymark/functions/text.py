@@ -42,7 +42,7 @@ def is_blank(code: Column) -> Column:
 
 
 def sanitize_evidence(evidence: Column) -> Column:
-    """One line, single back-ticks, and "Lines a, b, c" as "Lines a-c"."""
+    """One line, single back-ticks, and "Lines a, b, c" as "Lines a-c" (fixed pattern)."""
     one_line = F.replace(F.replace(evidence, F.lit("\n"), F.lit(" ")), F.lit("```"), F.lit("`"))
     return F.regexp_replace(one_line, r"Lines? (\d+), \d*, (\d+)", "Lines $1-$2")
 

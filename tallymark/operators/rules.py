@@ -53,6 +53,8 @@ def register(key_concept: str, lesson: str, label: Callable[[], Column], *eviden
 
 
 # ---- evidence sections ------------------------------------------------------
+# The wording of all messages, and the thresholds and concept names
+# of the rules below.
 
 
 def _counted(n: Column, noun: str, tail: str = "") -> Column:

@@ -13,6 +13,7 @@ from tallymark.operators import responses as response_ops
 from tallymark.operators import rules
 from tallymark.session import materialize
 
+# Texts of results.
 BLANK_TEXT = "The program is empty."
 RULE_AGENT = "code feature extractor"
 RESULT_COLUMNS = [*STUDENT_KEY, "model", "agent", "outcome", "total_tokens", "data"]

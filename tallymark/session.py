@@ -54,8 +54,9 @@ def remove_made() -> None:
     """Delete the folders that ``shared_folder`` has named in this process."""
     jvm = SparkContext._jvm
     while _made and jvm is not None:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        name = _made.pop()
         try:
+            path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
         except Exception:  # noqa: BLE001 - the JVM or the store has gone already
             return
