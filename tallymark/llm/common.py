@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -26,7 +28,8 @@ def arrow_map(df: DataFrame, module: str, name: str, schema: str | T.StructType,
     """``mapInArrow`` with the function ``name`` of ``module``.
 
     Tasks import the module instead of unpickling the function, so what it keeps
-    at module level (vocabularies, word caches) lives as long as the worker.
+    at module level (vocabularies, word caches) outlives the task. A worker serves one
+    operator at a time: what others have kept there is let go first.
     """
     root = ROOT
 
@@ -36,11 +39,28 @@ def arrow_map(df: DataFrame, module: str, name: str, schema: str | T.StructType,
 
         if root not in sys.path:
             sys.path.insert(0, root)
+        importlib.import_module("tallymark.llm.common").serve(module)
         return getattr(importlib.import_module(module), name)(batches, *args)
 
     return df.mapInArrow(run, schema)
 
 
+_served = ""
+
+
+def serve(module: str) -> None:
+    """Let go of what other operators keep in this worker."""
+    global _served
+    if module == _served:
+        return
+    for name, other in list(sys.modules.items()):
+        if name.startswith("tallymark.llm.") and name != module and hasattr(other, "release"):
+            other.release()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _served = module
+
+
 def text_chunks(
     batches: Iterable[pa.RecordBatch], text: int, size: int = CHUNK_CHARS
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

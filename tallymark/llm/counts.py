@@ -84,6 +84,11 @@ class TokenCounter:
 _counters: dict[str, TokenCounter] = {}
 
 
+def release() -> None:
+    """Forget what this worker keeps between tasks."""
+    _counters.clear()
+
+
 def counter(path: str) -> TokenCounter:
     if path not in _counters:
         _counters[path] = TokenCounter(path)

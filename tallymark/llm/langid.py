@@ -214,6 +214,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_
 _models: dict[str, LanguageModel] = {}
 
 
+def release() -> None:
+    """Forget what this worker keeps between tasks."""
+    _models.clear()
+
+
 def _predict_batches(batches, text: int, kept: list[int], state: dict, key: str, least: float | None) -> Iterator[pa.RecordBatch]:
     if key not in _models:  # the worker's word memory outlives the task
         _models.clear()

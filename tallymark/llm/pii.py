@@ -262,6 +262,11 @@ def decode(texts: list[str], tagger: Tagger, tokens: Tokens) -> list[list[tuple[
 _workers: dict[str, tuple[Tagger, Tokens]] = {}
 
 
+def release() -> None:
+    """Forget what this worker keeps between tasks."""
+    _workers.clear()
+
+
 def _worker(state: dict) -> tuple[Tagger, Tokens]:
     mark = xxhash.xxh64_hexdigest(state["weights"].tobytes() + state["trans"].tobytes())
     if mark not in _workers:
