@@ -384,3 +384,17 @@ def test_records_are_frames_of_their_own():
     assert data[:4] == bytes.fromhex("5d2a4d18")
     assert [warc.page_of(f["WARC-Record-ID"]) for f, _ in warc.read_archive(io.BytesIO(data))] == list(range(200))
     assert len(data) < sum(map(len, records)) / 3
+
+
+# ---- workers ---------------------------------------------------------------------------------
+
+
+def test_a_worker_keeps_one_operators_memory():
+    from tallymark.llm import common
+
+    common.serve(bpe.__name__)
+    bpe.load(WORD)
+    common.serve(bpe.__name__)
+    assert bpe._loaded
+    common.serve(counts.__name__)
+    assert not bpe._loaded
