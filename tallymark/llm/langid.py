@@ -8,7 +8,9 @@ a document is the one with the largest mean posterior.
 The model is fitted on the driver from a bounded sample of labelled rows
 (``PER_LANGUAGE`` rows per language of at most ``MAX_CHARS`` characters). Half of
 its training chains are whole texts, half are spliced from pieces of several
-languages, which is where the transitions come from. Prediction covers whole texts.
+languages, which is where the transitions come from. Prediction covers whole texts;
+a run of more than ``LONG`` letters, as in scripts without spaces, is several
+positions of the chain.
 """
 
 from __future__ import annotations
@@ -41,19 +43,38 @@ CACHED = 300_000  # words a worker remembers
 MIN_SCORE = 0.4
 
 LETTERS = regex.compile(r"\p{L}+")
+LONG = 40  # letters from which a run is read in pieces
+JOIN = "-"  # stands where a piece is cut off
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters, the positions of the chain; long runs as successive pieces."""
+    words = LETTERS.findall(text.lower())
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [piece for word in words for piece in pieces_of(word)]
+
+
+def pieces_of(word: str) -> list[str]:
+    """Even pieces of a run of more than ``LONG`` letters, else the run itself.
+
+    A piece that goes on ends with the next two letters and ``JOIN``, so that the
+    n-grams over the cut are seen once.
+    """
+    size, count = len(word), -(-len(word) // LONG)
+    cuts = [size * i // count for i in range(count + 1)]
+    return [JOIN * (a > 0) + word[a : b + 2] + JOIN * (b < size) for a, b in zip(cuts, cuts[1:])]
 
 
 def features_of(word: str) -> list[str]:
-    """Affixes, n-grams and the word itself."""
-    word = word[:40]
-    edged = f"^{word}$"
-    names = [edged[:2], edged[:3], edged[:4], edged[-2:], edged[-3:], edged[-4:], "=" + word]
-    names += [word[i : i + 2] for i in range(len(word) - 1)]
-    names += [word[i : i + 3] for i in range(len(word) - 2)]
+    """Affixes, n-grams and the word itself; a piece has affixes at true ends only."""
+    begins, ends, core = word[0] != JOIN, word[-1] != JOIN, word.strip(JOIN)
+    edged = f"^{core}$"
+    names = [edged[:2], edged[:3], edged[:4]] if begins else []
+    names += [edged[-2:], edged[-3:], edged[-4:]] if ends else []
+    names.append("=" + word)
+    names += [core[i : i + 2] for i in range(len(core) - 1 - (not ends))]
+    names += [core[i : i + 3] for i in range(len(core) - 2)]
     return names
 
 

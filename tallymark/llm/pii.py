@@ -94,6 +94,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 TOKEN = re.compile(r"\S+")  # the parts of str.split()
 RUN = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 MARKS = ".,;:!?\"'"
+LONG = 60  # signs from which a shape is named by its hash
 
 
 def describe(token: str) -> str:
@@ -104,12 +105,13 @@ def describe(token: str) -> str:
     if core.isalpha():
         return "title end" if core[0].isupper() else "word end"
     shape = []
-    for m in RUN.finditer(core[:60]):
+    for m in RUN.finditer(core):
         first = m[0][0]
         shape.append(f"{min(len(m[0]), 20)}" if first.isdigit() else "a" if first.isalpha() else first)
     text = "".join(shape).replace(" ", "_")
+    named = text if len(text) <= LONG else xxhash.xxh64_hexdigest(text)
     digits = sum(c.isdigit() for c in core)
-    parts = ["s" + text, f"d{min(digits, 20)}"]
+    parts = ["s" + named, f"d{min(digits, 20)}"]
     parts += [f"has{c}" for c in "@+().-%:/=" if c in core]
     parts += ["digits" if core.isdigit() else "mixed", "b" + text[:2], "t" + text[-2:]]
     return " ".join(parts)

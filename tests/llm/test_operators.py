@@ -104,6 +104,21 @@ def test_words_of_a_mixed_text(spark):
     assert langs[:12].count("en") >= 11 and langs[-12:].count("de") >= 11
 
 
+def test_long_runs_are_read_to_their_end():
+    word = "".join(chr(0x4E00 + i) for i in range(203))
+    pieces = langid.words_of("a " + word + " b")[1:-1]
+    assert len(pieces) == 6 and max(map(len, pieces)) <= langid.LONG + 4
+    names = [n for p in pieces for n in langid.features_of(p) if n[0] != "="]
+    edged = f"^{word}$"
+    want = [edged[:2], edged[:3], edged[:4], edged[-2:], edged[-3:], edged[-4:]]
+    want += [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]
+    assert sorted(names) == sorted(want)
+    model = langid.train([(ENGLISH, "en"), (GERMAN, "de")] * 20)
+    text = "".join(ENGLISH.split())[:40] + "".join(GERMAN.split()) * 5
+    assert model.predict([text])[0] == ["de"]
+    assert langid.words_of("x" * 40) == ["x" * 40]
+
+
 def plain_chain(scores, first, trans, start):
     """Viterbi path and posterior, one sequence after the other."""
     path, post = [], []
@@ -216,6 +231,13 @@ def test_personal_data(spark):
     assert pii.scan(nobody(spark)).count() == 0
 
 
+def test_a_shape_covers_the_whole_token():
+    long = "1-" * 40
+    shapes = [pii.describe(long + end) for end in ("a@", "2")]
+    assert shapes[0].split()[0] != shapes[1].split()[0] and shapes[0].endswith("ta@")
+    assert len(pii.describe("1-" * 5000)) < 200
+
+
 def test_skip_edges_carry_a_label():
     """A token that its neighbours leave open takes the label of its other occurrences."""
     tagger = tagging.Tagger(2, {}, np.zeros((0, 2)), np.zeros((2, 2)), np.zeros(2), tie=3.0)
