@@ -12,13 +12,17 @@ from __future__ import annotations
 
 import numpy as np
 
+WIDE = 128  # states from which a stream is one block
+COLUMNS = 16  # states whose weights are summed at one time
+
 
 class Stream:
     """``scores`` (n x K, log) in blocks, with log transitions and start scores."""
 
     def __init__(self, scores: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray):
         self.n, self.k = scores.shape
-        self.steps = max(1, int(self.n**0.5))
+        # Block matrices cost n x K^3; with many states one block, n x K^2, is cheaper.
+        self.steps = max(1, self.n if self.k > WIDE else int(self.n**0.5))
         self.blocks = -(-self.n // self.steps)
         pad = self.blocks * self.steps - self.n
         scores = np.concatenate([scores, np.zeros((pad, self.k), scores.dtype)])
@@ -41,7 +45,7 @@ class Stream:
         trans, start = np.exp(self.trans - self.trans.max()), np.exp(self.start - self.start.max())
         blocks, steps, k = self.blocks, self.steps, self.k
         whole = np.broadcast_to(np.eye(k, dtype=emit.dtype), (blocks, k, k)).copy()
-        for t in range(steps):
+        for t in range(steps if blocks > 1 else 0):
             at = np.flatnonzero(self.first[t])
             moved = (whole.reshape(-1, k) @ trans).reshape(blocks, k, k)
             if len(at):
@@ -158,13 +162,13 @@ class Bags:
         full = np.flatnonzero(self.sizes)
         if len(full):
             starts = np.concatenate([[0], np.cumsum(self.sizes[full])[:-1]])
-            out[full] = np.add.reduceat(weights[self.flat], starts, axis=0)
+            for c in range(0, weights.shape[1], COLUMNS):
+                out[full, c : c + COLUMNS] = np.add.reduceat(weights[self.flat, c : c + COLUMNS], starts, axis=0)
         return out
 
     def gather(self, per_word: np.ndarray, features: int) -> np.ndarray:
         """Sums of a value per word over the words that have each feature."""
-        value = per_word[self.owner]
-        return np.stack([np.bincount(self.flat, value[:, c], features) for c in range(per_word.shape[1])], axis=1)
+        return np.stack([np.bincount(self.flat, per_word[self.owner, c], features) for c in range(per_word.shape[1])], axis=1)
 
 
 class Climber:

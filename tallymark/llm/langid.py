@@ -5,9 +5,11 @@ lexicon of training words, transitions are learned, and forward-backward gives e
 word's posterior, so code-switched text is labelled piece by piece. The language of
 a document is the one with the largest mean posterior.
 
-The model is fitted on the driver from a bounded sample of labelled rows
-(``PER_LANGUAGE`` rows per language of at most ``MAX_CHARS`` characters). Half of
-its training chains are whole texts, half are spliced from pieces of several
+The model is fitted on the driver from a bounded sample of labelled rows, which
+covers every label: at most ``PER_LANGUAGE`` rows per language and of each at most
+``MAX_CHARS`` characters, cut out of longer texts. Work and memory grow with words
+times labels, so with K labels each has ``SAMPLE_CELLS`` / K^2 characters, at least
+``LEAST_CHARS``; that only matters from five labels. Half of its training chains are whole texts, half are spliced from pieces of several
 languages, which is where the transitions come from. Prediction covers whole texts;
 a run of more than ``LONG`` letters, as in scripts without spaces, is several
 positions of the chain.
@@ -27,13 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.llm.chains import Bags, Climber, Stream, pair_sums
-from tallymark.llm.common import arrow_map, held_out, text_chunks, widened
+from tallymark.llm.common import CHUNK_CHARS, arrow_map, held_out, text_chunks, widened
 
 UND = "und"
 # Bounds of the training sample.
 PER_LANGUAGE = 150
 MAX_CHARS = 20_000
-LANGUAGES = 200  # the most frequent labels are learned
+SAMPLE_CELLS = 48_000_000  # characters times labels, shared by the labels
+LEAST_CHARS = 2_000  # of a label, however many there are
+LEAST_ROWS = 10
+GROUP_CELLS = 16_000_000  # words times labels that training holds at one time
 # Most frequent features that are learned.
 FEATURES = 60_000
 ROUNDS = 25
@@ -169,12 +174,22 @@ def _chains(texts: list[list[str]], langs: list[int]) -> tuple[list[list[str]],
     return words, labels
 
 
+def _groups(sizes: np.ndarray, most: int) -> list[slice]:
+    """Successive whole chains with at most ``most`` words, or one longer chain."""
+    cuts, ends = [0], np.cumsum(sizes)
+    for end, size in zip(ends.tolist(), sizes.tolist()):
+        if end - cuts[-1] > most and end - size > cuts[-1]:
+            cuts.append(end - size)
+    return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], int(ends[-1])])]
+
+
 def train(rows: list[tuple[str, str]]) -> LanguageModel:
     """A model from (text, language) pairs; without any it knows no language."""
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
     texts = [words_of(text) for text, _ in rows]
-    words, labels = _chains(texts, [languages.index(lang) for _, lang in rows])
+    place = {lang: i for i, lang in enumerate(languages)}
+    words, labels = _chains(texts, [place[lang] for _, lang in rows])
     words, labels = [w for w in words if w], [y for y in labels if y]
     seen: Counter[str] = Counter()
     counts = Counter(chain.from_iterable(words))
@@ -194,41 +209,61 @@ def train(rows: list[tuple[str, str]]) -> LanguageModel:
     first = np.zeros(len(ids), bool)
     first[np.cumsum(sizes) - sizes] = True
     bags = Bags([model.number(w) for w in vocab])
+    groups = _groups(sizes, max(1, GROUP_CELLS // k))
     inner = np.flatnonzero(~first)
     gold_pairs = np.zeros((k, k))
     np.add.at(gold_pairs, (gold[inner - 1], gold[inner]), 1)
     gold_start = np.bincount(gold[first], minlength=k)
     climb = Climber()
     for _ in range(ROUNDS):
-        scores = bags.scores(weights)[ids].astype(np.float32)
-        post, alpha, seen_ = Stream(scores, first, trans, start).forward_backward()
-        rest = -post.astype(np.float64)
-        rest[np.arange(len(gold)), gold] += 1
-        per_word = np.stack([np.bincount(ids, rest[:, c], len(vocab)) for c in range(k)], axis=1)
+        scored = bags.scores(weights).astype(np.float32)
+        per_word, pairs, begun = np.zeros((len(vocab), k)), np.zeros((k, k)), np.zeros(k)
+        for group in groups:
+            own, begins = ids[group], first[group]
+            post, alpha, seen_ = Stream(scored[own], begins, trans, start).forward_backward()
+            rest = -post.astype(np.float64)
+            rest[np.arange(len(own)), gold[group]] += 1
+            for c in range(k):
+                per_word[:, c] += np.bincount(own, rest[:, c], len(vocab))
+            pairs += pair_sums(alpha, seen_, begins, trans)
+            begun += post[begins].sum(axis=0)
         climb.step("weights", weights, bags.gather(per_word, len(names)))
-        climb.step("trans", trans, gold_pairs - pair_sums(alpha, seen_, first, trans))
-        climb.step("start", start, gold_start - post[first].sum(axis=0))
+        climb.step("trans", trans, gold_pairs - pairs)
+        climb.step("start", start, gold_start - begun)
     return LanguageModel(languages, names, weights, trans, start)
 
 
+def _bounds(labels: int, per_language: int, max_chars: int) -> tuple[int, int]:
+    """Rows of a label, and characters of a row, that are learned from."""
+    share = max(LEAST_CHARS, SAMPLE_CELLS // max(1, labels) ** 2)
+    rows = min(per_language, max(LEAST_ROWS, share // LEAST_CHARS))
+    return rows, min(max_chars, max(1, share // rows))
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> LanguageModel:
     """Learn from the text and lang of labelled rows that are not held out.
 
-    Reads at most ``per_language`` rows of each of the ``LANGUAGES`` most frequent
-    languages to the driver, those with the lowest hash of doc_id among rows of at
-    most ``max_chars`` characters.
+    Reads at most ``per_language`` rows of each language with letters in the text to
+    the driver, those with the lowest hash of doc_id, and of each a piece of at most
+    ``max_chars`` characters; fewer and shorter ones when there are many languages.
     """
     labelled = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text", "CAST(lang AS STRING) AS lang")
-    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & (F.length("text") <= max_chars))
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
-    seen = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    counts = {r["lang"]: r["count"] for r in seen.collect()}
-    share = F.lit(0.0)
-    for lang, count in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, (2 * per_language + 20) / count))).otherwise(share)
-    near = labelled.where(F.pmod(order, F.lit(1_000_003)) < share * 1_000_003)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(order, "text")))
-    rows = ranked.where(F.col("rank") <= per_language).select("text", "lang", "rank").collect()
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    most, chars = _bounds(len(counts), per_language, max_chars)
+    # As many rows as the model has labels, which the driver and every task hold anyway.
+    shares = [(lang, int(min(1.0, (2 * most + 20) / count) * 1_000_003)) for lang, count in counts.items()]
+    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))
+    near = labelled.join(shares, "lang").where(F.pmod(order, F.lit(1_000_003)) < F.col("share"))
+    spare = F.greatest(F.length("text") - chars, F.lit(0))
+    start = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), spare + 1) + 1
+    # Where the piece would have no letters, it begins with the first letter.
+    piece = F.substring("text", start.cast("int"), F.lit(chars))
+    found = F.substring("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(chars))
+    cut = near.select("lang", order.alias("order"), F.when(spare == 0, F.col("text")).when(piece.rlike(r"\p{L}"), piece).otherwise(found).alias("text"))
+    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
+    rows = ranked.where(F.col("rank") <= most).select("text", "lang", "rank").collect()
     return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["rank"]))])
 
 
@@ -245,7 +280,8 @@ def _predict_batches(batches, text: int, kept: list[int], state: dict, key: str,
         _models.clear()
         _models[key] = LanguageModel(**state)
     model = _models[key]
-    for batch, texts in text_chunks(batches, text):
+    size = max(1, min(CHUNK_CHARS, 16 * CHUNK_CHARS // max(1, len(model.languages))))
+    for batch, texts in text_chunks(batches, text, size):
         langs, scores = model.predict(texts)
         names = [batch.schema.names[i] for i in kept]
         columns = [batch.column(i) for i in kept]

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,41 @@ def test_language_without_labels(spark):
     assert langid.identify(docs.limit(0)).count() == 0
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECES", 2)
+    letters = "abcdefghijklmnopqrst"
+    words = {f"l{i:03}": [3 * (letters[i % 20] + letters[i // 20]) + x for x in ("ara", "bel", "cuz")] for i in range(210)}
+    learned = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, " ".join(words[lang] * 2), lang) for i, lang in zip(learned, words)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    known = sorted(words)
+    assert len(known) > 200 and set(model.languages) == set(known)
+    assert model.predict([" ".join(words[lang]) for lang in known])[0] == known
+
+
+def test_long_labelled_texts_are_learned(spark):
+    rows = [(i, f"{ENGLISH} " * 3, "en") for i in range(20)] + [(100 + i, f"{GERMAN} " * 300, "de") for i in range(20)]
+    rows += [(200 + i, "1" * 90_000 + FRENCH, "fr") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.predict([ENGLISH, GERMAN, FRENCH])[0] == ["en", "de", "fr"]
+
+
+def test_sample_is_shared_by_the_labels():
+    assert langid._bounds(4, 150, 20_000) == (150, 20_000)
+    for labels in (1, 5, 40, 154, 155, 3000):
+        rows, chars = langid._bounds(labels, 150, 20_000)
+        assert rows * chars <= max(langid.LEAST_CHARS, langid.SAMPLE_CELLS // labels**2) and rows * chars >= langid.LEAST_CHARS
+
+
+def test_groups_do_not_change_training(monkeypatch):
+    rows = [(ENGLISH, "en"), (GERMAN, "de"), (FRENCH, "fr")] * 6
+    whole = langid.train(rows)
+    monkeypatch.setattr(langid, "GROUP_CELLS", 150)
+    parts = langid.train(rows)
+    assert np.allclose(whole.trans, parts.trans, atol=1e-2) and np.allclose(whole.weights, parts.weights, atol=1e-2)
+
+
 def test_words_of_a_mixed_text(spark):
     docs, _ = labelled(spark)
     model = langid.fit(docs)
@@ -144,7 +180,7 @@ def plain_chain(scores, first, trans, start):
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 40, 333])
-@pytest.mark.parametrize("k", [1, 2, 4])
+@pytest.mark.parametrize("k", [1, 2, 4, 130])
 def test_blocks_do_not_change_a_chain(n, k):
     rng = np.random.default_rng(n + k)
     scores, trans, start = rng.normal(size=(n, k)), rng.normal(size=(k, k)), rng.normal(size=k)
