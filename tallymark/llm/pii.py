@@ -242,12 +242,16 @@ def decode(texts: list[str], tagger: Tagger, tokens: Tokens) -> list[list[tuple[
         sure = np.flatnonzero(post[:, OUT] < 1 - SURE)
         if len(sure):
             places = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+            taken = tagging.merged([(s, e) for _, s, e in spans])
+            free = set(tagging.free_of([places[at] for at in sure], taken))
             label = post.argmax(axis=1)
             runs: dict[tuple[int, int], int] = {}
             last, open_ = -2, (0, 0)
             for at in sure.tolist():
                 if label[at] == OUT or post[at, label[at]] < SURE:
                     continue
+                if places[at] not in free:  # runs end where a pattern has matched
+                    continue
                 start = places[at][0]
                 if last == at - 1 and label[last] == label[at]:
                     start = open_[0]
@@ -255,8 +259,7 @@ def decode(texts: list[str], tagger: Tagger, tokens: Tokens) -> list[list[tuple[
                 last, open_ = at, (start, places[at][1])
                 runs[open_] = int(label[at])
             named = {trimmed(text, *run): kind for run, kind in runs.items()}
-            taken = tagging.merged([(s, e) for _, s, e in spans])
-            spans = spans + [(KINDS[len(BASE) + named[r] - 1], *r) for r in tagging.free_of([r for r in named if r[0] < r[1]], taken)]
+            spans = spans + [(KINDS[len(BASE) + kind - 1], *r) for r, kind in sorted(named.items()) if r[0] < r[1]]
         out.append(spans)
     return out
 
@@ -292,7 +295,7 @@ def scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     ``spans`` lists kind:start:end in code points; kinds of what the field adds are
-    ``crf_email`` and so on, and it adds nothing that touches a pattern's match. Null
+    ``crf_email`` and so on, and it adds no token that a pattern's match overlaps. Null
     and empty texts have no spans; repeated rows and null ids are kept; other columns
     are not read. No shuffle.
     """

@@ -142,14 +142,20 @@ def decode(texts: list[str], tagger: Tagger, tokens: Tokens) -> list[list[tuple[
         spans = [(k, s, e) for k, s, e, _ in base]
         if path.any():
             places = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+            tagged_ = np.flatnonzero(path).tolist()
+            taken = tagging.merged([(s, e) for _, s, e, _ in base])
+            free = set(tagging.free_of([places[at] for at in tagged_], taken))
             runs: list[tuple[int, int]] = []
-            for at in np.flatnonzero(path):
-                if path[at] == INSIDE and at and path[at - 1] != OUT and runs:
+            last = -2
+            for at in tagged_:
+                if places[at] not in free:  # runs end where a pattern has matched
+                    continue
+                if path[at] == INSIDE and last == at - 1:
                     runs[-1] = (runs[-1][0], places[at][1])
                 else:
                     runs.append(places[at])
-            taken = tagging.merged([(s, e) for _, s, e, _ in base])
-            spans += [("crf", s, e) for s, e in tagging.free_of(runs, taken)]
+                last = at
+            spans += [("crf", s, e) for s, e in runs]
         out.append(spans)
     return out
 
@@ -186,7 +192,7 @@ def scan(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     ``spans`` lists kind:start:end in code points; the kind of what the field adds
-    is ``crf``, and it adds nothing that touches a pattern's match. Null and empty
+    is ``crf``, and it adds no token that a pattern's match overlaps. Null and empty
     texts have no spans; repeated rows and null ids are kept; other columns are not
     read. No shuffle.
     """

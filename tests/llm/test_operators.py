@@ -267,6 +267,24 @@ def test_personal_data(spark):
     assert pii.scan(nobody(spark)).count() == 0
 
 
+def test_tokens_beside_a_pattern_match_are_added(monkeypatch):
+    text = "write alice@x.org bob@localhost eve@x.org now"
+    post = np.full((5, 5), 0.001, np.float32)
+    post[[0, 4], pii.OUT] = post[1:4, 1] = 0.99
+    post[4] = post[0]
+    monkeypatch.setattr(pii, "beliefs", lambda split, tagger, tokens: [post])
+    spans = pii.decode([text], None, None)[0]
+    assert spans == [("email", 6, 17), ("email", 32, 41), ("crf_email", 18, 31)]
+
+
+def test_secret_tokens_beside_a_pattern_match_are_added(monkeypatch):
+    text = "see " + "ab12" * 5 + " QWERTY1234567890ZZ rest end"
+    monkeypatch.setattr(secrets.Stream, "viterbi", lambda self: np.array([0, 1, 2, 2, 0], np.uint8))
+    tokens = tagging.Tokens(secrets.describe, secrets.no_key)
+    tagger = tagging.Tagger(3, {}, np.zeros((0, 3)), np.zeros((3, 3)), np.zeros(3))
+    assert secrets.decode([text], tagger, tokens)[0] == [("hex", 4, 24), ("crf", 25, 48)]
+
+
 def test_a_shape_covers_the_whole_token():
     long = "1-" * 40
     shapes = [pii.describe(long + end) for end in ("a@", "2")]
