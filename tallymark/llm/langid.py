@@ -44,8 +44,8 @@ FEATURES = 60_000
 ROUNDS = 25
 PIECE, PIECES = 12, 8  # mean words and number of pieces of a spliced chain
 CACHED = 300_000  # words a worker remembers
-# The pipeline keeps a text whose language has at least this mean posterior.
-MIN_SCORE = 0.4
+# The pipeline keeps a text whose words are this sure of a language, the same or not.
+MIN_SURE = 0.4
 
 LETTERS = regex.compile(r"\p{L}+")
 LONG = 40  # letters from which a run is read in pieces
@@ -121,21 +121,24 @@ class LanguageModel:
         post = Stream(self.emissions(words), first, self.trans, self.start).forward_backward()[0]
         return np.split(post, ends[:-1])
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language and its mean posterior, and the mean of each word's largest posterior."""
         words = [words_of(t) for t in texts]
         if not self.languages:
-            return [UND] * len(texts), [0.0] * len(texts)
-        found, scores = [], []
+            return [UND] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        found, scores, sure = [], [], []
         for post in self.label_words(words):
             if len(post):
                 mean = post.mean(axis=0, dtype=np.float64)
                 best = int(mean.argmax())
                 found.append(self.languages[best])
                 scores.append(round(min(1.0, float(mean[best])), 6))
+                sure.append(float(post.max(axis=1).mean(dtype=np.float64)))
             else:
                 found.append(UND)
                 scores.append(0.0)
-        return found, scores
+                sure.append(0.0)
+        return found, scores, sure
 
 
 class _Vocab(dict):
@@ -282,14 +285,14 @@ def _predict_batches(batches, text: int, kept: list[int], state: dict, key: str,
     model = _models[key]
     size = max(1, min(CHUNK_CHARS, 16 * CHUNK_CHARS // max(1, len(model.languages))))
     for batch, texts in text_chunks(batches, text, size):
-        langs, scores = model.predict(texts)
+        langs, scores, sure = model.predict(texts)
         names = [batch.schema.names[i] for i in kept]
         columns = [batch.column(i) for i in kept]
         if least is None:
             columns += [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
         else:
-            passes = [(s >= least and lang != UND) if model.languages else bool(words_of(t)) for lang, s, t in zip(langs, scores, texts)]
+            passes = [(s >= least and lang != UND) if model.languages else bool(words_of(t)) for lang, s, t in zip(langs, sure, texts)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(passes, pa.bool_()))
 
 
@@ -311,10 +314,11 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     return arrow_map(rows, __name__, "_predict_batches", "doc_id bigint, held_out boolean, lang_pred string, score double", 1, [0, 2], model.state(), _key(model), None)
 
 
-def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with ``least``.
+def keep_identified(docs: DataFrame, least: float = MIN_SURE) -> DataFrame:
+    """The rows of ``docs``, all columns, whose words' languages are known with ``least``.
 
-    ``und`` texts go. When nothing is labelled, texts with letters stay.
+    That is the mean over the words of the largest posterior, so a text in several
+    languages stays when its words are sure. ``und`` texts go. When nothing is labelled, texts with letters stay.
     """
     model = fit(docs)
     every = list(range(len(docs.columns)))

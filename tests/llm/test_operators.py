@@ -116,6 +116,16 @@ def test_long_labelled_texts_are_learned(spark):
     assert model.predict([ENGLISH, GERMAN, FRENCH])[0] == ["en", "de", "fr"]
 
 
+def test_text_in_many_languages_is_kept():
+    words = {c: [f"{c}{c}{x}{c}" for x in ("ab", "ot", "ul", "ir")] for c in "bcdfg"}
+    model = langid.train([(" ".join(w * 4), c) for c, w in words.items() for _ in range(10)])
+    text = " ".join(" ".join(w * 4) for w in words.values())
+    assert model.predict([text])[1][0] < langid.MIN_SURE < 0.9 < model.predict([text])[2][0]
+    table = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [text, "12 34"]})
+    kept = langid._predict_batches([table], 1, [0, 1], model.state(), "mixed", langid.MIN_SURE)
+    assert [r["doc_id"] for b in kept for r in b.to_pylist()] == [1]
+
+
 def test_sample_is_shared_by_the_labels():
     assert langid._bounds(4, 150, 20_000) == (150, 20_000)
     for labels in (1, 5, 40, 154, 155, 3000):
