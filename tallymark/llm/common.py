@@ -87,7 +87,7 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, max_chars: int, text:
     the threshold before the sort keeps all but about ``2 * bound`` rows out of it.
     """
     fit = df.where(F.col(text).isNotNull() & (F.length(text) <= max_chars))
-    rows = max(1, df.select(F.lit(1)).count())
+    rows = max(1, fit.count())
     share = min(1.0, 2.0 * bound / rows)
     order = F.xxhash64(F.lit(7), key)
     if share < 1.0:

@@ -472,6 +472,16 @@ def test_records_are_frames_of_their_own():
     assert len(data) < sum(map(len, records)) / 3
 
 
+def test_sample_counts_eligible_rows_only(spark):
+    from pyspark.sql import functions as F
+
+    from tallymark.llm import common
+
+    rows = [(i, "short" if i % 100 == 0 else None if i % 2 else "long" * 50) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert common.bounded_sample(docs, F.col("doc_id"), 40, 100).count() == 40
+
+
 # ---- workers ---------------------------------------------------------------------------------
 
 
