@@ -8,11 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import bpe, counts, decontaminate, exact, langid, pii, secrets, simhash, urls, warc
+from tallymark.llm import (
+    bpe,
+    bytebpe,
+    counts,
+    decontaminate,
+    exact,
+    langid,
+    pii,
+    resample,
+    secrets,
+    simhash,
+    spelling,
+    urls,
+    warc,
+)
 from tallymark.llm.common import table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 RULES = [
     "allow com/",
@@ -146,3 +161,20 @@ FROM named
 @query("op10_warc", ARCHIVE)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(*warc.write_archives(table(spark, sf_dir, "pages")))
+
+
+@query("op11_resampling")
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_byte_bpe")
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BYTE_RANKS)
+    return bytebpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, digests=True)
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))

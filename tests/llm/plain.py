@@ -1,7 +1,10 @@
 """Brute-force versions of the operators, row by row in plain Python."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 import xxhash
 
@@ -139,3 +142,71 @@ def personal_spans(text):
 def spans_sha(spans, kinds):
     ordered = sorted(spans, key=lambda s: (s[1], kinds.index(s[0])))
     return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in ordered).encode()).hexdigest()
+
+
+# ---- 11: resampling ----------------------------------------------------------------
+
+
+def gram_buckets(text, buckets=10_000):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+    return words, [zlib.crc32(g.encode()) % buckets for g in grams]
+
+
+def resampled_rows(rows, target, percent=5):
+    """(doc_id, n_features, weight, score, rank) of each row."""
+    source, wanted = Counter(), Counter()
+    for _, text in rows:
+        source.update(gram_buckets(text)[1])
+    for text in target:
+        wanted.update(gram_buckets(text)[1])
+    s_all, t_all = sum(source.values()), sum(wanted.values())
+    gain = lambda b: math.floor(1000 * math.log((wanted[b] + 1) * (s_all + 10000) / ((source[b] + 1) * (t_all + 10000))))
+    out = []
+    for doc_id, text in rows:
+        words, buckets = gram_buckets(text)
+        h = int(hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, buckets))
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out.append([doc_id, len(buckets), weight, score, None, len(words)])
+    drawn = sorted((r for r in out if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1], r[2]))
+    for rank, row in enumerate(drawn[: percent * len(drawn) // 100], 1):
+        row[4] = rank
+    return [tuple(r[:5]) for r in out]
+
+
+# ---- 13: spelling variants ----------------------------------------------------------
+
+
+def one_edit(a, b):
+    """Exactly one inserted, deleted or replaced letter apart."""
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return len(long) == len(short) + 1 and any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def word_counts(rows):
+    seen = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            seen[run] += 1
+    return {w: n for w, n in seen.items() if len(w) >= 6 and n >= 5}
+
+
+def variant_rows(counts):
+    """(word, form, root, n, n_near, form_n) of each word."""
+    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    form = {}
+    for word, others in near.items():
+        best = min(others, key=lambda v: (-counts[v], v), default=None)
+        form[word] = best if best is not None and counts[best] >= 5 * counts[word] else None
+
+    def root(word):
+        return word if form[word] is None else root(form[word])
+
+    return [(w, form[w], root(w), n, len(near[w]), counts[form[w]] if form[w] else None) for w, n in counts.items()]

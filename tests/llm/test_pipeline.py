@@ -50,6 +50,6 @@ def test_registered():
     from __spark_entry__ import oracle_sql, queries
 
     names = [n for n in queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
     assert {"op3_url_rules", "op5_decontamination", "op8_exact", "op10_warc"} <= set(oracle_sql())
     assert os.path.isfile(os.path.join(os.path.dirname(corpus_pipeline.__file__), "__spark_entry__.py"))
