@@ -8,7 +8,7 @@ import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,19 +80,48 @@ def held_out(doc_id: Column | str) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, key: Column, bound: int, max_chars: int, text: str = "text") -> DataFrame:
-    """At most ``bound`` rows of at most ``max_chars`` characters, to fit a model on.
+def lowest_rows(rows: DataFrame, most: dict[str, int] | int) -> list[Row]:
+    """At most ``most`` different rows of every label, those with the lowest ``order``.
 
-    The rows with the lowest hash of ``key``, whatever the order and partitioning;
-    the threshold before the sort keeps all but about ``2 * bound`` rows out of it.
+    ``rows`` has label, order (a hash) and what to collect; rows of one label and
+    order count once. A threshold per label keeps all but about twice as many rows
+    out of the sort. Where a label's few hashes all lie above it, its rows are taken
+    without one, so that no label that occurs is missed.
     """
-    fit = df.where(F.col(text).isNotNull() & (F.length(text) <= max_chars))
-    rows = max(1, fit.count())
-    share = min(1.0, 2.0 * bound / rows)
-    order = F.xxhash64(F.lit(7), key)
-    if share < 1.0:
-        fit = fit.where(F.pmod(order, F.lit(1_000_003)) < int(share * 1_000_003))
-    return fit.withColumn("__order", order).orderBy("__order", text).limit(bound).drop("__order")
+    spark = rows.sparkSession
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    most = dict.fromkeys(counts, most) if isinstance(most, int) else most
+    more = [c for c in rows.columns if c not in ("label", "order")]
+    window = Window.partitionBy("label").orderBy("order")
+
+    def lowest(near: DataFrame) -> list[Row]:
+        once = near.groupBy("label", "order").agg(*[F.min(c).alias(c) for c in more])
+        limits = spark.createDataFrame([(k, most.get(k, 0)) for k in counts], "label string, most long")
+        ranked = once.withColumn("rank", F.row_number().over(window)).join(F.broadcast(limits), "label")
+        return ranked.where("rank <= most").drop("most").collect()
+
+    if not counts:
+        return []
+    # As many rows as there are labels, which the caller holds anyway.
+    shares = [(k, int(min(1.0, (2 * most.get(k, 0) + 20) / n) * 1_000_003)) for k, n in counts.items()]
+    shares = F.broadcast(spark.createDataFrame(shares, "label string, share long"))
+    found = lowest(rows.join(shares, "label").where(F.pmod("order", F.lit(1_000_003)) < F.col("share")).drop("share"))
+    missed = set(counts) - {r["label"] for r in found}
+    if missed:
+        found += lowest(rows.where(F.col("label").isin(list(missed))))
+    return sorted(found, key=lambda r: (r["label"], r["rank"]))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,11 +25,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.chains import Bags, Climber, Stream, pair_sums
-from tallymark.llm.common import CHUNK_CHARS, arrow_map, held_out, text_chunks, widened
+from tallymark.llm.common import CHUNK_CHARS, arrow_map, held_out, lowest_rows, text_chunks, widened
 
 UND = "und"
 # Bounds of the training sample.
@@ -247,27 +247,22 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_
     """Learn from the text and lang of labelled rows that are not held out.
 
     Reads at most ``per_language`` rows of each language with letters in the text to
-    the driver, those with the lowest hash of doc_id, and of each a piece of at most
+    the driver, those with the lowest hash of doc_id and text, and of each a piece of at most
     ``max_chars`` characters; fewer and shorter ones when there are many languages.
     """
     labelled = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text", "CAST(lang AS STRING) AS lang")
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id") & F.col("text").rlike(r"\p{L}"))
-    order = F.xxhash64(F.lit(7), F.col("doc_id"))
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    most, chars = _bounds(len(counts), per_language, max_chars)
-    # As many rows as the model has labels, which the driver and every task hold anyway.
-    shares = [(lang, int(min(1.0, (2 * most + 20) / count) * 1_000_003)) for lang, count in counts.items()]
-    shares = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long"))
-    near = labelled.join(shares, "lang").where(F.pmod(order, F.lit(1_000_003)) < F.col("share"))
+    labels = labelled.select("lang").distinct().count()
+    most, chars = _bounds(labels, per_language, max_chars)
     spare = F.greatest(F.length("text") - chars, F.lit(0))
     start = F.pmod(F.xxhash64(F.lit(8), F.col("doc_id")), spare + 1) + 1
     # Where the piece would have no letters, it begins with the first letter.
     piece = F.substring("text", start.cast("int"), F.lit(chars))
     found = F.substring("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(chars))
-    cut = near.select("lang", order.alias("order"), F.when(spare == 0, F.col("text")).when(piece.rlike(r"\p{L}"), piece).otherwise(found).alias("text"))
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "text")))
-    rows = ranked.where(F.col("rank") <= most).select("text", "lang", "rank").collect()
-    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["rank"]))])
+    piece = F.when(spare == 0, F.col("text")).when(piece.rlike(r"\p{L}"), piece).otherwise(found)
+    order = F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text"))
+    rows = lowest_rows(labelled.select(F.col("lang").alias("label"), order.alias("order"), piece.alias("text")), most)
+    return train([(r["text"], r["label"]) for r in rows])
 
 
 _models: dict[str, LanguageModel] = {}
@@ -318,7 +313,8 @@ def keep_identified(docs: DataFrame, least: float = MIN_SURE) -> DataFrame:
     """The rows of ``docs``, all columns, whose words' languages are known with ``least``.
 
     That is the mean over the words of the largest posterior, so a text in several
-    languages stays when its words are sure. ``und`` texts go. When nothing is labelled, texts with letters stay.
+    languages stays when its words are sure. ``und`` texts go, and so do null and empty ones. When nothing is labelled, texts with letters
+    stay. Null ids and repeated rows are judged by their text; an empty table stays empty.
     """
     model = fit(docs)
     every = list(range(len(docs.columns)))

@@ -4,7 +4,7 @@ Besides the chain over neighbouring tokens, occurrences of one entity (the same
 address, the same digits, the same name) in a document are tied: a skip edge joins
 each occurrence with the next one and rewards equal labels. Beliefs come from loopy
 message passing: chains are solved exactly, messages cross the skip edges, and so on
-for ``PASSES`` rounds. Linking successive occurrences only keeps the edges fewer
+until they have settled. Linking successive occurrences only keeps the edges fewer
 than the tokens, however often an entity occurs, and still lets a label travel
 through the document. A document none of whose tied tokens has more than
 ``UNSURE`` of a personal label after the chain pass is settled then.
@@ -21,7 +21,8 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tallymark.llm import tagging
 from tallymark.llm.chains import Stream
@@ -33,8 +34,12 @@ KINDS = BASE + [f"crf_{k}" for k in BASE]
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
 OUT = 0  # label; the others are the places in BASE plus one
 
-PASSES = 3
+# Passes end when no message changes by more than SETTLED, or after PASSES of them.
+PASSES = 40
+SETTLED = 1e-3
 DAMPING = 0.5
+# Where no tied token has a larger chance of a label, messages only lower it further:
+# they can change no belief of such a text by more than about this.
 UNSURE = 1e-3
 SURE = 0.9  # belief from which a token is added
 
@@ -149,7 +154,7 @@ def pass_messages(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Beliefs after chain passes with messages over the skip edges between them.
 
-    Also the scaled values of the last chain pass and, for training, the log cavity
+    Passes go on until the messages have settled, at most ``passes`` of them. Also the scaled values of the last chain pass and, for training, the log cavity
     beliefs of both ends of every edge.
     """
     left, right = edges
@@ -158,17 +163,25 @@ def pass_messages(
     to_left, to_right = np.zeros((len(left), k), scores.dtype), np.zeros((len(left), k), scores.dtype)
     cavity_left = cavity_right = to_left
     added = scores
+    # A text is done when its own messages have settled, whatever is beside it.
+    text = (np.cumsum(first) - 1)[left]
+    moving = np.ones(int(first.sum()), bool)
     for turn in range(passes):
         post, alpha, ahead = Stream(added, first, tagger.trans, tagger.start).forward_backward()
         if not len(left) or turn + 1 == passes:
             break
         log = np.log(np.maximum(post, 1e-30))
         cavity_left, cavity_right = log[left] - to_left, log[right] - to_right
+        change = np.zeros(len(moving))
         for cavity, message in ((cavity_left, to_right), (cavity_right, to_left)):
             cavity -= cavity.max(axis=1, keepdims=True)
             sent = np.log(np.exp(cavity) @ tied)
-            message *= DAMPING
-            message += (1 - DAMPING) * (sent - sent.max(axis=1, keepdims=True))
+            step = (1 - DAMPING) * (sent - sent.max(axis=1, keepdims=True) - message)
+            message += step * moving[text][:, None].astype(step.dtype)
+            np.maximum.at(change, text, np.abs(step).max(axis=1))
+        moving &= change >= SETTLED
+        if not moving.any():
+            break
         added = scores.copy()
         np.add.at(added, left, to_left)
         np.add.at(added, right, to_right)
@@ -198,8 +211,20 @@ def tagged(text: str) -> tuple[list[str], list[int]]:
     return tokens, labels
 
 
+def kinds() -> dict[str, Column]:
+    """Where a pattern of each kind may match (a match always fulfils its condition)."""
+    text = F.col("text")
+    return {
+        "email": text.contains("@") & text.rlike(r"@[A-Za-z0-9-]+\.[A-Za-z0-9-]"),
+        "ip": text.rlike(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]"),
+        "card": text.rlike(r"[0-9]([ -]?[0-9]){13}"),
+        "phone": text.contains("+") & text.rlike(r"\+[0-9][ ().0-9-]{8,}[0-9]"),
+    }
+
+
 def fit(docs: DataFrame) -> Tagger:
-    texts = [tagged(t) for t in tagging.sample_texts(docs)]
+    """Learn from a bounded sample (``tagging.sample_texts``) in which no kind is missing."""
+    texts = [tagged(t) for t in tagging.sample_texts(docs, kinds())]
     return tagging.fit(texts, len(BASE) + 1, Tokens(describe, key), plain, _training_beliefs)
 
 

@@ -4,7 +4,7 @@ The field tags tokens as begin, inside or outside of a secret. It sees the shape
 a token (character classes, length, entropy, keywords), the shapes of its neighbours
 and how unlike prose its file is, and is decoded by Viterbi. It learns from the
 patterns' matches in a bounded sample (``tagging.SAMPLE_ROWS`` rows of at most
-``tagging.SAMPLE_CHARS`` characters); every whole text is then scanned and decoded.
+``tagging.SAMPLE_CHARS`` characters, some of every kind); every whole text is then scanned and decoded.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ import hashlib
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tallymark.llm import tagging
 from tallymark.llm.chains import Stream
@@ -122,8 +125,21 @@ def tagged(text: str) -> tuple[list[str], list[int]]:
     return tokens, tags
 
 
+def kinds() -> dict[str, Column]:
+    """Where a pattern of each kind may match (a match always fulfils its condition)."""
+    text, low = F.col("text"), F.lower("text")
+    named = [low.contains(k) for k in KEYWORDS]
+    return {
+        "assign": reduce(or_, named) & text.rlike(rf"(?i)(pass|secret|token|api).{{0,8}}[:=][\"' ]*[A-Za-z0-9+/_.=-]{{{ASSIGN_LEAST},}}"),
+        "access": text.contains("AKIA") & text.rlike(rf"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"),
+        "hex": text.rlike("[0-9a-f]{16}"),
+    }
+
+
 def fit(docs: DataFrame) -> Tagger:
-    return tagging.fit([tagged(t) for t in tagging.sample_texts(docs)], 3, Tokens(describe, no_key), plain)
+    """Learn from a bounded sample (``tagging.sample_texts``) in which no kind is missing."""
+    texts = tagging.sample_texts(docs, kinds())
+    return tagging.fit([tagged(t) for t in texts], 3, Tokens(describe, no_key), plain)
 
 
 def decode(texts: list[str], tagger: Tagger, tokens: Tokens) -> list[list[tuple[str, int, int]]]:

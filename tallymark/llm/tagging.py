@@ -12,11 +12,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.llm.chains import Bags, Climber, Stream, pair_sums
-from tallymark.llm.common import bounded_sample
+from tallymark.llm.common import lowest_rows
 
 # Bounds of the training sample.
 SAMPLE_ROWS = 1_000
@@ -161,10 +161,21 @@ def fit(
     return tagger
 
 
-def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Texts to learn from: at most ``rows`` of at most ``chars`` characters."""
+def sample_texts(docs: DataFrame, kinds: dict[str, Column], rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[str]:
+    """Texts to learn from: at most ``rows`` of at most ``chars`` characters.
+
+    Half of them are any rows, those with the lowest hash of doc_id and text; the other
+    half is shared among ``kinds`` (conditions on ``text`` that hold where a pattern of
+    the kind may match), so that a kind is learned however rare it is.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return [r["text"] for r in bounded_sample(texts, F.col("doc_id"), rows, chars).select("text").collect()]
+    texts = texts.where(F.col("text").isNotNull() & (F.length("text") <= chars))
+    labels = F.array(F.lit("any"), *[F.when(holds, F.lit(kind)) for kind, holds in kinds.items()])
+    order = F.xxhash64(F.lit(7), F.col("doc_id"), F.col("text"))
+    labelled = texts.select(F.explode(F.array_compact(labels)).alias("label"), order.alias("order"), "text")
+    most = {kind: rows // 2 // len(kinds) for kind in kinds}
+    found = lowest_rows(labelled, most | {"any": rows - sum(most.values())})
+    return list({r["order"]: r["text"] for r in found}.values())
 
 
 def free_of(spans: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
