@@ -7,6 +7,10 @@ it: nothing as long as a benchmark window can be missed. A document's fingerprin
 meet the distinct fingerprints of the items; each hit is extended to the windows
 that contain it, and these are compared word by word, so no hash decides a match.
 
+A text is cut into overlapping pieces of ``PIECE`` words, so that every window lies
+inside one; a fingerprint carries the few words around it that its windows can need.
+Work and memory of a row are in proportion to its length.
+
 The fingerprints of the items are broadcast where their measured size allows it,
 so that texts do not move at all. Beyond ``broadcast_bytes`` they meet in a shuffle of
 (row, place, hash) alone, and only documents with a hit give their words again.
@@ -18,13 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.expressions import let
-from tallymark.llm.common import ordinal_rows
+from tallymark.llm.common import ordinal_rows, quoted, unused
 from tallymark.session import materialize
 
 WINDOW = 13
 GRAM = 9
 # Fingerprint and window tables of the items up to this size are broadcast.
 BROADCAST_BYTES = 64_000_000
+# Words of a piece, without the overlap with the next one.
+PIECE = 2_048
+# Bits of the filter for each contaminated text, and all its bits at most (64 MB).
+FILTER_BITS, FILTER_MOST = 16, 1 << 29
 # A document is contaminated when this share of its words is hit.
 SHARE = 20
 
@@ -73,6 +81,12 @@ def _winnowed(parts: Column, sizes: list[tuple[int, int, int]]) -> Column:
     return let(hashes, lambda h: F.concat(*[fingerprints(h, s) for s in sizes]))
 
 
+def pieces(parts: Column, length: int) -> Column:
+    """Overlapping pieces as (offset, words): every run of ``length`` words lies in one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(parts) - 1, F.lit(0)), F.lit(PIECE))
+    return F.transform(starts, lambda at: F.struct(at.alias("offset"), F.slice(parts, at + 1, PIECE + length - 1).alias("words")))
+
+
 def window_at(parts: Column, start: Column, size: Column) -> Column:
     """The window's words joined by blanks; words hold none, so this is exact."""
     return F.concat_ws(" ", F.slice(parts, start + 1, size))
@@ -106,17 +120,6 @@ def _bytes(table: DataFrame) -> int:
     return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _extended(hits: DataFrame) -> DataFrame:
-    """Every window of the document that contains a hit, as (size, start, win)."""
-    first = F.greatest(F.lit(0), F.col("place") - F.col("size") + F.least(F.col("size"), F.lit(GRAM)))
-    last = F.least(F.col("place"), F.size("parts") - F.col("size"))
-    starts = F.when((F.col("place") >= 0) & (first <= last), F.sequence(first, last))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), window_at(F.col("parts"), s, F.col("size")).alias("win")))
-    return hits.select("doc_id", "digest", "n_words", "place", "size", F.explode_outer(spans).alias("span")).select(
-        "doc_id", "digest", "n_words", "place", "size", "span.start", "span.win"
-    )
-
-
 def overlaps(docs: DataFrame, items: DataFrame, length: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``docs`` with what it shares with the benchmark.
 
@@ -131,47 +134,71 @@ def overlaps(docs: DataFrame, items: DataFrame, length: int = WINDOW, broadcast_
     fps, windows, sizes = item_tables(items, length)
     rows = docs.select("doc_id", text_digest(F.col("text")).alias("digest"), words(F.col("text")).alias("parts"))
     small = not sizes or _bytes(fps) <= broadcast_bytes
-    spans = _in_place(rows, fps, sizes) if small else _shuffled(rows, fps, sizes)
+    spans = _in_place(rows, fps, sizes, length) if small else _shuffled(rows, fps, sizes, length)
     known = windows.withColumn("hit", F.lit(True))
     spans = spans.join(F.broadcast(known) if _bytes(windows) <= broadcast_bytes else known, ["size", "win"], "left")
     return _summed(spans.where((F.col("place") < 0) | F.col("hit")))
 
 
-# A place of -1 stands for the document itself, so that one without hits stays.
-ITSELF = {"size": "int", "place": "int", "fp": "bigint"}
-
-
-def _itself() -> Column:
-    return F.struct(*[F.lit(-1).cast(kind).alias(name) for name, kind in ITSELF.items()])
-
+def _in_place(rows: DataFrame, fps: DataFrame, sizes: list[tuple[int, int, int]], length: int) -> DataFrame:
+    """Spans of all documents; nothing is shuffled.
 
-def _in_place(rows: DataFrame, fps: DataFrame, sizes: list[tuple[int, int, int]]) -> DataFrame:
-    """Spans of all documents; the words stay beside their fingerprints, nothing is shuffled."""
-    marks = F.concat(F.array(_itself()), *([_winnowed(F.col("parts"), sizes)] if sizes else []))
-    found = rows.select("doc_id", "digest", "parts", F.explode(marks).alias("f"))
+    A fingerprint of k words at ``place`` is inside the windows that start from
+    ``place + k - size`` to ``place``: the words from the first of them to the end of
+    the last go with it, joined by blanks, and are parted again where it hits.
+    """
+    own = [F.lit(-1).alias("size"), F.lit(0).alias("place"), F.lit(-1).cast("bigint").alias("fp"), F.lit("").alias("around"), F.lit(0).alias("first")]
+    marks = F.slice(F.array(F.struct(*own)), 1, F.when(F.col("offset") == 0, 1).otherwise(0))  # once a document
+    cut = rows.select("doc_id", "digest", F.size("parts").alias("n_words"), F.explode(pieces(F.col("parts"), length)).alias("piece"))
+    cut = cut.select("doc_id", "digest", "n_words", "piece.offset", "piece.words")
+    if sizes:
+
+        def near(f: Column) -> Column:
+            first = F.greatest(F.lit(0), f["place"] + F.least(f["size"], F.lit(GRAM)) - f["size"])
+            text = window_at(F.col("words"), first, f["place"] - first + f["size"])
+            return F.struct(f["size"].alias("size"), f["place"].alias("place"), f["fp"].alias("fp"), text.alias("around"), first.alias("first"))
+
+        found = F.transform(_winnowed(F.col("words"), sizes), near)
+        marks = F.concat(marks, found)
+    found = cut.select("doc_id", "digest", "n_words", "offset", F.explode(marks).alias("f"))
     listed = fps.union(fps.sparkSession.range(1).select(F.lit(-1).alias("size"), F.lit(-1).cast("bigint").alias("fp")))
-    hits = found.select("doc_id", "digest", "parts", "f.size", "f.place", "f.fp").join(F.broadcast(listed), ["size", "fp"])
-    return _extended(hits)
+    hits = found.select("doc_id", "digest", "n_words", "offset", "f.*").join(F.broadcast(listed), ["size", "fp"])
+    parted = F.when(F.col("size") > 0, F.split("around", " ", -1))
+    hits = hits.select("doc_id", "digest", "n_words", "size", "place", "offset", "first", parted.alias("parts"))
+    return _extended(hits.withColumn("place", F.when(F.col("size") > 0, F.col("place") - F.col("first")).otherwise(-1)), F.col("offset") + F.col("first"))
 
 
-def _shuffled(rows: DataFrame, fps: DataFrame, sizes: list[tuple[int, int, int]]) -> DataFrame:
+def _shuffled(rows: DataFrame, fps: DataFrame, sizes: list[tuple[int, int, int]], length: int) -> DataFrame:
     """The same without a broadcast: first the hits, then the words of documents with hits."""
-    found = rows.select("doc_id", "digest", F.explode(_winnowed(F.col("parts"), sizes)).alias("f"))
-    hits = found.select("doc_id", "digest", "f.size", "f.place", "f.fp").join(fps, ["size", "fp"])
-    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), "size", "place").distinct()
+    cut = rows.select("doc_id", "digest", F.explode(pieces(F.col("parts"), length)).alias("piece"))
+    found = cut.select("doc_id", "digest", "piece.offset", F.explode(_winnowed(F.col("piece.words"), sizes)).alias("f"))
+    hits = found.select("doc_id", "digest", (F.col("f.place") + F.col("offset")).alias("place"), "f.size", "f.fp").join(fps, ["size", "fp"])
+    hits = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).agg(F.collect_set(F.struct("size", "place")).alias("hits"))
     same = (F.col("digest") == F.col("hit_digest")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))
-    spans = _extended(rows.join(hits, same).select("doc_id", "digest", "parts", "size", "place"))
-    return spans.union(_extended(rows.select("doc_id", "digest", "parts", F.lit(-1).alias("size"), F.lit(-1).alias("place"))))
+
+    def near(h: Column) -> Column:
+        first = F.greatest(F.lit(0), h["place"] + F.least(h["size"], F.lit(GRAM)) - h["size"])
+        return F.struct(h["size"].alias("size"), (h["place"] - first).alias("place"), first.alias("first"),
+                        F.slice("parts", first + 1, h["place"] - first + h["size"]).alias("parts"))
+
+    whole = rows.join(hits, same).select("doc_id", "digest", F.size("parts").alias("n_words"), F.explode(F.transform("hits", near)).alias("h"))
+    spans = _extended(whole.select("doc_id", "digest", "n_words", "h.*"), F.col("first"))
+    own = rows.select("doc_id", "digest", F.size("parts").alias("n_words"), F.lit(-1).alias("place"), F.lit(-1).alias("size"))
+    return spans.union(own.select("*", F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("win")))
 
 
-def _extended(hits: DataFrame) -> DataFrame:
-    """Every window of the document that contains a hit; one row without, where there is none."""
+def _extended(hits: DataFrame, offset: Column) -> DataFrame:
+    """Every window among the hit's own words (``parts``) that contains it.
+
+    One row without a window where there is none; a place of -1 stands for the
+    document itself, so that one without hits stays.
+    """
     gram = F.least(F.col("size"), F.lit(GRAM))
     first = F.greatest(F.lit(0), F.col("place") + gram - F.col("size"))
     last = F.least(F.col("place"), F.size("parts") - F.col("size"))
     starts = F.when((F.col("place") >= 0) & (first <= last), F.sequence(first, last))
-    spans = F.transform(starts, lambda s: F.struct(s.alias("start"), window_at(F.col("parts"), s, F.col("size")).alias("win")))
-    found = hits.select("doc_id", "digest", F.size("parts").alias("n_words"), "place", "size", F.explode_outer(spans).alias("span"))
+    spans = F.transform(starts, lambda s: F.struct((s + offset).alias("start"), window_at(F.col("parts"), s, F.col("size")).alias("win")))
+    found = hits.select("doc_id", "digest", "n_words", "place", "size", F.explode_outer(spans).alias("span"))
     return found.select("doc_id", "digest", "n_words", "place", "size", "span.start", "span.win")
 
 
@@ -202,7 +229,42 @@ def _summed(spans: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones, all columns kept."""
-    dirty = materialize(overlaps(docs, items).where("contaminated").select(F.col("digest").alias("__dirty")).distinct(), "contaminated")
-    return docs.join(dirty, text_digest(F.col("text")) == F.col("__dirty"), "left_anti")
+def _filter(keys: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """A bit for the hash of every ``key``: (bucket, bits) rows of 4 kB, and their number."""
+    buckets = max(1, min(FILTER_MOST, FILTER_BITS * count) // 32_768)
+    place = _place(F.col("key"), buckets)
+    bits = keys.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    return bits, buckets
+
+
+def _place(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets * 32_768)) + 1
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``docs`` without the contaminated ones, all columns kept.
+
+    Null and empty texts are never contaminated; null ids and repeated rows are judged
+    by their text alone; an empty benchmark or an empty table drops nothing. Texts do
+    not move to learn a yes or no: the contaminated digests are broadcast up to
+    ``broadcast_bytes`` of stored size. Beyond it a bitmap of their hashes (64 MB at
+    most) is, and only the rows that pass it meet the digests in a join.
+    """
+    dirty = overlaps(docs, items).where("contaminated").select(F.unhex("digest").alias("key")).distinct()
+    dirty = materialize(dirty, "contaminated")
+    key, bucket, bits = unused(docs, "key"), unused(docs, "bucket"), unused(docs, "bits")
+    digest = F.unhex(text_digest(F.col("text")))
+    marked = docs.withColumn(key, digest)
+    listed = dirty.withColumnRenamed("key", key)
+    if _bytes(dirty) <= broadcast_bytes:
+        return marked.join(F.broadcast(listed), key, "left_anti").select(*map(quoted, docs.columns))
+    filled, buckets = _filter(dirty, dirty.count())
+    filled = F.broadcast(materialize(filled, "contaminated-bits").toDF(bucket, bits))
+    place = _place(F.col(key), buckets)
+    looked = marked.join(filled, F.bitmap_bucket_number(place) == F.col(bucket), "left")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    passes = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    clean = looked.where(~passes).select(*map(quoted, docs.columns))
+    checked = looked.where(passes).drop(bucket, bits).join(listed, key, "left_anti")
+    return clean.union(checked.select(*map(quoted, docs.columns)))
