@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallymark.llm import bpe, decontaminate, exact, langid, simhash
 from tallymark.llm.common import table
 from tallymark.llm.queries import WORD_BPE
-from tallymark.session import materialize
+from tallymark.session import discard, made_so_far, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +50,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    began = made_so_far()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(began, keep=1)  # what this stage has read and made on its way
     return docs

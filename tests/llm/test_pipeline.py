@@ -53,3 +53,21 @@ def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
     assert {"op3_url_rules", "op5_decontamination", "op8_exact", "op10_warc"} <= set(oracle_sql())
     assert os.path.isfile(os.path.join(os.path.dirname(corpus_pipeline.__file__), "__spark_entry__.py"))
+
+
+def test_only_the_last_table_stays(spark, tmp_path):
+    from tallymark import session
+
+    tables(spark, str(tmp_path))
+    before = session.made_so_far()
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert session.made_so_far() == before + 1 and got.count() > 0
+
+
+def test_empty_tables_and_null_ids(spark, tmp_path):
+    rows = [(None, ENGLISH, "en", "s", 1), (None, ENGLISH, "en", "s", 1), (None, None, None, None, None), (1, GERMAN, "de", "s", 1)]
+    for name, docs, bench in [("a", rows, []), ("b", [], [(1, PASSAGE)]), ("c", [], [])]:
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(docs, COLUMNS).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        assert corpus_pipeline.run(spark, folder).count() == (2 if docs else 0)
