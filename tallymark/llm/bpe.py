@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tallymark.llm.common import arrow_map, text_chunks
 
 # Pre-tokens a worker remembers; beyond it the memory starts anew.
-CACHED = 300_000
+CACHED = 150_000
 # Longer pre-tokens (in bytes) get a tree of their own and are not remembered.
 SHORT = 64
 NONE = np.iinfo(np.int32).max

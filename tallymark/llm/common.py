@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import sys
@@ -39,8 +41,10 @@ def arrow_map(df: DataFrame, module: str, name: str, schema: str | T.StructType,
 
         if root not in sys.path:
             sys.path.insert(0, root)
-        importlib.import_module("tallymark.llm.common").serve(module)
-        return getattr(importlib.import_module(module), name)(batches, *args)
+        common = importlib.import_module("tallymark.llm.common")
+        common.serve(module)
+        yield from getattr(importlib.import_module(module), name)(batches, *args)
+        common.trim()
 
     return df.mapInArrow(run, schema)
 
@@ -57,10 +61,17 @@ def serve(module: str) -> None:
         if name.startswith("tallymark.llm.") and name != module and hasattr(other, "release"):
             other.release()
     gc.collect()
-    pa.default_memory_pool().release_unused()
+    trim()
     _served = module
 
 
+def trim() -> None:
+    """Give memory that is free back to the system, which idle workers share with others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_chunks(
     batches: Iterable[pa.RecordBatch], text: int, size: int = CHUNK_CHARS
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
