@@ -8,8 +8,7 @@ meet the distinct fingerprints of the items; each hit is extended to the windows
 that contain it, and these are compared word by word, so no hash decides a match.
 
 A text is cut into overlapping pieces of ``PIECE`` words, so that every window lies
-inside one; a fingerprint carries the few words around it that its windows can need.
-Work and memory of a row are in proportion to its length.
+inside one. Work and memory of a row are in proportion to its length.
 
 The fingerprints of the items are broadcast where their measured size allows it,
 so that texts do not move at all. Beyond ``broadcast_bytes`` they meet in a shuffle of
@@ -143,29 +142,27 @@ def overlaps(docs: DataFrame, items: DataFrame, length: int = WINDOW, broadcast_
 def _in_place(rows: DataFrame, fps: DataFrame, sizes: list[tuple[int, int, int]], length: int) -> DataFrame:
     """Spans of all documents; nothing is shuffled.
 
-    A fingerprint of k words at ``place`` is inside the windows that start from
-    ``place + k - size`` to ``place``: the words from the first of them to the end of
-    the last go with it, joined by blanks, and are parted again where it hits.
+    The fingerprints are a column of their own before they are exploded, so that the
+    explosion and the join run in generated code, where a piece's words are only
+    pointed at; what hits takes the few words with it that its windows can need.
     """
-    own = [F.lit(-1).alias("size"), F.lit(0).alias("place"), F.lit(-1).cast("bigint").alias("fp"), F.lit("").alias("around"), F.lit(0).alias("first")]
+    own = [F.lit(-1).alias("size"), F.lit(0).alias("place"), F.lit(-1).cast("bigint").alias("fp")]
     marks = F.slice(F.array(F.struct(*own)), 1, F.when(F.col("offset") == 0, 1).otherwise(0))  # once a document
     cut = rows.select("doc_id", "digest", F.size("parts").alias("n_words"), F.explode(pieces(F.col("parts"), length)).alias("piece"))
     cut = cut.select("doc_id", "digest", "n_words", "piece.offset", "piece.words")
     if sizes:
-
-        def near(f: Column) -> Column:
-            first = F.greatest(F.lit(0), f["place"] + F.least(f["size"], F.lit(GRAM)) - f["size"])
-            text = window_at(F.col("words"), first, f["place"] - first + f["size"])
-            return F.struct(f["size"].alias("size"), f["place"].alias("place"), f["fp"].alias("fp"), text.alias("around"), first.alias("first"))
-
-        found = F.transform(_winnowed(F.col("words"), sizes), near)
-        marks = F.concat(marks, found)
-    found = cut.select("doc_id", "digest", "n_words", "offset", F.explode(marks).alias("f"))
+        marks = F.concat(marks, _winnowed(F.col("words"), sizes))
+    # The outer form, as a filter on the array's size would compute it a second time.
+    found = cut.withColumn("marks", marks).select("doc_id", "digest", "n_words", "offset", "words", F.explode_outer("marks").alias("f"))
     listed = fps.union(fps.sparkSession.range(1).select(F.lit(-1).alias("size"), F.lit(-1).cast("bigint").alias("fp")))
-    hits = found.select("doc_id", "digest", "n_words", "offset", "f.*").join(F.broadcast(listed), ["size", "fp"])
-    parted = F.when(F.col("size") > 0, F.split("around", " ", -1))
-    hits = hits.select("doc_id", "digest", "n_words", "size", "place", "offset", "first", parted.alias("parts"))
-    return _extended(hits.withColumn("place", F.when(F.col("size") > 0, F.col("place") - F.col("first")).otherwise(-1)), F.col("offset") + F.col("first"))
+    hits = found.select("doc_id", "digest", "n_words", "offset", "words", "f.size", "f.place", "f.fp").join(F.broadcast(listed), ["size", "fp"])
+    # A fingerprint of k words at ``place`` is inside the windows that start from
+    # ``place + k - size`` to ``place``.
+    first = F.greatest(F.lit(0), F.col("place") + F.least(F.col("size"), F.lit(GRAM)) - F.col("size"))
+    near = F.when(F.col("size") > 0, F.slice("words", first + 1, F.col("place") - first + F.col("size")))
+    place = F.when(F.col("size") > 0, F.col("place") - first).otherwise(-1)
+    hits = hits.select("doc_id", "digest", "n_words", "size", place.alias("place"), (F.col("offset") + first).alias("first"), near.alias("parts"))
+    return _extended(hits, F.col("first"))
 
 
 def _shuffled(rows: DataFrame, fps: DataFrame, sizes: list[tuple[int, int, int]], length: int) -> DataFrame:
