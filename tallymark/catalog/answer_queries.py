@@ -274,13 +274,26 @@ def _(i):
 @query(
     "e19_usage_totals",
     f"""SELECT {RUN}, 'gpt-4-0613' AS model, count(*) AS n_responses, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
-    round(avg(total_tokens), 6) AS avg_tokens FROM outcomes GROUP BY {RUN}""",
+    round(avg(total_tokens), 6) AS avg_tokens, CAST(sum(length(student_id) + 0.25) AS DOUBLE) AS seconds FROM outcomes GROUP BY {RUN}""",
 )
 def _(i):
     from tallymark.operators.metrics import usage_totals
+    from tallymark.plans.label import response_results
 
-    opened = responses.open_envelopes(_known(i)).join(i.params().select(*RUN_KEY, "model"), RUN_KEY)
-    return usage_totals(opened).withColumn("avg_tokens", F.round("avg_tokens", 6))
+    timed = i.responses().withColumn("seconds", (F.length("student_id") + F.lit(0.25)).cast("double"))
+    settings = run_settings(i.params(), i.rubric_levels())
+    results = response_results(timed, settings).join(settings.select(*RUN_KEY, "model"), RUN_KEY)
+    return usage_totals(results).drop("prompt_tokens", "completion_tokens").withColumn("avg_tokens", F.round("avg_tokens", 6))
+
+
+@query(
+    "j11_concepts_in_a_text",
+    "SELECT doc_id, CAST(len(list_filter(['the', 'of, the', 'th', 'and, or', lang, 'xq'], lambda c: contains(text, c))) AS BIGINT) AS n FROM documents",
+)
+def _(i):
+    """Which names stand in a request's text: a substring test, commas and all."""
+    names = F.array(*[F.lit(x) for x in ("the", "of, the", "th", "and, or")], F.col("lang"), F.lit("xq"))
+    return i.table("documents").select("doc_id", F.size(validate.requested_concepts(F.col("text"), names)).cast("bigint").alias("n"))
 
 
 @query(

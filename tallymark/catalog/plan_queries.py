@@ -8,7 +8,7 @@ from tallymark.catalog import program_queries  # noqa: F401  (its views come fir
 from tallymark.catalog.answer_queries import graded
 from tallymark.catalog.inputs import CTES, GROUP, RUN, STUDENT, Inputs
 from tallymark.catalog.registry import query
-from tallymark.dims import LESSONS, RUN_KEY, STUDENT_KEY
+from tallymark.dims import LESSONS, RUN_KEY, STUDENT_KEY, VALID_LABELS
 from tallymark.functions import text
 from tallymark.operators import metrics
 from tallymark.plans import evaluate, label
@@ -174,6 +174,20 @@ def _(i):
     return writers.read_cache(i.spark, path).select(*STUDENT_KEY, "outcome")
 
 
+@query("a8_cache_versions", f"SELECT {STUDENT}, outcome FROM outcomes ANTI JOIN blank_student USING ({STUDENT}) WHERE outcome = 'ok' AND dataset = 'd1'")
+def _(i):
+    """Three versions of a cache; what a reader of the second one sees after the third."""
+    path = shared_folder(i.spark, "versions")
+    results = materialize(labelled(i), "results")
+    one, other = (i.params().where(F.col("dataset") == name) for name in ("d0", "d1"))
+    writers.write_cache(results.where("dataset = 'd0'"), path, one)
+    second = writers.write_cache(results.where("dataset = 'd1'"), path, i.params())
+    pinned = writers.read_cache(i.spark, path, second)
+    writers.write_cache(results.where("dataset = 'd0'"), path, other)
+    writers.prune_cache(i.spark, path, keep=2)
+    return pinned.select(*STUDENT_KEY, "outcome")
+
+
 @query("a7_resume_from_cache", f"SELECT {STUDENT}, key_concept, label FROM expected")
 def _(i):
     """A third run over results that a fresh one and a resumed one have kept."""
@@ -184,17 +198,77 @@ def _(i):
     return evaluate.predicted_labels(again).select(*STUDENT_KEY, "key_concept", "label")
 
 
-@query("m5_request_stream", f"SELECT {STUDENT}, key_concept, observations, evidence, label, reason FROM expected")
-def _(i):
-    """Requests written as files, labelled by the stream, read back."""
+def _forms(i: Inputs):
+    """One request per submission: everything a run has, as the fields of a form."""
+    quoted = lambda text: F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    cell = F.struct("label", F.col("descriptor").alias("text"))
+    rows = i.rubric_levels().groupBy(*RUN_KEY, "key_concept", "ord").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    line = F.concat_ws(",", quoted(F.col("key_concept")), *[quoted(F.col("cells")[name]) for name in VALID_LABELS])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"])
+    head = ",".join(["Key Concept", *VALID_LABELS])
+    rubric = rows.withColumn("line", line).groupBy(*RUN_KEY).agg(F.concat(F.lit(head + "\n"), F.array_join(lines, "\n")).alias("rubric"))
+    runs = i.params().join(rubric, RUN_KEY)
+    fields = {
+        "code": "code", "prompt": F.lit("Grade it"), "rubric": "rubric", "model": "model", "lesson": "tree_lesson",
+        "num-responses": F.col("num_responses").cast("string"), "response-type": "response_type",
+        "remove-comments": F.col("remove_comments").cast("int").cast("string"), "code-feature-extractor": F.array_join("rule_concepts", "; "),
+    }
+    form = F.create_map(*[x for name, value in fields.items() for x in (F.lit(name), F.col(value) if isinstance(value, str) else value)])
+    number = F.split_part("student_id", F.lit("_"), F.lit(2)).cast("int")
+    requests = i.submissions().join(i.responses(), STUDENT_KEY).join(runs, RUN_KEY)
+    return requests.select(
+        F.concat_ws("|", *STUDENT_KEY).alias("request_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce(number, F.lit(0)) % 60).alias("received"),
+        form.alias("form"), "http_status", "body", (F.length("student_id") + F.lit(0.25)).alias("seconds"),
+    )
+
+
+def _requested(i: Inputs) -> str:
+    """Label all requests as a stream, a part of them sent twice; the sink's folder."""
     path = shared_folder(i.spark, "requests")
-    requests = i.submissions().join(i.responses(), STUDENT_KEY)
-    requests.write.json(f"{path}/in")
+    forms = materialize(_forms(i), "forms")
+    forms.write.json(f"{path}/in")
+    # The same requests again, within the time that replays are known.
+    forms.where("crc32(request_id) % 5 = 0").withColumn("received", F.col("received") + F.expr("INTERVAL 5 MINUTES")).write.mode("append").json(f"{path}/in")
     stream = request_stream.read_request_stream(i.spark, f"{path}/in")
+    request_stream.label_request_stream(stream, f"{path}/out", f"{path}/state").awaitTermination()
+    return f"{path}/out"
+
+
+def _student_of(request_id: str = "request_id"):
+    return [F.split_part(F.col(request_id), F.lit("|"), F.lit(n)).alias(name) for n, name in enumerate(STUDENT_KEY, 1)]
+
+
+@query("m5_request_stream", f"SELECT {STUDENT}, key_concept, observations, evidence, label, reason FROM expected")
+def _(i):
+    """Requests that bring their own rubric and settings, some of them twice."""
+    done = request_stream.read_results(i.spark, _requested(i)).where("outcome = 'ok'")
+    rows = done.select(*_student_of(), F.explode("data").alias("r"))
+    return rows.select(*STUDENT_KEY, "r.key_concept", "r.observations", "r.evidence", "r.label", "r.reason")
+
+
+@query(
+    "m5_stream_totals",
+    f"""SELECT CAST(count(*) AS BIGINT) AS n_results, CAST(count(*) FILTER (b.sid IS NULL AND outcome <> 'ok') AS BIGINT) AS n_failed,
+    CAST(count(b.sid) AS BIGINT) AS n_static, CAST(coalesce(sum(total_tokens) FILTER (b.sid IS NULL), 0) AS BIGINT) AS total_tokens,
+    round(sum(CASE WHEN b.sid IS NULL THEN length(student_id) + 0.25 ELSE 0 END), 4)::DOUBLE AS seconds
+    FROM outcomes o LEFT JOIN blank_student b USING ({STUDENT})""",
+)
+def _(i):
+    """Totals of the batches, gathered while their results were written."""
+    totals = request_stream.read_totals(i.spark, _requested(i))
+    return totals.agg(*[F.sum(c).alias(c) for c in ("n_results", "n_failed", "n_static", "total_tokens")], F.round(F.sum("seconds"), 4).alias("seconds"))
+
+
+@query("m5_known_runs_stream", f"SELECT {STUDENT}, key_concept, observations, evidence, label, reason FROM expected")
+def _(i):
+    """Programs and responses of known runs, labelled by the stream, read back."""
+    path = shared_folder(i.spark, "responses")
+    i.submissions().join(i.responses(), STUDENT_KEY).write.json(f"{path}/in")
+    stream = request_stream.read_response_stream(i.spark, f"{path}/in")
     levels, params = materialize(i.rubric_levels(), "rubric"), materialize(i.params(), "params")
     request_stream.label_stream(stream, levels, params, f"{path}/out", f"{path}/state").awaitTermination()
-    done = i.spark.read.parquet(f"{path}/out").drop("batch")
-    return evaluate.predicted_labels(done).drop("pos")
+    return evaluate.predicted_labels(request_stream.read_results(i.spark, f"{path}/out")).drop("pos")
 
 
 @query(

@@ -195,10 +195,22 @@ def failed_students(assessed: DataFrame) -> DataFrame:
 
 
 def usage_totals(assessed: DataFrame) -> DataFrame:
-    """Token totals per run and model."""
+    """Tokens and seconds of the results per run and model; unknown times count as none."""
+    optional = [c for c in ("prompt_tokens", "completion_tokens", "seconds") if c in assessed.columns]
     return assessed.groupBy(*RUN_KEY, "model").agg(
         F.count(F.lit(1)).alias("n_responses"),
         F.sum("total_tokens").alias("total_tokens"),
         F.avg("total_tokens").alias("avg_tokens"),
+        *[F.sum(c).alias(c) for c in optional],
     )
 
+
+def run_totals() -> dict[str, Column]:
+    """What ``DataFrame.observe`` can gather while results are written: no second pass."""
+    return {
+        "n_results": F.count(F.lit(1)),
+        "n_failed": F.count_if(F.col("outcome") != "ok"),
+        "n_static": F.count_if(F.col("agent") == "static"),
+        **{name: F.coalesce(F.sum(name), F.lit(0)) for name in ("prompt_tokens", "completion_tokens", "total_tokens")},
+        "seconds": F.coalesce(F.sum("seconds"), F.lit(0.0)),
+    }

@@ -129,11 +129,18 @@ def read_requests(forms: DataFrame) -> DataFrame:
         F.filter(
             F.transform(F.split(field("code-feature-extractor"), ","), lambda c: F.trim(c)), lambda c: c != ""
         ).alias("rule_concepts"),
+        # As a request gives it; its concepts are found in the text (``requested_concepts``).
+        field("code-feature-extractor").alias("rule_text"),
         field("lesson").alias("lesson"),
         status.alias("status"),
     )
 
 
+def requested_concepts(rule_text: Column, concepts: Column) -> Column:
+    """Those of ``concepts`` whose name stands anywhere in the text, commas and all."""
+    return F.filter(concepts, lambda c: F.coalesce(F.contains(rule_text, c), F.lit(False)))
+
+
 def without_data(assessed: DataFrame) -> DataFrame:
     """Results without a list of rows."""
     return assessed.where(F.col("data").isNull())

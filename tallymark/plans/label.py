@@ -16,7 +16,8 @@ from tallymark.session import materialize
 # Texts of results.
 BLANK_TEXT = "The program is empty."
 RULE_AGENT = "code feature extractor"
-RESULT_COLUMNS = [*STUDENT_KEY, "model", "agent", "outcome", "total_tokens", "data"]
+USAGE = ["prompt_tokens", "completion_tokens", "total_tokens"]
+RESULT_COLUMNS = [*STUDENT_KEY, "model", "agent", "outcome", *USAGE, "seconds", "data"]
 
 
 def rubric_concepts(rubric_levels: DataFrame) -> DataFrame:
@@ -62,12 +63,18 @@ def blank_results(prepared: DataFrame, concepts: DataFrame) -> DataFrame:
     )
     return prepared.where("blank").join(concepts, RUN_KEY).select(
         *STUDENT_KEY, "model", F.lit("static").alias("agent"), F.lit("ok").alias("outcome"),
-        F.lit(0).cast("bigint").alias("total_tokens"), rows.alias("data"),
+        *[F.lit(0).cast("bigint").alias(name) for name in USAGE],
+        F.lit(0).cast("double").alias("seconds"), rows.alias("data"),
     )
 
 
 def response_results(responses: DataFrame, settings: DataFrame) -> DataFrame:
-    """Parse, check and vote every stored response of the runs in ``settings``."""
+    """Parse, check and vote every stored response of the runs in ``settings``.
+
+    ``seconds``, how long the response took, is passed on where it is known.
+    """
+    if "seconds" not in responses.columns:
+        responses = responses.withColumn("seconds", F.lit(None).cast("double"))
     settings = settings.where(F.col("concepts").isNotNull()).select(*RUN_KEY, "model", "response_type", "concepts")
     provider = prompts.provider(F.col("model"))
     known = responses.join(settings, RUN_KEY).withColumn(
@@ -78,7 +85,8 @@ def response_results(responses: DataFrame, settings: DataFrame) -> DataFrame:
     return graded.select(
         *STUDENT_KEY,
         F.when(provider.isNull(), "unknown_model").otherwise(F.col("outcome")).alias("outcome"),
-        "total_tokens",
+        *[F.coalesce(F.col("usage")[name], F.lit(0).cast("bigint")).alias(name) for name in USAGE],
+        "seconds",
         "data",
     )
 
@@ -154,22 +162,48 @@ def label_submissions(
     answered = results.join(by_rule, STUDENT_KEY, "left").select(
         *STUDENT_KEY, "model", agent.alias("agent"),
         F.coalesce("outcome", F.lit("no_response")).alias("outcome"),
-        F.coalesce("total_tokens", F.lit(0).cast("bigint")).alias("total_tokens"),
+        *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in USAGE],
+        "seconds",
         response_ops.sanitize_data(_override(F.col("data"), F.col("by_rule"))).alias("data"),
     )
     parts = [answered, blank_results(state, settings.where("concepts IS NOT NULL").select(*RUN_KEY, "concepts"))]
     if cache is not None:
-        parts.append(cache.select(*RESULT_COLUMNS))
+        parts.append(cache)
     union = parts[0].select(*RESULT_COLUMNS)
     for part in parts[1:]:
-        union = union.unionByName(part.select(*RESULT_COLUMNS), allowMissingColumns=True)
+        own = part.select(*[c for c in RESULT_COLUMNS if c in part.columns])
+        union = union.unionByName(own, allowMissingColumns=True)
     return union
 
 
-def result_envelope(assessed: DataFrame) -> DataFrame:
-    """Results as {metadata, data} documents."""
-    metadata = F.struct("agent", "student_id", F.struct("total_tokens").alias("usage"))
-    return assessed.select(*STUDENT_KEY, F.to_json(F.struct(metadata.alias("metadata"), "data")).alias("result"))
+def result_envelope(assessed: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """Results as published documents: {metadata, data}.
+
+    metadata has agent, time (where known), student_id, and of what a provider
+    answered its usage and, with ``bodies`` (student key and ``body``, as sent), the
+    request. Rows of data go by their published names.
+    """
+    if bodies is not None:
+        assessed = assessed.join(bodies.select(*STUDENT_KEY, F.col("body").alias("sent")), STUDENT_KEY, "left")
+        request = F.from_json("sent", "model string, temperature double, messages array<struct<role string, content string>>, n int")
+    else:
+        request = F.lit(None).cast("struct<model:string>")
+    asked = F.col("agent") != "static"
+    metadata = F.struct(
+        "agent",
+        F.col("seconds").alias("time"),
+        "student_id",
+        F.when(asked, F.struct(*USAGE)).alias("usage"),
+        F.when(asked, request).alias("request"),
+    )
+    data = F.transform(
+        "data",
+        lambda row: F.struct(
+            row["key_concept"].alias("Key Concept"), row["observations"].alias("Observations"), row["evidence"].alias("Evidence"),
+            row["label"].alias("Label"), row["reason"].alias("Reason"),
+        ),
+    )
+    return assessed.select(*STUDENT_KEY, F.to_json(F.struct(metadata.alias("metadata"), data.alias("data"))).alias("result"))
 
 
 def requests_table(submissions: DataFrame, params: DataFrame, prompts_table: DataFrame) -> DataFrame:

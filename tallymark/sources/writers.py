@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.dims import RUN_KEY, STUDENT_KEY
-from tallymark.session import materialize
+from tallymark.sources import snapshots
 
 CACHED_AGENTS_EXCLUDED = ["static"]
 
@@ -16,45 +16,32 @@ def cacheable(assessed: DataFrame) -> DataFrame:
     return assessed.where((F.col("outcome") == "ok") & ~F.col("agent").isin(CACHED_AGENTS_EXCLUDED))
 
 
-def write_cache(assessed: DataFrame, path: str, runs: DataFrame, resume: bool = False) -> None:
-    """Keep the valid results of ``runs`` (the run keys of this job).
+def write_cache(assessed: DataFrame, path: str, runs: DataFrame, resume: bool = False) -> int:
+    """Keep the valid results of ``runs`` (the run keys of this job); returns the version.
 
     A fresh evaluation replaces whatever the cache has of its runs, also of those
     without a single valid result now; runs outside the job stay. ``resume`` adds the
-    students that the cache does not have yet. Results are stored before the cache
-    changes, so they may have been read from it.
+    students that the cache does not have yet. The cache is a versioned table
+    (``snapshots``): other runs' files stay as they are, and the new version is complete
+    before it becomes the current one. A job that fails leaves the old results, and
+    results may be read from the cache that is written. ``prune_cache`` removes what is no longer read.
     """
     spark = assessed.sparkSession
-    kept = materialize(cacheable(assessed), "cache-rows")
-    if _exists(spark, path):
-        old = read_cache(spark, path)
-        if resume:
-            kept = kept.join(old.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
-        else:
-            _remove_runs(spark, path, old, runs)
-    kept.write.partitionBy(*RUN_KEY).mode("append").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    # A first run without valid results leaves a folder without partitions.
-    return store.exists(at) and any(s.isDirectory() for s in store.listStatus(at))
-
-
-def _remove_runs(spark: SparkSession, path: str, old: DataFrame, runs: DataFrame) -> None:
-    """Delete the cache's partitions of the runs; a partition is one run."""
-    stale = runs.select(*RUN_KEY).distinct().join(old.select(*RUN_KEY).distinct(), RUN_KEY, "left_semi")
-    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for run in stale.toLocalIterator():  # a line per run, not per result
-        folder = "/".join(f"{key}={escape(run[key])}" for key in RUN_KEY)
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    text = {key: F.col(key).cast("string") for key in RUN_KEY}
-    return spark.read.parquet(path).withColumns(text)
+    version = max(snapshots.versions(spark, path), default=0)
+    kept = cacheable(assessed)
+    if resume and version:
+        old = snapshots.read(spark, path, version)
+        kept = kept.join(old.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
+    return snapshots.commit(kept, path, RUN_KEY, None if resume else runs, version)
+
+
+def read_cache(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The cached results of a version, the current one unless given; None before the first."""
+    return snapshots.read(spark, path, version)
+
+
+def prune_cache(spark: SparkSession, path: str, keep: int = 1) -> None:
+    snapshots.prune(spark, path, keep)
 
 
 def label_sheet(predicted: DataFrame, concepts: list[str], keys: list[str] = RUN_KEY) -> DataFrame:
