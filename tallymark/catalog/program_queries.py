@@ -333,3 +333,34 @@ CTES["rule_result"] = f"""SELECT {STUDENT}, key_concept, '' AS observations, coa
 def _(i):
     rows = rules.rule_rows(i.programs(), scan.facts(i.programs()), i.requested(), i.rubric_levels())
     return rows.withColumn("evidence", F.array_join("evidence", " "))
+
+
+# A program of bodies without braces, behind sid % 5 empty lines.
+_BARE = """function draw() {
+  if (keyDown("up")) s.x = s.x + 1;
+  else turn();
+  while (v < 3) v = v + 1;
+  if (a)
+    if (b > 2) one();
+    else two();
+  for (var i = 0; i < 3; i++) { if (c) s.y = 4; }
+}
+if (d == 1)
+  last(5)
+"""
+_BARE_FACTS = [
+    ("function", 1, 9, False), ("if", 2, 3, True), ("assign", 2, 2, True), ("call", 3, 3, True), ("assign", 4, 4, True),
+    ("if", 5, 7, True), ("if", 6, 7, True), ("call", 6, 6, True), ("call", 7, 7, True), ("declare", 8, 8, True), ("if", 8, 8, True),
+    ("assign", 8, 8, True), ("if", 10, 11, False), ("call", 11, 11, False),
+]
+
+
+@query(
+    "i1_bodies_without_braces",
+    f"""SELECT {STUDENT}, kind, CAST(s + sid % 5 AS INT) AS "start", CAST(e + sid % 5 AS INT) AS "end", in_draw
+    FROM student, (VALUES {", ".join(f"('{k}', {a}, {b}, {d})" for k, a, b, d in _BARE_FACTS)}) AS f(kind, s, e, in_draw)""",
+)
+def _(i):
+    gap = F.repeat(F.lit("\n"), (F.col("sid") % 5).cast("int"))
+    bare = i.programs().select(*STUDENT_KEY, F.concat(gap, F.lit(_BARE)).alias("code"))
+    return scan.facts(bare).select(*STUDENT_KEY, "kind", "start", "end", "in_draw")

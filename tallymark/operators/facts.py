@@ -20,7 +20,8 @@ Fact columns (besides the program key):
   move_start, move_end          lines to report for movement in the draw loop;
                                 NULL where the statement is not looked at
 
-Round brackets may nest to any depth and a declaration may name any number of
+A body without braces is a block like any other: ``if (a) x();`` and the same with braces
+give equal facts. Round brackets may nest to any depth and a declaration may name any number of
 variables; names without a value have a NULL value. Declarations in loop heads
 and of function expressions count as well. Statements outside the recognised
 shapes become kind 'unparsed' and never stop a job.
@@ -59,13 +60,26 @@ _OPERAND = rf"(?:{_CALL}|{_MEMBER}|{_LITERAL}|{_ID}|{_UNARY})"
 _BINARY = rf"(?s)^({_OPERAND})\s*+(===|!==|==|!=|<=|>=|<<|>>|<|>|[-+*/%&|^])\s*+({_OPERAND})$"
 
 
+# Virtual braces around a body without braces, and a mark before what ends a statement
+# that an else follows.
+_VIRTUAL_OPEN, _VIRTUAL_CLOSE, _ELSE_FOLLOWS = "\ue020", "\ue021", "\ue022"
+_OPENS, _CLOSES = "{" + _VIRTUAL_OPEN, "}" + _VIRTUAL_CLOSE
+_TERMS = ";\n" + _OPENS + _CLOSES
+# Heads whose next character starts a statement; a while behind a brace ends a do loop.
+_BARE_HEAD = (
+    rf"(?<![\w$.])((?:else\s++)?if\s*+\({_ARGS}\)|for\s*+\({_ARGS}\)"
+    rf"|(?<!\}}[ \t]{{0,9}})while\s*+\({_ARGS}\))(?=\s*+[^\s{{}};])"
+)
+_BARE_ELSE = r"(^|[;}\n])(\s*+)else(?=\s++(?!if\s*+\()[^\s{};])"
+_BEFORE_ELSE = r"([;}\n])(?=\s*+else(?![\w$]))"
+
 # A line goes on after a trailing operator, and from a header to its brace on
 # the next line; such line ends get a stand-in.
 _LINE_END = _STAND_INS[-1]
 _AFTER_OPERATOR = r"((?<!\+)\+|(?<!-)-|[*/%=<>&|,.])[ \t]*+\n"
 _BEFORE_BRACE = r"\n(?=[ \t]*+\n?[ \t]*+\{)"
 # Up to a ; { } or line end outside round brackets.
-_PIECE = rf"\s*+(?:[^;{{}}\n()]++|\({_ARGS}\)|[()])*+[;{{}}\n]?"
+_PIECE = rf"\s*+(?:[^()\n;{_OPENS}{_CLOSES}]++|\({_ARGS}\)|[()])*+[;\n{_OPENS}{_CLOSES}]?"
 _CASE_LABEL = r"^(?:case\s[^:]*+|default\s*+):\s*+"
 
 # One match gives all parts of a statement, in the order of _PARTS.
@@ -161,6 +175,50 @@ def mask_brackets(masked: Column) -> Column:
     return let(masked, lambda text: let(disguised(text), _outer_brackets))
 
 
+def close_bare_bodies(masked: Column) -> Column:
+    """Give bodies without braces virtual ones, so that they have a range of their own.
+
+    ``if (a) x();``, ``else y();`` and loops alike, on the same line or the next. The
+    body ends with the next complete statement; what it completes ends with it, but
+    for an ``if`` that an ``else`` follows. The open blocks are a stack of letters:
+    B braces, V a virtual block of an if, W one of anything else.
+    """
+    state = lambda stack, out: F.struct(stack.alias("stack"), out.alias("out"))
+    mark_of = lambda n: F.repeat(F.lit(_VIRTUAL_CLOSE), n)
+
+    def ended(stack: Column, piece: Column) -> Column:
+        """How many virtual blocks end with a statement."""
+        own = F.regexp_extract(stack, "(VW*)$", 1)
+        return F.length(F.when(piece.contains(_ELSE_FOLLOWS), own).otherwise(F.regexp_extract(stack, "([VW]*)$", 1)))
+
+    def step(acc: Column, piece: Column) -> Column:
+        mark, stack, out = F.right(piece, F.lit(1)), acc["stack"], acc["out"]
+        body = F.substring(piece, F.lit(1), F.length(piece) - 1)
+        cut = lambda text, n: F.substring(text, F.lit(1), F.length(text) - n)
+        virtual = F.when(piece.rlike(r"(?<![\w$])if\s*+\("), "V").otherwise("W")
+        within = F.length(F.regexp_extract(stack, "([VW]*)$", 1))  # ends before a brace does
+        outer = cut(stack, F.least(within + 1, F.length(stack)))
+        after = ended(outer, piece)
+        done = ended(stack, piece)
+        return (
+            F.when(mark == "{", state(F.concat(stack, F.lit("B")), F.concat(out, piece)))
+            .when(mark == _VIRTUAL_OPEN, state(F.concat(stack, virtual), F.concat(out, piece)))
+            .when(mark == "}", state(cut(outer, after), F.concat(out, body, mark_of(within), mark, mark_of(after))))
+            .when(~piece.rlike(rf"[^\s{_ELSE_FOLLOWS}]"), state(stack, F.concat(out, piece)))
+            .when(mark == "\n", state(cut(stack, done), F.concat(out, body, mark_of(done), mark)))
+            .otherwise(state(cut(stack, done), F.concat(out, piece, mark_of(done))))
+        )
+
+    def closed(code: Column) -> Column:
+        marked = F.regexp_replace(code, _BEFORE_ELSE, f"{_ELSE_FOLLOWS}$1")
+        pieces = F.regexp_extract_all(marked, F.lit(_PIECE), F.lit(0))
+        walked = F.aggregate(pieces, state(F.lit(""), F.lit("")), step, lambda acc: acc["out"])
+        return F.when(code.contains(_VIRTUAL_OPEN), F.replace(walked, F.lit(_ELSE_FOLLOWS), F.lit(""))).otherwise(code)
+
+    heads = F.regexp_replace(masked, _BARE_HEAD, f"$1{_VIRTUAL_OPEN}")
+    return let(F.regexp_replace(heads, _BARE_ELSE, f"$1$2else{_VIRTUAL_OPEN}"), closed)
+
+
 def _count_breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -171,12 +229,12 @@ def statements(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     Balanced round brackets keep a statement together over lines; brackets that
     never close are ordinary characters, so they spoil one statement only.
     """
-    code = mask_brackets(mask_code(F.regexp_replace(F.col("code"), "\r\n?", "\n")))
+    code = close_bare_bodies(mask_brackets(mask_code(F.regexp_replace(F.col("code"), "\r\n?", "\n"))))
     code = F.regexp_replace(code, _AFTER_OPERATOR, f"$1{_LINE_END}")
     code = F.regexp_replace(code, _BEFORE_BRACE, _LINE_END)
     pieces = F.regexp_extract_all(code, F.lit(_PIECE), F.lit(0))
     rows = programs.select(*keys, F.posexplode(pieces).alias("pos", "piece")).where(F.col("piece") != "")
-    term = F.when(F.right("piece", F.lit(1)).isin(*";{}\n"), F.right("piece", F.lit(1))).otherwise("")
+    term = F.when(F.right("piece", F.lit(1)).isin(*_TERMS), F.right("piece", F.lit(1))).otherwise("")
     raw = F.replace("piece", F.lit(_LINE_END), F.lit("\n"))
     body = F.ltrim(F.substring(raw, F.lit(1), F.length(raw) - F.length("term")), F.lit(" \t\n\x0b\f"))
     return (
@@ -193,7 +251,7 @@ def blocks(stmts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     """Add nesting: depth, block kind and end, draw loop, movement lines."""
     program = W.partitionBy(*keys).orderBy("pos")
     before = program.rowsBetween(W.unboundedPreceding, -1)
-    opens, closes = F.col("term") == "{", F.col("term") == "}"
+    opens, closes = F.col("term").isin(*_OPENS), F.col("term").isin(*_CLOSES)
     text = F.col("text")
     kind = F.when(
         opens,
@@ -208,7 +266,7 @@ def blocks(stmts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
         stmts.withColumn("block", kind)
         .withColumn("start", 1 + F.coalesce(F.sum("breaks").over(before), F.lit(0)) + F.col("lead"))
         .withColumn("depth", F.coalesce(F.sum(step).over(before), F.lit(0)))
-        .where((F.col("text") != "") | F.col("term").isin("{", "}"))
+        .where((F.col("text") != "") | opens | closes)
         .withColumn("end", F.col("start") + F.col("inside"))
         .withColumn("level", F.when(closes, F.col("depth") - 1).otherwise(F.col("depth")))
         .withColumn("brace", opens | closes)

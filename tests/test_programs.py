@@ -273,3 +273,35 @@ def test_rules_can_be_added(spark):
             rules.register("Own", "own-lesson", lambda: F.lit("x"), "no such section")
     finally:
         del rules.RULES[("Own", "own-lesson")]
+
+
+BARE_AND_BRACED = [
+    ('if (a) x();', 'if (a) {x();}'),
+    ('if (a) x(); else y();', 'if (a) {x();} else {y();}'),
+    ('if (a)\n  x();\nelse\n  y();\nz();', 'if (a) {\n  x();} else\n  {y();}\nz();'),
+    ('if (a) if (b) x(); else y();\nz();', 'if (a) {if (b) {x();} else {y();}}\nz();'),
+    ('if (a) while (b) x(); else y();', 'if (a) {while (b) {x();}} else {y();}'),
+    ('if (a) {\n  if (b) s.x = 1\n}\nu();', 'if (a) {\n  if (b) {s.x = 1}\n}\nu();'),
+    ('if (a) for (var i = 0; i < 3; i++) { x(); }\nelse if (b) y();\nelse z();', 'if (a) {for (var i = 0; i < 3; i++) { x(); }}\nelse if (b) {y();}\nelse {z();}'),
+    ('if (a) s.x = s.x + 1 }', 'if (a) {s.x = s.x + 1} }'),
+    ('do { x(); } while (a);\ny();', 'do { x(); } while (a);\ny();'),
+    ('var t = "if (a) x(); else y();";\nz();', 'var t = "if (a) x(); else y();";\nz();'),
+]
+
+
+def test_bodies_with_and_without_braces(spark):
+    rows = []
+    for n, pair in enumerate(BARE_AND_BRACED):
+        for side, body in zip(("bare", "braced"), pair):
+            rows.append(("d", side, "l", f"s{n}", f"function draw() {{\n{body}\n}}\nfunction last() {{\n{body}\n}}"))
+    programs = spark.createDataFrame(rows, "dataset string, experiment string, lesson string, student_id string, code string")
+    found = {}
+    for row in scan.facts(programs).orderBy("seq").collect():
+        kept = {k: v for k, v in row.asDict().items() if k not in ("seq", "done", "experiment")}
+        found.setdefault((row["student_id"], row["experiment"]), []).append(tuple(kept.values()))
+    for n, pair in enumerate(BARE_AND_BRACED):
+        if "do {" in pair[0] or n == 2:  # a brace of its own line changes where a block starts
+            continue
+        assert found[f"s{n}", "bare"] == found[f"s{n}", "braced"], pair
+    lines = [r[3:6] for r in found["s2", "bare"] if r[3] == "if"]
+    assert [(r[1], r[2]) for r in lines][0] == (2, 5)
