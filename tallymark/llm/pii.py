@@ -36,8 +36,8 @@ OUT = 0  # label; the others are the places in BASE plus one
 
 # Passes end when no message changes by more than SETTLED, or after PASSES of them.
 PASSES = 40
-SETTLED = 1e-3
-DAMPING = 0.5
+SETTLED = 1e-2
+DAMPING = 0.2
 # Where no tied token has a larger chance of a label, messages only lower it further:
 # they can change no belief of such a text by more than about this.
 UNSURE = 1e-3
