@@ -26,13 +26,34 @@ def _(i):
     return found.select(*STUDENT_KEY, *_big("start", "end"), *_FACT.split(", "))
 
 
-@query("i12_unreadable_text")
+# Prose has no comments; a quote ends with its line and a backtick may not end at all.
+_PROSE_LINES = r"""regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
+    '"[^"\n]*"?|''[^''\n]*''?|`[^`]*`|`[^\n]*', 'q', 'g'), '([*/%=<>&|,.])[ \t]*\n', '\1 ', 'g')"""
+
+
+@query(
+    "i12_unreadable_text",
+    f"""SELECT 'unparsed' AS kind, count(*) AS n FROM (SELECT unnest(regexp_split_to_array({_PROSE_LINES}, '[;{{}}\n]')) AS line FROM documents)
+    WHERE regexp_matches(line, '[^\s]') HAVING count(*) > 0""",
+)
 def _(i):
     """Prose is no program: its lines become unparsed rows, nothing fails."""
     prose = i.table("documents").selectExpr("doc_id", "text AS code")
     return scan.facts(prose, ["doc_id"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "i12_restart_after_damage",
+    f"SELECT {STUDENT}, CAST(start + 2 AS BIGINT) AS start, CAST(end_line + 2 AS BIGINT) AS end_line, {_FACT} FROM facts",
+)
+def _(i):
+    """A comment, a brace and a backtick without end around every program change none of its facts."""
+    damaged = F.concat(F.lit("/* no end\nfunction lost() {\n"), F.col("code"), F.lit("\n`no end"))
+    found = scan.facts(i.programs().withColumn("code", damaged))
+    own = found.where(~F.col("name").eqNullSafe(F.lit("lost")) & (F.col("kind") != "unparsed"))
+    return own.select(*STUDENT_KEY, *_big("start", "end"), *_FACT.split(", "))
+
+
 @query(
     "f3_block_ends",
     f"SELECT {STUDENT}, kind, CAST(start AS BIGINT) AS start, CAST(end_line AS BIGINT) AS end_line FROM facts WHERE kind IN ('function', 'if')",

@@ -25,6 +25,11 @@ give equal facts. Round brackets may nest to any depth and a declaration may nam
 variables; names without a value have a NULL value. Declarations in loop heads
 and of function expressions count as well. Statements outside the recognised
 shapes become kind 'unparsed' and never stop a job.
+
+Unreadable text spoils what is near it only. A backtick or comment that never ends
+goes to the end of its line. In a program with more opening than closing braces every
+line that begins with a function starts an island of its own: blocks that are open
+there end before it.
 """
 
 from __future__ import annotations
@@ -40,8 +45,14 @@ from tallymark.functions.text import strip
 # Quoted text and comments first, so that brackets inside them do not count.
 _TOKEN = (
     r"""(?s)"(?:[^"\\\n]++|\\.)*+"?|'(?:[^'\\\n]++|\\.)*+'?|`(?:[^`\\]++|\\.)*+`?"""
-    r"""|/\*.*?(?:\*/|$)|//[^\n]*+|[^"'`/]++|/"""
+    r"""|/\*.*?(?:\*/|\z)|//[^\n]*+|[^"'`/]++|/"""
 )
+# The same for what follows a backtick or comment that never ends: quotes stay on their line.
+_LINE_QUOTES = r"""(?s)"(?:[^"\\\n]++|\\.)*+"?|'(?:[^'\\\n]++|\\.)*+'?|`(?:[^`\\\n]++|\\.)*+`?"""
+_TOKEN_ON_LINE = {
+    "`": _LINE_QUOTES + r"""|/\*.*?(?:\*/|\z)|//[^\n]*+|[^"'`/]++|/""",
+    "/*": _LINE_QUOTES + r"""|/\*[^\n]*+|//[^\n]*+|[^"'`/]++|/""",
+}
 # Stand-ins for significant characters inside quotes (private-use code points).
 _SIGNIFICANT = "{};(),\n"
 _STAND_INS = "".join(chr(0xE000 + i) for i in range(len(_SIGNIFICANT)))
@@ -109,12 +120,29 @@ def _split_match(text: Column, pattern: str, n_groups: int) -> Column:
     return F.when(F.size(parts) == n_groups, F.transform(parts, lambda p: F.nullif(p, F.lit(""))))
 
 
+def _tokens(code: Column) -> Column:
+    """Tokens of a program; only the last one can be a backtick or comment without end."""
+
+    def restarted(tokens: Column) -> Column:
+        last = F.get(tokens, F.size(tokens) - 1)
+        rest = lambda pattern: F.regexp_extract_all(
+            F.regexp_extract(last, r"(?s)^[^\n]*+(.*)\z", 1), F.lit(pattern), F.lit(0)
+        )
+        on_line = F.concat(F.slice(tokens, 1, F.size(tokens) - 1), F.array(F.regexp_extract(last, r"^[^\n]*+", 0)))
+        return (
+            F.when(last.rlike(r"(?s)^/\*(?!.*\*/\z)"), F.concat(on_line, rest(_TOKEN_ON_LINE["/*"])))
+            .when(last.rlike(r"(?s)^`(?:[^`\\]++|\\.)*+\z"), F.concat(on_line, rest(_TOKEN_ON_LINE["`"])))
+            .otherwise(tokens)
+        )
+
+    return let(F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(0)), restarted)
+
+
 def mask_code(code: Column) -> Column:
     """Blank comments (line breaks stay) and disguise brackets inside quotes."""
-    tokens = F.regexp_extract_all(code, F.lit(_TOKEN), F.lit(0))
     return F.array_join(
         F.transform(
-            tokens,
+            _tokens(code),
             lambda t: F.when(t.startswith("/*") | t.startswith("//"), F.regexp_replace(t, r"[^\n]+", " "))
             .when(F.substring(t, 1, 1).isin('"', "'", "`"), F.translate(t, _SIGNIFICANT, _STAND_INS))
             .otherwise(t),
@@ -219,6 +247,29 @@ def close_bare_bodies(masked: Column) -> Column:
     return let(F.regexp_replace(heads, _BARE_ELSE, f"$1$2else{_VIRTUAL_OPEN}"), closed)
 
 
+def close_islands(masked: Column) -> Column:
+    """End open blocks where a program that lacks closing braces starts again.
+
+    It starts again at a line that begins with a named function. Programs whose braces
+    balance stay as they are, also with such functions inside others; closing braces
+    that are too many need no care, as levels are compared with each other only.
+    """
+    missing = lambda text: F.regexp_count(text, F.lit(r"\{")) - F.regexp_count(text, F.lit(r"\}"))
+
+    def ended(island: Column) -> Column:
+        code = F.regexp_replace(island, r"\s++$", "")
+        marks = F.repeat(F.lit(_VIRTUAL_CLOSE), F.greatest(missing(island), F.lit(0)))
+        return F.concat(code, marks, F.substring(island, F.length(code) + 1, F.length(island)))
+
+    def closed(code: Column) -> Column:
+        islands = F.split(code, rf"(?m)^(?=function\s++{_ID}\s*+\()", -1)
+        last = F.size(islands) - 1
+        ends = F.transform(islands, lambda island, n: F.when(n < last, ended(island)).otherwise(island))
+        return F.when(missing(code) > 0, F.array_join(ends, "")).otherwise(code)
+
+    return let(masked, closed)
+
+
 def _count_breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -229,7 +280,8 @@ def statements(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     Balanced round brackets keep a statement together over lines; brackets that
     never close are ordinary characters, so they spoil one statement only.
     """
-    code = close_bare_bodies(mask_brackets(mask_code(F.regexp_replace(F.col("code"), "\r\n?", "\n"))))
+    code = mask_brackets(mask_code(F.regexp_replace(F.col("code"), "\r\n?", "\n")))
+    code = close_islands(close_bare_bodies(code))
     code = F.regexp_replace(code, _AFTER_OPERATOR, f"$1{_LINE_END}")
     code = F.regexp_replace(code, _BEFORE_BRACE, _LINE_END)
     pieces = F.regexp_extract_all(code, F.lit(_PIECE), F.lit(0))

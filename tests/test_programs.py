@@ -305,3 +305,42 @@ def test_bodies_with_and_without_braces(spark):
         assert found[f"s{n}", "bare"] == found[f"s{n}", "braced"], pair
     lines = [r[3:6] for r in found["s2", "bare"] if r[3] == "if"]
     assert [(r[1], r[2]) for r in lines][0] == (2, 5)
+
+
+def _kept(spark, code):
+    programs = spark.createDataFrame([("d", "e", "l", "s", code)], "dataset string, experiment string, lesson string, student_id string, code string")
+    found = scan.facts(programs).orderBy("seq").collect()
+    return [(r["kind"], r["name"] or r["value"], r["start"], r["end"], r["in_draw"]) for r in found]
+
+
+def test_a_lost_brace_spoils_one_island(spark):
+    code = "function a() {\n  if (x) {\n    u();\n\nfunction draw() {\n  s.x = 1;\n}\nfunction b() {\n  v();\n}\n"
+    assert _kept(spark, code) == [
+        ("function", "a", 1, 3, False), ("if", "x", 2, 3, False), ("call", "u", 3, 3, False),
+        ("function", "draw", 5, 7, False), ("assign", "1", 6, 6, True),
+        ("function", "b", 8, 10, False), ("call", "v", 9, 9, False),
+    ]
+    # The last island ends with the program.
+    assert _kept(spark, "u();\nfunction draw() {\n  v();\n")[1:] == [("function", "draw", 2, 3, False), ("call", "v", 3, 3, True)]
+
+
+def test_balanced_programs_have_no_restart(spark):
+    nested = "function draw() {\nfunction b() {\nv();\n}\ns.x = 1;\n}"
+    assert _kept(spark, nested)[0] == ("function", "draw", 1, 6, False)
+    assert _kept(spark, nested)[-1] == ("assign", "1", 5, 5, True)
+    # A function in a string or comment is no restart; too many closing braces change nothing.
+    assert _kept(spark, "}\nfunction draw() {\n  v();\n}\nu();")[1:] == [("call", "v", 3, 3, True), ("call", "u", 5, 5, False)]
+
+
+@pytest.mark.parametrize("open_ended", ["/* no end", "`no end", "/* `no end", "` /* no end", "var t = `a${1} {"])
+def test_quotes_without_end_spoil_their_line(spark, open_ended):
+    code = f"u();\n{open_ended}\nfunction draw() {{\n  s.x = 1; // it's\n}}\nv(\"'\", 1);\n"
+    kept = [r for r in _kept(spark, code) if r[2] != 2]
+    assert kept[0] == ("call", "u", 1, 1, False)
+    assert kept[1:3] == [("function", "draw", 3, 5, False), ("assign", "1", 4, 4, True)]
+    whole = "u();\n/* a\n{ */\nvar t = `b\n{`;\nv();"
+    assert [r[:4] for r in _kept(spark, whole)] == [("call", "u", 1, 1), ("declare", "t", 4, 5), ("call", "v", 6, 6)]
+
+
+def test_empty_programs_have_no_facts(spark):
+    assert _kept(spark, "") == [] and _kept(spark, " \n") == []
