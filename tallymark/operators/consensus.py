@@ -2,13 +2,15 @@
 
 A vote is (run key, student_id, key_concept, choice_index, row_index, label,
 observations, evidence, reason). One concept of one student may hold a large
-share of all votes, so votes are aggregated per label and block of choices
-first; only those partial results meet on the concept.
+share of all votes, so votes become runs of equal labels within a block of choices
+first; only those runs meet on the concept, and the vote text is written from them
+where labels differ.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallymark.dims import STUDENT_KEY
@@ -25,36 +27,53 @@ def _earlier(order):
     return F.struct((-order["c"]).alias("c"), (-order["r"]).alias("r"))
 
 
-def vote_counts(votes: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
-    """Per label: number of votes, its first and last place, and the texts kept.
+def vote_runs(votes: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
+    """Votes of one block of choices that follow each other with one label, as one row.
 
-    Observations and evidence come from the first vote for the label, the
-    reason from the last one.
+    ``n`` votes, the place of the first, and the texts kept. Blocks hold disjoint,
+    ascending choices, so runs of different blocks never interleave.
     """
-    group = [*keys, "key_concept", "label"]
-    blocks = (
-        votes.withColumn("_ord", _order())
-        .withColumn("_block", F.floor(F.col("choice_index") / CHOICES_PER_BLOCK))
-        .groupBy(*group, "_block")
+    block = [*keys, "key_concept", "_block"]
+    votes = votes.withColumn("_ord", _order()).withColumn("_block", F.floor(F.col("choice_index") / CHOICES_PER_BLOCK))
+    in_order = W.partitionBy(*block).orderBy("_ord", "label")
+    before = F.lag(F.struct("label")).over(in_order)
+    return (
+        votes.withColumn("_new", (~before.eqNullSafe(F.struct("label"))).cast("int"))
+        .withColumn("_run", F.sum("_new").over(in_order))
+        .groupBy(*block, "_run", "label")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min(F.struct("_ord", "observations", "evidence")).alias("_first"),
             F.max(F.struct("_ord", "reason")).alias("_last"),
-            F.sort_array(F.collect_list("_ord")).alias("_ords"),
         )
     )
+
+
+def vote_counts(votes: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
+    """Per label: number of votes, its first and last place, and the texts kept.
+
+    Observations and evidence come from the first vote for the label, the
+    reason from the last one. ``_runs`` has the label's runs: place and length.
+    """
     return (
-        blocks.repartition(*keys, "key_concept")
-        .groupBy(*group)
+        vote_runs(votes, keys)
+        .repartition(*keys, "key_concept")
+        .groupBy(*keys, "key_concept", "label")
         .agg(
             F.sum("n").alias("n"),
             F.min("_first").alias("_first"),
             F.max("_last").alias("_last"),
-            F.flatten(F.collect_list("_ords")).alias("_ords"),
+            F.collect_list(F.struct(F.col("_first._ord").alias("o"), F.col("n"))).alias("_runs"),
         )
     )
 
 
+def _repeated(run):
+    """A run's label once per vote; NULL, which the text passes over, stays NULL."""
+    again = F.repeat(F.concat(F.lit(", "), run["l"]), (run["n"] - 1).cast("int"))
+    return F.concat(run["l"], again)
+
+
 def consensus(votes: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     """One row per student and concept.
 
@@ -70,7 +89,7 @@ def consensus(votes: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
         F.coalesce(first["evidence"], F.lit("")).alias("evidence"),
         F.col("_last")["reason"].alias("reason"),
     )
-    marks = F.transform("_ords", lambda o: F.struct(o.alias("o"), F.col("label").alias("l")))
+    marks = F.transform("_runs", lambda r: F.struct(r["o"].alias("o"), F.col("label").alias("l"), r["n"].alias("n")))
     groups = (
         counts.withColumn("_marks", marks)
         .groupBy(*keys, "key_concept")
@@ -82,7 +101,7 @@ def consensus(votes: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
             F.flatten(F.collect_list("_marks")).alias("_marks"),
         )
     )
-    shown = F.array_join(F.transform(F.array_sort("_marks"), lambda m: m["l"]), ", ")
+    shown = F.array_join(F.transform(F.array_sort("_marks"), _repeated), ", ")
     prefix = F.when(
         F.col("n_labels") > 1, F.concat(F.lit("<b>Votes: ["), shown, F.lit("]</b><br>"))
     ).otherwise("")
