@@ -277,15 +277,12 @@ def _(i):
     LEFT JOIN expected e USING ({GROUP})""",
 )
 def _(i):
-    """Every run's sheet with all its concepts, back in long form."""
-    sheets = evaluate.new_labels(materialize(labelled(i), "labelled"), i.rubric_levels())
-    result = None
-    for sheet in sheets.values():
-        concepts = [c for c in sheet.columns if c not in (*RUN_KEY, "student")]
-        long = sheet.unpivot([*RUN_KEY, "student"], [f"`{c}`" for c in concepts], "key_concept", "label")
-        long = long.select(*RUN_KEY, F.col("student").alias("student_id"), "key_concept", F.coalesce("label", F.lit("none")).alias("label"))
-        result = long if result is None else result.unionByName(long)
-    return result
+    """Every run's sheet with all its concepts, back in long form; one scan for all runs."""
+    sheets = evaluate.new_labels(labelled(i), i.rubric_levels()).where("student IS NOT NULL")
+    cells = F.explode(F.arrays_zip(F.col("concepts").alias("key_concept"), F.col("labels").alias("label"))).alias("cell")
+    return sheets.select(*RUN_KEY, F.col("student").alias("student_id"), cells).select(
+        *STUDENT_KEY, "cell.key_concept", F.coalesce("cell.label", F.lit("none")).alias("label")
+    )
 
 
 @query("b31_requests_table", f"SELECT {STUDENT}, 'openai' AS provider, 'gpt-4-0613' AS provider_model, CAST(2 AS BIGINT) AS n_messages FROM live_student")

@@ -10,7 +10,7 @@ from tallymark.functions.prompts import option_or_param
 from tallymark.operators import metrics, report, validate
 from tallymark.operators.responses import result_rows
 from tallymark.session import materialize
-from tallymark.sources.writers import label_sheet
+from tallymark.sources.writers import label_sheets
 
 
 def predicted_labels(assessed: DataFrame) -> DataFrame:
@@ -92,17 +92,10 @@ def evaluate_runs(
     return tables | (checks or {})
 
 
-def new_labels(assessed: DataFrame, rubric_levels: DataFrame) -> dict[tuple[str, ...], DataFrame]:
-    """The new-labels sheet of every run, with the concepts of its own rubric.
+def new_labels(assessed: DataFrame, rubric_levels: DataFrame) -> DataFrame:
+    """The new-labels sheets of all runs, with the concepts of their own rubrics.
 
-    No comparison is made. The rubric's concepts (a few per run) name the columns.
+    No comparison is made. One scan of the results serves all runs
+    (``write_label_sheets`` gives every run its file).
     """
-    concepts: dict[tuple[str, ...], list[str]] = {}
-    for row in rubric_levels.select(*RUN_KEY, "key_concept").distinct().collect():
-        concepts.setdefault(tuple(row[:-1]), []).append(row["key_concept"])
-    predicted = predicted_labels(assessed)
-    sheets = {}
-    for run, names in sorted(concepts.items()):
-        own = predicted.where(F.struct(*RUN_KEY) == F.struct(*map(F.lit, run)))
-        sheets[run] = label_sheet(own, names)
-    return sheets
+    return label_sheets(predicted_labels(assessed), rubric_levels)

@@ -20,6 +20,9 @@ RESPONSE_SCHEMA = (
     "dataset string, experiment string, lesson string, student_id string, http_status int, body string"
 )
 
+# Most paths that go into a filter (a few hundred bytes each); more are joined.
+PATHS_IN_PLAN = 10_000
+
 
 def _path():
     return F.col("path")
@@ -44,9 +47,44 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """``…/<dataset>/<lesson>/<student>.js`` -> dataset, lesson, student_id, code."""
-    return submissions_of(read_whole(spark, path))
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the files, from their metadata alone: no file is opened."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"))
+
+
+def read_chosen(spark: SparkSession, path: str, chosen: DataFrame) -> DataFrame:
+    """``read_whole`` of the files whose paths are in ``chosen``.
+
+    Up to ``PATHS_IN_PLAN`` paths become a filter on file metadata, by which Spark skips the
+    other files unopened. Beyond it the paths are joined; files are then read where they are
+    and only paths decide, so no text moves as long as the paths can be broadcast.
+    """
+    paths = [row[0] for row in chosen.select("path").limit(PATHS_IN_PLAN + 1).collect()]
+    if len(paths) > PATHS_IN_PLAN:
+        return read_whole(spark, path).join(chosen.select("path"), "path", "left_semi")
+    text = spark.read.text(path, wholetext=True)
+    return text.where(F.col("_metadata.file_path").isin(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def read_submissions(
+    spark: SparkSession, path: str, limit: int | None = None, student_ids: list[str] | None = None, lessons: list[str] | None = None
+) -> DataFrame:
+    """``…/<dataset>/<lesson>/<student>.js`` -> dataset, lesson, student_id, code.
+
+    With a limit, students or lessons (see ``choose_submissions`` and ``choose_lessons``) the
+    choice is made among paths, before any program is read.
+    """
+    if limit is None and not student_ids and lessons is None:
+        return submissions_of(read_whole(spark, path))
+    named = _named(list_files(spark, path))
+    named = named if lessons is None else choose_lessons(named, lessons)
+    return submissions_of(read_chosen(spark, path, choose_submissions(named, limit, student_ids)))
+
+
+def _named(files: DataFrame) -> DataFrame:
+    return files.select(
+        _parent(2).alias("dataset"), _parent(1).alias("lesson"), _stem("js").alias("student_id"), _path().alias("path"),
+    )
 
 
 def submissions_of(files: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallymark.dims import RUN_KEY
@@ -118,3 +119,50 @@ def test_run_options(spark):
     assert [r[0] for r in text.select(option_or_param(F.col("o"), F.col("p"))).collect()] == ["p", "p", "p", "gpt"]
     number = spark.createDataFrame([(0.0, 1.5), (None, 1.5), (0.2, 1.5)], "o double, p double")
     assert [r[0] for r in number.select(option_or_param(F.col("o"), F.col("p"))).collect()] == [1.5, 1.5, 0.2]
+
+
+def test_sheets_of_all_runs_in_one_job(spark, tmp_path):
+    run = ("d", "e", "l1")
+    rows = [(*run, f"student_{n}", c, f"{c}{n}", 0) for n in range(30) for c in ("A", 'B, "b"')]
+    rows += [(*run, "student_3", "A", "later", 1), (*run, "student_3", "Z", "no column", 0), ("d", "e", "l2", "student_1", "C", "c", 0)]
+    predicted = spark.createDataFrame(rows, "dataset string, experiment string, lesson string, student_id string, key_concept string, label string, pos int")
+    concepts = [(*run, "A"), (*run, 'B, "b"'), ("d", "e", "l2", "C"), ("d", "e", "l2", "D"), ("d", "e", "l3", "E")]
+    rubric = spark.createDataFrame(concepts, "dataset string, experiment string, lesson string, key_concept string")
+    sheets = writers.label_sheets(predicted, rubric)
+    assert sheets._jdf.queryExecution().analyzed().collectLeaves().size() == 2  # whatever the number of runs
+    writers.write_label_sheets(sheets, f"{tmp_path}/sheets", rows_per_file=10)
+
+    def files(lesson):
+        folder = tmp_path / "sheets" / "dataset=d" / "experiment=e" / f"lesson={lesson}"
+        return [f.read_text().splitlines() for part in sorted(folder.iterdir()) for f in part.glob("part-*.txt")]
+
+    long = files("l1")
+    assert len(long) == 3 and {f[0] for f in long} == {'student,A,"B, ""b"""'}
+    numbers = [[int(line.split(",")[0].split("_")[1]) for line in f[1:]] for f in long]
+    assert all(n == sorted(n) for n in numbers) and sorted(sum(numbers, [])) == list(range(30))
+    assert 'student_3,A3,"B, ""b""3"' in sum(long, [])
+    assert files("l2") == [["student,C,D", "student_1,c,"]] and files("l3") == [["student,E"]]
+    back = readers.read_whole(spark, f"{tmp_path}/sheets/dataset=d/experiment=e/lesson=l1/*")
+    assert back.count() == 3
+
+
+@pytest.mark.parametrize("in_plan", [10_000, 3])
+def test_submissions_are_chosen_before_they_are_read(spark, tmp_path, monkeypatch, in_plan):
+    monkeypatch.setattr(readers, "PATHS_IN_PLAN", in_plan)
+    for lesson in ("L1", "L 2"):
+        (tmp_path / "set [a]" / lesson).mkdir(parents=True)
+        for n in range(12):
+            (tmp_path / "set [a]" / lesson / f"student_{n}+.js").write_text(f"x({n});\n")
+    where = f"{tmp_path}/set \\[a\\]/*/*.js"
+    listed = readers.list_files(spark, where)
+    assert "content" not in listed._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    got = readers.read_submissions(spark, where, limit=2)
+    rows = sorted((r.dataset, r.lesson, r.student_id, r.code) for r in got.collect())
+    assert rows == [("set [a]", l, f"student_{n}+", f"x({n});\n") for l in ("L 2", "L1") for n in (0, 1)]
+    if in_plan > 4:  # 24 files are listed, 4 are opened
+        scans = got._jdf.queryExecution().executedPlan().collectLeaves()
+        assert scans.apply(0).metrics().get("numFiles").get().value() == 4
+    only = readers.read_submissions(spark, where, student_ids=["student_7+"], lessons=["L1"])
+    assert [r.code for r in only.collect()] == ["x(7);\n"]
+    assert readers.read_submissions(spark, where, lessons=["L1"]).count() == 12
+    assert readers.read_submissions(spark, where).count() == 24
