@@ -142,3 +142,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ordinal_rows(rows: DataFrame, times: Column, name: str) -> DataFrame:
     """Each row ``times`` times, numbered from 1 in ``name``."""
     return rows.withColumn(name, F.explode(F.sequence(F.lit(1), times.cast("int"))))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``__name``, or longer, so that no column has it (Spark ignores the case)."""
+    taken, name = {c.lower() for c in columns}, "__" + name
+    while name in taken:
+        name += "_"
+    return name

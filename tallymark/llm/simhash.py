@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallymark.llm.common import arrow_map, text_chunks, widened
+from tallymark.llm.common import arrow_map, free_name, text_chunks, widened
 from tallymark.llm.components import components
 from tallymark.session import materialize
 
@@ -220,33 +220,34 @@ def drop_near(docs: DataFrame) -> DataFrame:
     the map recomputes, so only rows of components with several members are listed
     as losers; a component of null ids alone keeps one row.
     """
+    own, id_, fp, stay, times, row = (free_name(docs.columns, n) for n in ("own_fp", "id", "fp", "stays", "times", "row"))
     found = materialize(classes_with_root(docs), "simhash-classes")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("fp").alias("fp"))
     groups = found.groupBy("root").agg(F.min(first).alias("best"), F.count(F.lit(1)).alias("rows"))
     many = materialize(groups.where("rows > 1").select("root", "best"), "simhash-groups")
-    members = found.join(many, "root").select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), "best")
-    stays = F.col("__id").eqNullSafe(F.col("best.id")) & (F.col("__fp") == F.col("best.fp"))
-    counted = members.groupBy("__id", "__fp", stays.alias("__stays")).agg(F.count(F.lit(1)).alias("__times"))
-    counted = materialize(counted.where(~F.col("__stays") | (F.col("__times") > 1)), "simhash-losers")
-    marked = with_fingerprint(docs)
-    same = F.col("__own_fp").eqNullSafe(F.col("__fp")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    losers, repeated = counted.where(~F.col("__stays")), counted.where("__stays")
+    members = found.join(many, "root").select(F.col("doc_id").alias(id_), F.col("fp").alias(fp), "best")
+    stays = F.col(id_).eqNullSafe(F.col("best.id")) & (F.col(fp) == F.col("best.fp"))
+    counted = members.groupBy(id_, fp, stays.alias(stay)).agg(F.count(F.lit(1)).alias(times))
+    counted = materialize(counted.where(~F.col(stay) | (F.col(times) > 1)), "simhash-losers")
+    marked = with_fingerprint(docs, own)
+    same = F.col(own).eqNullSafe(F.col(fp)) & F.col("doc_id").eqNullSafe(F.col(id_))
+    losers, repeated = counted.where(~F.col(stay)), counted.where(F.col(stay))
     kept = marked.join(losers, same, "left_anti")
     if not repeated.isEmpty():
         plain = kept.join(repeated, same, "left_anti")
         one = kept.join(repeated, same, "left_semi").withColumn(
-            "__row", F.row_number().over(Window.partitionBy("doc_id", "__own_fp").orderBy("text"))
+            row, F.row_number().over(Window.partitionBy("doc_id", own).orderBy("text"))
         )
-        kept = plain.unionByName(one.where("__row = 1").drop("__row"))
+        kept = plain.unionByName(one.where(F.col(row) == 1).drop(row))
     return kept.select(*docs.columns)
 
 
-def _append_batches(batches, text: int, words: int) -> Iterator[pa.RecordBatch]:
+def _append_batches(batches, text: int, words: int, name: str) -> Iterator[pa.RecordBatch]:
     for batch, texts in text_chunks(batches, text, 500_000):
         made = pa.array(fingerprints(texts, words).view(np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "__own_fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 
 
-def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """``docs`` and their fingerprint in ``__own_fp``."""
-    return arrow_map(docs, __name__, "_append_batches", widened(docs, "__own_fp bigint"), docs.columns.index("text"), WORDS)
+def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and their fingerprint in the new column ``name``."""
+    return arrow_map(docs, __name__, "_append_batches", widened(docs, f"{name} bigint"), docs.columns.index("text"), WORDS, name)

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from fixtures import ENGLISH, FRENCH, GERMAN, PASSAGE, TEXTS, documents, nobody, sorted_rows
 from tokenizers import Tokenizer
 
@@ -524,6 +525,33 @@ def test_texts_of_one_hash_are_told_apart():
     assert sorted((r["doc_id"], r[exact.MARK + "n"], r[exact.MARK + "chain"]) for r in made) == [(2, 2, 1), (3, 4, 0), (4, 1, 2)]
 
 
+def test_repeats_of_a_range_are_not_held():
+    names = ["doc_id", "text", *(exact.MARK + n for n in exact.DEALT)]
+    held = exact.KeyRange(1, 0, 4, exact.MARK)
+    for at in range(300):  # a later batch always has a larger id of the hot text
+        rows = [[at, 1000 + at], ["hot" * 1000, f"t{at}"], [7, at], [3, 1], [1, 1], [0, 0]]
+        held.add(pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=names))
+    assert sum(b.nbytes for b in held.held) < 1_000_000 and held.live == 301
+    made = {r["doc_id"]: r[exact.MARK + "n"] for b in held.rows() for r in b.to_pylist()}
+    assert made == {299: 900, **{1000 + at: 1 for at in range(300)}}
+
+
+def test_stages_take_columns_of_any_name(spark):
+    clashing = ["__x_note", "__x__n", "__own_fp", "__id", "__fp", "__stays", "__times", "__row"]
+    docs, _ = documents(spark)
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in clashing])
+    for stage in (exact.drop_copies, simhash.drop_near):
+        kept = stage(wide)
+        assert kept.columns == wide.columns and kept.count() == stage(docs).count()
+        assert kept.select(*clashing).distinct().collect() == [tuple(clashing)]
+
+
+def test_components_of_a_hub(spark):
+    edges = spark.range(1, 20001).selectExpr("id AS a", "0L AS b").union(spark.createDataFrame([(7, 30000), (40000, 40001)], "a long, b long"))
+    found = {r["node"]: r["root"] for r in components(edges).collect()}
+    assert len(found) == 20004 and {n for n, r in found.items() if r != 0} == {40000, 40001}
+
+
 # ---- 9: token counts ------------------------------------------------------------------------
 
 
