@@ -211,7 +211,9 @@ def record_kinds(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     groups = pages.where(large).groupBy(content.alias("content")).agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("n"))
     # Stored first, so that its size is known: pages move only if it is too large to broadcast.
     repeated = materialize(groups.where("n > 1 AND response IS NOT NULL").select("content", "response"), "warc-repeated")
-    found = pages.withColumn("content", F.when(large, content)).join(repeated, "content", "left")
+    # Small pages have no partner; keys of their own keep them from meeting in one task.
+    alone = F.concat_ws("-", F.lit("small"), F.xxhash64("page_id", "url").cast("string"), F.spark_partition_id().cast("string"))
+    found = pages.withColumn("content", F.when(large, content).otherwise(alone)).join(repeated, "content", "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
     return found.select("page_id", "url", "html", refers.alias("refers_to"))
 
