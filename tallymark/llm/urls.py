@@ -92,6 +92,9 @@ def candidates(host: str, path: str, shapes: dict[int, list[int]]) -> list[str]:
             found += [suffix + path[:size] for size in lengths if size <= len(path)]
     return found
 
+# Rows of one set of candidates meet their verdict under so many keys.
+SALTS = 32
+
 
 def _probe_batches(batches, blocks: np.ndarray, shapes: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -129,7 +132,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     order = F.struct(F.length("key"), F.length(F.substring_index("key", "/", 1)), "key")
     best = sets.select("keys", F.explode("keys").alias("key")).join(listed.select("key", "verdict"), "key")
     best = best.groupBy("keys").agg(F.max_by("key", order).alias("rule"), F.max_by("verdict", order).alias("verdict"))
-    found = probed.join(materialize(best, "url-verdicts"), "keys", "left")
+    # Many rows share a set, most of all the empty one: a salt spreads them.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    best = materialize(best, "url-verdicts").select("*", salts)
+    salt = F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int")
+    found = probed.withColumn("salt", salt).join(best, ["keys", "salt"], "left")
     return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
