@@ -34,7 +34,7 @@ _PROSE_LINES = r"""regexp_replace(regexp_replace(replace(replace(text, chr(13) |
 @query(
     "i12_unreadable_text",
     f"""SELECT 'unparsed' AS kind, count(*) AS n FROM (SELECT unnest(regexp_split_to_array({_PROSE_LINES}, '[;{{}}\n]')) AS line FROM documents)
-    WHERE regexp_matches(line, '[^\s]') HAVING count(*) > 0""",
+    WHERE regexp_matches(line, '[^\\s]') HAVING count(*) > 0""",
 )
 def _(i):
     """Prose is no program: its lines become unparsed rows, nothing fails."""
