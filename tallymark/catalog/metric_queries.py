@@ -8,7 +8,8 @@ from tallymark.catalog.inputs import CTES, GROUP, RUN, STUDENT, Inputs
 from tallymark.catalog.registry import query
 from tallymark.catalog.text_queries import DUCK_COLOR
 from tallymark.dims import RUN_KEY, STUDENT_KEY, label_dim
-from tallymark.operators import consensus, metrics, report
+from tallymark.operators import consensus, metrics, report, rules, validate
+from tallymark.plans import label
 from tallymark.sources import readers, writers
 
 
@@ -96,7 +97,8 @@ def _(i):
 
 @query("e12_concepts", f"SELECT DISTINCT {RUN}, key_concept FROM votes")
 def _(i):
-    return i.votes().select(*RUN_KEY, "key_concept").distinct()
+    concepts = label.rubric_concepts(i.votes().withColumn("ord", F.lit(0)))
+    return concepts.select(*RUN_KEY, F.explode("concepts").alias("key_concept"))
 
 
 @query("f1_concept_order", f"SELECT {STUDENT}, string_agg(key_concept, '|' ORDER BY first_choice) AS concepts FROM winner GROUP BY {STUDENT}")
@@ -105,15 +107,17 @@ def _(i):
     return ordered.select(*STUDENT_KEY, F.array_join("concepts", "|").alias("concepts"))
 
 
+def _sheets(i: Inputs):
+    return writers.label_sheets(i.voted(), i.votes().select(*RUN_KEY, "key_concept"))
+
+
 @query(
     "f5_student_order",
     f"SELECT DISTINCT {STUDENT}, CAST(split_part(student_id, '_', 2) AS BIGINT) AS number FROM votes",
 )
 def _(i):
-    # A global sort is ranges over tasks; no run is gathered in one of them.
-    number = F.split_part("student_id", F.lit("_"), F.lit(2)).cast("bigint")
-    students = i.votes().select(*STUDENT_KEY).distinct()
-    return students.withColumn("number", number).orderBy(*RUN_KEY, "number")
+    sheets = _sheets(i).where("student IS NOT NULL")
+    return sheets.select(*RUN_KEY, F.col("student").alias("student_id"), "number")
 
 
 @query(
@@ -128,8 +132,7 @@ def _(i):
 
 @query("f7_concept_header", f"SELECT {RUN}, string_agg(key_concept, ',' ORDER BY key_concept) AS header FROM (SELECT DISTINCT {RUN}, key_concept FROM votes) GROUP BY {RUN}")
 def _(i):
-    names = i.votes().select(*RUN_KEY, "key_concept").distinct().groupBy(*RUN_KEY)
-    return names.agg(F.array_join(F.array_sort(F.collect_list("key_concept")), ",").alias("header"))
+    return _sheets(i).select(*RUN_KEY, F.array_join("concepts", ",").alias("header")).distinct()
 
 
 # ---- joins and sets ---------------------------------------------------------
@@ -155,15 +158,16 @@ def _(i):
     UNION ALL SELECT {STUDENT}, 'new' FROM (SELECT DISTINCT {STUDENT} FROM votes) ANTI JOIN some_actual USING ({STUDENT})""",
 )
 def _(i):
-    cached = i.votes().where("value > 250").select(*STUDENT_KEY).distinct()
-    fresh = i.votes().select(*STUDENT_KEY).distinct().join(cached, STUDENT_KEY, "left_anti")
+    asked = i.votes().select(*STUDENT_KEY).distinct()
+    cached = label.asked_results(i.votes().where("value > 250").select(*STUDENT_KEY).distinct(), asked)
+    fresh = label.without_results(asked, cached)
     return cached.withColumn("source", F.lit("cached")).unionByName(fresh.withColumn("source", F.lit("new")))
 
 
 @query("d4_unknown_students", f"SELECT DISTINCT {STUDENT} FROM votes ANTI JOIN some_actual USING ({STUDENT})")
 def _(i):
     known = i.votes().where("value > 250").select(*STUDENT_KEY)
-    return i.votes().select(*STUDENT_KEY).distinct().join(known, STUDENT_KEY, "left_anti")
+    return validate.students_without_labels(i.votes(), known)
 
 
 @query("d5_reason_lookup", f"SELECT {GROUP}, CASE WHEN label = 'invalid label' THEN '' ELSE key_concept || ' / ' || label END AS reason FROM voted")
@@ -176,14 +180,14 @@ def _(i):
         .join(F.broadcast(labels), "label")
         .withColumn("descriptor", F.concat("key_concept", F.lit(" / "), "label"))
     )
-    found = i.voted().join(levels, [*RUN_KEY, "key_concept", "label"], "left")
-    return found.select(*STUDENT_KEY, "key_concept", F.coalesce("descriptor", F.lit("")).alias("reason"))
+    found = rules.with_reasons(i.voted().drop("reason"), levels)
+    return found.select(*STUDENT_KEY, "key_concept", "reason")
 
 
 @query("g3_predicted_minus_actual", f"SELECT DISTINCT {STUDENT} FROM votes EXCEPT SELECT {STUDENT} FROM some_actual")
 def _(i):
     known = i.votes().where("value > 250").select(*STUDENT_KEY)
-    return i.votes().select(*STUDENT_KEY).subtract(known)
+    return validate.students_without_labels(i.voted(), known)
 
 
 @query("g4_failing_labels", "SELECT DISTINCT label, label IN ('Limited Evidence', 'No Evidence') AS failing FROM votes")

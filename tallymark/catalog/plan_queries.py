@@ -137,7 +137,20 @@ def _(i):
     return _evaluated(i)["headers"]
 
 
-@query("a11_report_tables")
+# Rows of a report: C concepts and R runs have matched labels, N label pairs.
+CTES["report_size"] = f"""SELECT count(*) AS n, count(DISTINCT ({RUN}, key_concept)) AS c, count(DISTINCT ({RUN})) AS r
+  FROM expected e JOIN human h USING ({GROUP})"""
+
+
+@query(
+    "a11_report_tables",
+    f"""SELECT t.name, t.n_rows FROM report_size, LATERAL (VALUES ('accuracy_counts', 2 * c + 2 * r), ('accuracy', 2 * c),
+    ('confusion', 20 * c), ('overall_confusion', 20 * r), ('students', 2 * n), ('confidence_pass_fail', c), ('confidence_exact', 4 * c))
+    AS t(name, n_rows)
+    UNION ALL SELECT 'headers', 2 * count(DISTINCT ({RUN})) FROM outcomes
+    UNION ALL SELECT 'errors', count(*) FROM outcomes ANTI JOIN blank_student USING ({STUDENT}) WHERE outcome <> 'ok'
+    UNION ALL SELECT 'unmatched', count(*) FROM expected ANTI JOIN human USING ({GROUP})""",
+)
 def _(i):
     """Write all report tables, then count the rows of each."""
     path = shared_folder(i.spark, "report")

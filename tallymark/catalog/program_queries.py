@@ -9,6 +9,7 @@ from tallymark.catalog.registry import query
 from tallymark.dims import FUNCTION_ARGS, RUN_KEY, STUDENT_KEY
 from tallymark.operators import facts as scan
 from tallymark.operators import features, rules
+from tallymark.session import materialize
 
 
 def _big(*names: str):
@@ -341,7 +342,10 @@ CTES["evidence_list"] = f"""SELECT {STUDENT}, key_concept, string_agg(text, ' '
 
 @query("f4_evidence_lists", f"SELECT {STUDENT}, key_concept, evidence FROM evidence_list")
 def _(i):
-    lists = rules.evidence_lists(rules.rule_evidence(_items(i), i.requested()))
+    facts = materialize(i.facts(), "facts")
+    stats, requested = features.name_stats(facts), i.requested()
+    items = rules.evidence_items(facts, stats, features.program_features(stats), requested=requested)
+    lists = rules.evidence_lists(rules.rule_evidence(items, requested))
     return lists.select(*STUDENT_KEY, "key_concept", F.array_join("evidence", " ").alias("evidence"))
 
 

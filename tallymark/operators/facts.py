@@ -334,11 +334,13 @@ def blocks(stmts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
         .withColumn("block_close", F.when(opens, F.coalesce(F.col("close.pos"), F.lit(_OPEN_ENDED))))
         .withColumn("chain", heads)
     )
-    chain = W.partitionBy(*keys, "brace", "level", "chain")
+    # Ordered, although two of its frames are the whole chain, so that one sort serves all.
+    chain = W.partitionBy(*keys, "brace", "level", "chain").orderBy("pos")
+    whole = chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     closed = (
-        chained.withColumn("chain_end", F.max("block_end").over(chain))
-        .withColumn("chain_close", F.max("block_close").over(chain))
-        .withColumn("after_else_if", F.max((F.col("block") == "else_if").cast("int")).over(chain.orderBy("pos")) == 1)
+        chained.withColumn("chain_end", F.max("block_end").over(whole))
+        .withColumn("chain_close", F.max("block_close").over(whole))
+        .withColumn("after_else_if", F.max((F.col("block") == "else_if").cast("int")).over(chain) == 1)
         .withColumn("name", F.when(F.col("block") == "function", F.regexp_extract("text", rf"^function\s++({_ID})", 1)))
         .withColumn(
             "stmt_end",

@@ -389,22 +389,24 @@ def evidence_lists(evidence: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFr
     )
 
 
+def with_reasons(labels: DataFrame, rubric_levels: DataFrame) -> DataFrame:
+    """Labels with the rubric's text for them as ``reason``, '' where it has none."""
+    key = [*RUN_KEY, "key_concept", "label"]
+    texts = rubric_levels.select(*key, F.col("descriptor").alias("reason"))
+    return labels.join(texts, key, "left").withColumn("reason", F.coalesce("reason", F.lit("")))
+
+
 def rule_rows(programs: DataFrame, facts: DataFrame, requested: DataFrame, rubric_levels: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     """Result rows of the rules: label, reason from the rubric, evidence list."""
     stats = name_stats(facts, keys)
     features = program_features(stats, keys)
     labels = label_programs(programs, features, requested, keys)
     lists = evidence_lists(rule_evidence(evidence_items(facts, stats, features, keys, requested), requested, keys), keys)
-    reason = rubric_levels.select(*RUN_KEY, "key_concept", "label", F.col("descriptor").alias("reason"))
-    return (
-        labels.join(lists, [*keys, "key_concept"], "left")
-        .join(reason, [*RUN_KEY, "key_concept", "label"], "left")
-        .select(
-            *keys,
-            "key_concept",
-            F.lit("").alias("observations"),
-            F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"),
-            "label",
-            F.coalesce("reason", F.lit("")).alias("reason"),
-        )
+    return with_reasons(labels.join(lists, [*keys, "key_concept"], "left"), rubric_levels).select(
+        *keys,
+        "key_concept",
+        F.lit("").alias("observations"),
+        F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"),
+        "label",
+        "reason",
     )

@@ -115,6 +115,16 @@ def requested_rules(params: DataFrame, rubric_levels: DataFrame) -> DataFrame:
     return listed.join(rubric_levels, [*RUN_KEY, "key_concept"], "left_semi")
 
 
+def asked_results(cache: DataFrame, submissions: DataFrame) -> DataFrame:
+    """The cached results of the students that were asked for."""
+    return cache.join(submissions.select(*STUDENT_KEY), STUDENT_KEY, "left_semi")
+
+
+def without_results(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """Rows of students that have no cached result."""
+    return rows.join(cache.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
+
+
 def label_submissions(
     submissions: DataFrame,
     rubric_levels: DataFrame,
@@ -139,9 +149,9 @@ def label_submissions(
     prepared = prepare(submissions, settings)
     if cache is not None:
         # Only results of students that were asked for; what is cached is not parsed again.
-        cache = cache.join(submissions.select(*STUDENT_KEY), STUDENT_KEY, "left_semi")
-        prepared = prepared.join(cache.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
-        responses = responses.join(cache.select(*STUDENT_KEY), STUDENT_KEY, "left_anti")
+        cache = asked_results(cache, submissions)
+        prepared = without_results(prepared, cache)
+        responses = without_results(responses, cache)
     state = keep(prepared.drop("code"))
     live = state.where(~F.col("blank"))
 
