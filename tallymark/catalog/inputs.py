@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymark.dims import LESSONS, RUN_KEY, STUDENT_KEY, VALID_LABELS
@@ -301,7 +301,6 @@ _DRAW = {
     "kind": "'function'", "name": "'draw'",
     **{n: "CAST(NULL AS BOOLEAN)" for n in _FACT_FLAGS},
 }
-_PROGRAM_LINE = _statement_case(lambda code, main, nested: code)
 
 CTES["raw_facts"] = (
     f"{_select(_MAIN, 'base')} UNION ALL SELECT * FROM ({_select(_NESTED, 'base')}) WHERE kind IS NOT NULL "
@@ -372,6 +371,54 @@ CTES["asked"] = f"SELECT * FROM (VALUES {_RULE_ROWS}) AS t(key_concept, tree_les
 
 # ---- Spark side -------------------------------------------------------------
 
+# Stands for the value of ``a`` in constant tables of the statements.
+_A = "\x01"
+
+
+def _constant(sql: str) -> Column:
+    return F.expr(sql.replace("|| a", "|| chr(1)"))
+
+
+def _with_a(text: Column) -> Column:
+    # Statements have an a; the draw function has none to put in.
+    return F.replace(text, F.lit(_A), F.coalesce(F.col("a").cast("string"), F.lit("")))
+
+
+_DRAW_PARTS = {"kind": _DRAW["kind"], "name": _DRAW["name"]}
+_PLACES = {"seq": "bigint", "done": "bigint", "start": "int", "end_line": "int"}
+_IN_LINE = ["seq_in_line", "done_in_line"]
+_FACT_ROWS = "array<struct<%s>>" % ", ".join(
+    [f"{n}: {t}" for n, t in _PLACES.items()] + [f"{n}: int" for n in _IN_LINE]
+    + [f"{n}: string" for n in _FACT_TEXT] + [f"{n}: boolean" for n in _FACT_FLAGS]
+)
+
+
+def _fact_row(parts: dict[str, str], places: dict[str, str], seq: str = "NULL", done: str = "NULL") -> Column:
+    """A fact with fixed places, or with places counted from its line."""
+    return F.struct(
+        *[F.expr(f"CAST({places.get(n, 'NULL')} AS {t})").alias(n) for n, t in _PLACES.items()],
+        *[F.expr(f"CAST({e} AS INT)").alias(n) for n, e in zip(_IN_LINE, (seq, done))],
+        *[_constant(parts.get(n, "NULL")).cast("string").alias(n) for n in _FACT_TEXT],
+        *[_constant(parts.get(n, "NULL")).cast("boolean").alias(n) for n in _FACT_FLAGS],
+    )
+
+
+def _statement_facts(code: str, main: dict[str, str], nested: dict[str, str] | None) -> Column:
+    rows = [_fact_row(main, {}, "0", "9")] + ([_fact_row(nested, {}, "5", "5")] if nested else [])
+    return F.array(*rows).cast(_FACT_ROWS)
+
+
+_REGIONS = ["pre", "draw", "post"]
+_CASES = 8
+
+
+def _of_statement(pick) -> Column:
+    """What ``pick`` (code, fact, nested fact) makes of a row's statement, looked up by region and case."""
+    by_place = {(r, s): (code, main, nested) for r, cases, code, main, nested in reversed(_STATEMENTS) for s in cases}
+    table = F.array(*[pick(*by_place[r, s]) for r in _REGIONS for s in range(_CASES)])
+    region = F.when(F.col("pos") < 8, 0).when(F.col("pos") < 20, 1).otherwise(2)
+    return F.when(F.col("s").between(0, _CASES - 1), F.get(table, (region * _CASES + F.col("s")).cast("int")))
+
 
 class Inputs:
     """The views as DataFrames over one data directory."""
@@ -475,7 +522,8 @@ class Inputs:
 
     def programs(self) -> DataFrame:
         """Program texts of 26 lines."""
-        lines = self.base().selectExpr(*[f"{e} AS {n}" for n, e in IDS.items()], "sid", "pos", f"{_PROGRAM_LINE} AS line")
+        line = _with_a(_of_statement(lambda code, main, nested: _constant(code))).alias("line")
+        lines = self.base().select(*[F.expr(e).alias(n) for n, e in IDS.items()], "sid", "pos", line)
         whole = lines.groupBy(*STUDENT_KEY, "sid").agg(
             F.map_from_entries(F.collect_list(F.struct("pos", "line"))).alias("lines")
         )
@@ -501,16 +549,25 @@ class Inputs:
         return self.programs().select(*STUDENT_KEY, code.alias("code"))
 
     def raw_facts(self) -> DataFrame:
-        """Statements as a facts table of its own, without a scan."""
-
-        def row(columns: dict[str, str]):
-            return F.struct(*[F.expr(e).alias(n) for n, e in columns.items()])
-
-        draw = F.when(F.col("pos") == 8, row(_DRAW))
-        rows = F.array(row(_MAIN), row(_NESTED), draw)
-        found = F.filter(rows, lambda r: r.isNotNull() & r["kind"].isNotNull())
-        return self.base().select(F.explode(found).alias("r")).select("r.*").withColumnRenamed("end_line", "end").withColumn(
-            "seen_draw", F.lit(False)
+        """Statements as a facts table of its own, without a scan.
+
+        A row looks its statement's facts up in a constant table: an expression with a
+        branch per statement and column is too long a method for the JVM to compile.
+        """
+        draw = F.when(F.col("pos") == 8, F.array(_fact_row(_DRAW_PARTS, _DRAW)))
+        found = F.concat(F.coalesce(_of_statement(_statement_facts), F.array().cast(_FACT_ROWS)), F.coalesce(draw, F.array().cast(_FACT_ROWS)))
+        rows = self.base().withColumn("line", F.expr(_LINE)).withColumn("f", F.explode(found))
+        known = lambda name: F.col(f"f.{name}")
+        at_line = lambda name: (F.col("line") * 10 + known(name)).cast("bigint")
+        return rows.select(
+            *[F.expr(e).alias(n) for n, e in IDS.items()],
+            F.coalesce(known("seq"), at_line("seq_in_line")).alias("seq"),
+            F.coalesce(known("done"), at_line("done_in_line")).alias("done"),
+            F.coalesce(known("start"), F.col("line")).alias("start"),
+            F.coalesce(known("end_line"), F.col("line")).alias("end"),
+            *[_with_a(known(name)).alias(name) for name in _FACT_TEXT],
+            *[known(name).alias(name) for name in _FACT_FLAGS],
+            F.lit(False).alias("seen_draw"),
         )
 
     def facts(self) -> DataFrame:

@@ -307,16 +307,18 @@ CTES["items"] = " UNION ALL ".join(
 )
 
 
-def _items(i: Inputs):
+def _items(i: Inputs, *sections: str):
     facts = i.facts()
+    if not sections or rules.looks_up(sections):
+        facts = materialize(facts.drop("op", "args", "value"), "facts")
     stats = features.name_stats(facts)
-    return rules.evidence_items(facts, stats, features.program_features(stats))
+    return rules.evidence_items(facts, stats, features.program_features(stats), sections=list(sections) or None)
 
 
 def _evidence_query(name: str, section: str) -> None:
     @query(name, f"SELECT {STUDENT}, seq, text FROM items WHERE section = '{section}'")
     def _(i):
-        return _items(i).where(F.col("section") == section).select(*STUDENT_KEY, "seq", "text")
+        return _items(i, section).select(*STUDENT_KEY, "seq", "text")
 
 
 for _name, (_section, *_rest) in _EVIDENCE_SQL.items():

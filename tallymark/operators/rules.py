@@ -7,7 +7,7 @@ them are evaluated in one pass over the programs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -167,6 +167,10 @@ SECTIONS: dict[str, Callable[[], Column]] = {
     "function_calls": _function_calls,
 }
 _MOVEMENT_SECTIONS = ("random_movement", "counter_movement")
+# Sections that show what is known of a name (``name_stats``) or counted in a program.
+_OF_OBJECTS = ("object_types", "total_objects", "sprites_and_others", "sprites", *_MOVEMENT_SECTIONS)
+_OF_NAMES = (*_OF_OBJECTS, "animation", "velocity", "function_calls")
+_OF_COUNTS = (*_OF_OBJECTS, "different_shapes")
 
 
 # ---- rules ------------------------------------------------------------------
@@ -313,53 +317,61 @@ def label_programs(programs: DataFrame, features: DataFrame, requested: DataFram
 
 
 def evidence_items(
-    facts: DataFrame, stats: DataFrame, features: DataFrame, keys: list[str] = STUDENT_KEY, requested: DataFrame | None = None
+    facts: DataFrame, stats: DataFrame, features: DataFrame, keys: list[str] = STUDENT_KEY, requested: DataFrame | None = None,
+    sections: list[str] | None = None,
 ) -> DataFrame:
     """Every message a section would give: one row per fact and section.
 
-    With ``requested``, only the sections that the run's rules show are built.
+    With ``requested``, only the sections that the run's rules show are built, with
+    ``sections`` only those named; ``stats`` and ``features`` are joined for sections
+    that show something of them.
     """
+    built = list(SECTIONS) if sections is None else sections
+    about = with_name_key(facts).where(F.col("ns").isNotNull())
+    by_name, by_count = (any(s in need for s in built) for need in (_OF_NAMES, _OF_COUNTS))
     names = stats.select(
         *keys, "ns", "nm", "type", "moves", "n_open_defs",
         F.col("decl.seq").alias("decl_seq"),
     )
     counts = features.withColumnRenamed("random", "n_random").withColumnRenamed("counter", "n_counter")
-    about = with_name_key(facts).where(F.col("ns").isNotNull())
-    first = kind_is("declare") & (F.col("seq") == F.col("decl_seq")) & (F.col("type") != "none")
-    rows = (
-        about.join(names, [*keys, "ns", "nm"])
-        .join(counts, keys)
-        .withColumn(
-            "object_type",
-            F.when(first, F.col("type")).when(kind_is("call"), drawn_type(F.col("name"))),
-        )
-        .withColumn(
-            "is_move",
-            F.col("moves") & F.col("move_start").isNotNull() & F.col("property").isin(MOVEMENT_PROPERTIES),
-        )
-    )
+    # The facts are the heavy side: they move once, for what is known of names and programs together.
+    if by_name:
+        rows = about.join(names.join(counts, keys) if by_count else names, [*keys, "ns", "nm"])
+    else:
+        named = about.where(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, "nm"]))
+        rows = named.join(counts, keys) if by_count else named
+    if by_name:
+        first = kind_is("declare") & (F.col("seq") == F.col("decl_seq")) & (F.col("type") != "none")
+        drawn = F.when(kind_is("call"), drawn_type(F.col("name")))
+        is_move = F.col("moves") & F.col("move_start").isNotNull() & F.col("property").isin(MOVEMENT_PROPERTIES)
+        rows = rows.withColumn("object_type", F.when(first, F.col("type")).otherwise(drawn)).withColumn("is_move", is_move)
 
     if requested is not None:
-        sections = F.broadcast(rule_dim(facts.sparkSession))  # a few dozen constant rows
-        shown = requested.join(sections, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(F.collect_set("section").alias("shown"))
+        dim = F.broadcast(rule_dim(facts.sparkSession))  # a few dozen constant rows
+        shown = requested.join(dim, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(F.collect_set("section").alias("shown"))
         rows = rows.join(shown, RUN_KEY)
 
-    def entry(section: str) -> Column:
+    def entry_of(section: str) -> Column:
         by_if = section in _MOVEMENT_SECTIONS
-        built = F.struct(
+        entry = F.struct(
             F.lit(section).alias("section"),
             F.col("move_start" if by_if else "start").alias("start"),
             F.col("move_end" if by_if else "end").alias("end"),
             SECTIONS[section]().alias("message"),
         )
-        return built if requested is None else F.when(F.array_contains("shown", section), built)
+        return entry if requested is None else F.when(F.array_contains("shown", section), entry)
 
-    found = F.filter(F.array(*[entry(s) for s in SECTIONS]), lambda e: e["message"].isNotNull())
+    found = F.filter(F.array(*[entry_of(s) for s in built]), lambda e: e["message"].isNotNull())
     return rows.select(*keys, "seq", "done", F.explode(found).alias("e")).select(
         *keys, "seq", "done", "e.section", "e.start", "e.end", evidence_text().alias("text")
     )
 
 
+def looks_up(sections: Iterable[str]) -> bool:
+    """Whether a section needs more than the facts themselves, which are then read several times."""
+    return any(s in _OF_NAMES or s in _OF_COUNTS for s in sections)
+
+
 def evidence_text() -> Column:
     """ "Line s: message" or "Lines s-e: message"."""
     start, end = F.col("e.start").cast("string"), F.col("e.end").cast("string")

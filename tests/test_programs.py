@@ -1,7 +1,9 @@
 """Statement scan, features, rules and evidence on whole programs."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallymark.catalog import QUERIES, Inputs
 from tallymark.operators import facts as scan
 from tallymark.operators import features, rules
 
@@ -344,3 +346,24 @@ def test_quotes_without_end_spoil_their_line(spark, open_ended):
 
 def test_empty_programs_have_no_facts(spark):
     assert _kept(spark, "") == [] and _kept(spark, " \n") == []
+
+
+def test_sections_alone_give_the_rows_of_all(spark):
+    facts = scanned(spark, POND)
+    # A fact without a program's key or a name is in no section.
+    for column in ("student_id", "trigger"):
+        facts = facts.unionByName(facts.limit(30).withColumn(column, F.lit(None).cast("string")))
+    facts = facts.localCheckpoint()
+    stats = features.name_stats(facts).localCheckpoint()
+    counts = features.program_features(stats).localCheckpoint()
+    rows = lambda df: sorted(tuple(r) for r in df.collect() if r.section in alone)
+    for alone in (["variable_conditionals", "function_definitions"], ["different_shapes"], ["velocity"], ["total_objects"]):
+        assert rows(rules.evidence_items(facts, stats, counts, sections=alone)) == rows(rules.evidence_items(facts, stats, counts)), alone
+
+
+def test_conditionals_read_the_facts_once(spark, tmp_path):
+    spark.sql("SELECT id AS event_id, id % 7 AS user_id, 'click' AS event_type, '{}' AS props FROM range(48)").write.parquet(f"{tmp_path}/events.parquet")
+    plan = QUERIES["k11_user_conditionals"](Inputs(spark, str(tmp_path)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 2  # the facts and their draw functions
+    # No branch per statement and column, which would be too long a method to be compiled.
+    assert plan.count("CASE WHEN") < 30
