@@ -46,7 +46,8 @@ SURE = 0.9  # belief from which a token is added
 # The patterns and what their matches must hold.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# Takes every run of digits, so that the search leaps from one to the next; without the group it is none.
+IP = re.compile(r"[0-9][0-9]*+((?:\.[0-9]++){3})?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -80,8 +81,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the patterns' matches that hold what they must."""
     found = [("email", s, e) for s, e in emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        for m in IP.finditer(text):
-            if all(len(p) < 4 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
+        for m in IP.finditer(text) if text.count(".") > 2 else ():
+            if m[1] and all(len(p) < 4 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
                 found.append(("ip", m.start(), m.end()))
         for m in CARD.finditer(text):
             digits = NO_DIGIT.sub("", m[0])
