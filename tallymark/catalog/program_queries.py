@@ -358,7 +358,8 @@ CTES["rule_result"] = f"""SELECT {STUDENT}, key_concept, '' AS observations, coa
 
 @query("j11_rule_rows", f"SELECT {STUDENT}, key_concept, observations, evidence, label, reason FROM rule_result")
 def _(i):
-    rows = rules.rule_rows(i.programs(), scan.facts(i.programs()), i.requested(), i.rubric_levels())
+    facts = materialize(scan.facts(i.programs()).drop("op", "args", "value"), "facts")
+    rows = rules.rule_rows(i.programs(), facts, i.requested(), i.rubric_levels())
     return rows.withColumn("evidence", F.array_join("evidence", " "))
 
 
