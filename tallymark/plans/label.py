@@ -134,6 +134,7 @@ def label_submissions(
     facts: DataFrame | None = None,
     keep=None,
     settings: DataFrame | None = None,
+    with_data: bool = True,
 ) -> DataFrame:
     """One result row per submission; failures are outcomes, not errors.
 
@@ -141,7 +142,8 @@ def label_submissions(
     text is parsed where it is read; only keys and result rows are joined.
     ``keep`` may store what several branches read: the submissions without their
     text (four times) and the scanned facts (three times). ``settings`` are the
-    stored ``run_settings``, made here unless given.
+    stored ``run_settings``, made here unless given. Without ``with_data`` the rows of
+    results are NULL and no program is scanned: an outcome comes from the response.
     """
     keep = keep or (lambda df: df)
     if settings is None:
@@ -159,22 +161,27 @@ def label_submissions(
     results = live.select(*STUDENT_KEY, "model", listed).join(
         response_results(responses, settings), STUDENT_KEY, "left"
     )
-    requested = requested_rules(settings, rubric_levels)
-    by_rules = F.size("rule_concepts") > 0
-    if facts is None:
-        facts = keep(fact_ops.facts(prepared.where(~F.col("blank") & by_rules), STUDENT_KEY))
-    by_rule = rule_lists(rules.rule_rows(live.where(by_rules), facts, requested, rubric_levels))
+    if with_data:
+        requested = requested_rules(settings, rubric_levels)
+        by_rules = F.size("rule_concepts") > 0
+        if facts is None:
+            facts = keep(fact_ops.facts(prepared.where(~F.col("blank") & by_rules), STUDENT_KEY))
+        by_rule = rule_lists(rules.rule_rows(live.where(by_rules), facts, requested, rubric_levels))
+        results = results.join(by_rule, STUDENT_KEY, "left")
+        data = response_ops.sanitize_data(_override(F.col("data"), F.col("by_rule")))
+    else:
+        data = F.lit(None).cast(results.schema["data"].dataType)
 
     agent = F.concat(
         prompts.provider(F.col("model")),
         F.when(F.col("by_rules"), f", {RULE_AGENT}").otherwise(""),
     )
-    answered = results.join(by_rule, STUDENT_KEY, "left").select(
+    answered = results.select(
         *STUDENT_KEY, "model", agent.alias("agent"),
         F.coalesce("outcome", F.lit("no_response")).alias("outcome"),
         *[F.coalesce(name, F.lit(0).cast("bigint")).alias(name) for name in USAGE],
         "seconds",
-        response_ops.sanitize_data(_override(F.col("data"), F.col("by_rule"))).alias("data"),
+        data.alias("data"),
     )
     parts = [answered, blank_results(state, settings.where("concepts IS NOT NULL").select(*RUN_KEY, "concepts"))]
     if cache is not None:
