@@ -318,13 +318,14 @@ def label_programs(programs: DataFrame, features: DataFrame, requested: DataFram
 
 def evidence_items(
     facts: DataFrame, stats: DataFrame, features: DataFrame, keys: list[str] = STUDENT_KEY, requested: DataFrame | None = None,
-    sections: list[str] | None = None,
+    sections: list[str] | None = None, by_concept: bool = False,
 ) -> DataFrame:
     """Every message a section would give: one row per fact and section.
 
     With ``requested``, only the sections that the run's rules show are built, with
     ``sections`` only those named; ``stats`` and ``features`` are joined for sections
-    that show something of them.
+    that show something of them. ``by_concept`` gives a message once for every requested
+    concept that shows it, with ``key_concept`` and ``section_ord``.
     """
     built = list(SECTIONS) if sections is None else sections
     about = with_name_key(facts).where(F.col("ns").isNotNull())
@@ -334,23 +335,24 @@ def evidence_items(
         F.col("decl.seq").alias("decl_seq"),
     )
     counts = features.withColumnRenamed("random", "n_random").withColumnRenamed("counter", "n_counter")
-    # The facts are the heavy side: they move once, for what is known of names and programs together.
+    # The facts are the heavy side: they move once, for what is known of names and programs together
+    # and for what the run's rules show, which may be a table as long as the programs'.
+    shown = None if requested is None else _shown(requested)
     if by_name:
-        rows = about.join(names.join(counts, keys) if by_count else names, [*keys, "ns", "nm"])
+        known = names.join(counts if shown is None else counts.join(shown, RUN_KEY), keys) if by_count else names
+        if shown is not None and not by_count:
+            known = known.join(shown, RUN_KEY)
+        rows = about.join(known, [*keys, "ns", "nm"])
     else:
         named = about.where(" AND ".join(f"{c} IS NOT NULL" for c in [*keys, "nm"]))
         rows = named.join(counts, keys) if by_count else named
+        rows = rows if shown is None else rows.join(shown, RUN_KEY)
     if by_name:
         first = kind_is("declare") & (F.col("seq") == F.col("decl_seq")) & (F.col("type") != "none")
         drawn = F.when(kind_is("call"), drawn_type(F.col("name")))
         is_move = F.col("moves") & F.col("move_start").isNotNull() & F.col("property").isin(MOVEMENT_PROPERTIES)
         rows = rows.withColumn("object_type", F.when(first, F.col("type")).otherwise(drawn)).withColumn("is_move", is_move)
 
-    if requested is not None:
-        dim = F.broadcast(rule_dim(facts.sparkSession))  # a few dozen constant rows
-        shown = requested.join(dim, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(F.collect_set("section").alias("shown"))
-        rows = rows.join(shown, RUN_KEY)
-
     def entry_of(section: str) -> Column:
         by_if = section in _MOVEMENT_SECTIONS
         entry = F.struct(
@@ -359,14 +361,25 @@ def evidence_items(
             F.col("move_end" if by_if else "end").alias("end"),
             SECTIONS[section]().alias("message"),
         )
-        return entry if requested is None else F.when(F.array_contains("shown", section), entry)
+        return entry if requested is None else F.when(F.array_contains(F.col("shown.section"), section), entry)
 
     found = F.filter(F.array(*[entry_of(s) for s in built]), lambda e: e["message"].isNotNull())
-    return rows.select(*keys, "seq", "done", F.explode(found).alias("e")).select(
-        *keys, "seq", "done", "e.section", "e.start", "e.end", evidence_text().alias("text")
+    place, own = [*keys, "seq", "done"], ["e.section", "e.start", "e.end", evidence_text().alias("text")]
+    if not by_concept:
+        return rows.select(*place, F.explode(found).alias("e")).select(*place, *own)
+    shows = F.explode(F.filter("shown", lambda s: s["section"] == F.col("e.section"))).alias("s")
+    return rows.select(*place, "shown", F.explode(found).alias("e")).select(*place, "e", shows).select(
+        *place, *own, "s.key_concept", "s.section_ord"
     )
 
 
+def _shown(requested: DataFrame) -> DataFrame:
+    """Per run the sections that its requested rules show, with concept and order."""
+    dim = F.broadcast(rule_dim(requested.sparkSession))  # a few dozen constant rows
+    asked = F.collect_set(F.struct("section", "key_concept", "section_ord"))
+    return requested.join(dim, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(asked.alias("shown"))
+
+
 def looks_up(sections: Iterable[str]) -> bool:
     """Whether a section needs more than the facts themselves, which are then read several times."""
     return any(s in _OF_NAMES or s in _OF_COUNTS for s in sections)
@@ -401,6 +414,14 @@ def evidence_lists(evidence: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFr
     )
 
 
+def concept_lists(items: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
+    """``evidence_lists`` of items by concept: a text has its first place, in one grouping."""
+    place = F.struct("section_ord", "done", (-F.col("seq")).alias("inner_first"))
+    ordered = F.array_sort(F.collect_list(F.struct(place.alias("place"), "text")))
+    texts = F.array_distinct(F.transform(ordered, lambda e: e["text"]))
+    return items.groupBy(*keys, "key_concept").agg(texts.alias("evidence"))
+
+
 def with_reasons(labels: DataFrame, rubric_levels: DataFrame) -> DataFrame:
     """Labels with the rubric's text for them as ``reason``, '' where it has none."""
     key = [*RUN_KEY, "key_concept", "label"]
@@ -413,7 +434,7 @@ def rule_rows(programs: DataFrame, facts: DataFrame, requested: DataFrame, rubri
     stats = name_stats(facts, keys)
     features = program_features(stats, keys)
     labels = label_programs(programs, features, requested, keys)
-    lists = evidence_lists(rule_evidence(evidence_items(facts, stats, features, keys, requested), requested, keys), keys)
+    lists = concept_lists(evidence_items(facts, stats, features, keys, requested, by_concept=True), keys)
     return with_reasons(labels.join(lists, [*keys, "key_concept"], "left"), rubric_levels).select(
         *keys,
         "key_concept",

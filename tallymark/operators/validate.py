@@ -93,10 +93,10 @@ REQUEST_DEFAULTS = {
 }
 
 
-def read_requests(forms: DataFrame) -> DataFrame:
+def read_requests(forms: DataFrame, passed: list[str] | None = None) -> DataFrame:
     """Request fields with defaults and a status: ok or what is wrong.
 
-    ``forms`` has request_id and ``form`` MAP<STRING, STRING>.
+    ``forms`` has request_id and ``form`` MAP<STRING, STRING>; columns ``passed`` go along.
     """
     form = F.col("form")
 
@@ -133,6 +133,7 @@ def read_requests(forms: DataFrame) -> DataFrame:
         field("code-feature-extractor").alias("rule_text"),
         field("lesson").alias("lesson"),
         status.alias("status"),
+        *(passed or []),
     )
 
 

@@ -39,12 +39,16 @@ def run_settings(params: DataFrame, rubric_levels: DataFrame) -> DataFrame:
 
 
 def prepare(submissions: DataFrame, params: DataFrame) -> DataFrame:
-    """Submissions of known runs, comments removed where asked, blank ones flagged."""
+    """Submissions of known runs, comments removed where asked, blank ones flagged.
+
+    Submissions that carry their run's settings are not joined with ``params``.
+    """
     code = sanitize_code(F.col("code"), F.col("remove_comments"))
-    settings = params.select(*RUN_KEY, "model", "remove_comments", "rule_concepts", "tree_lesson")
+    if "rule_concepts" not in submissions.columns:
+        settings = params.select(*RUN_KEY, "model", "remove_comments", "rule_concepts", "tree_lesson")
+        submissions = submissions.join(settings, RUN_KEY)
     return (
-        submissions.join(settings, RUN_KEY)
-        .withColumn("code", code)
+        submissions.withColumn("code", code)
         .withColumn("blank", is_blank(F.col("code")))
     )
 
@@ -61,7 +65,9 @@ def blank_results(prepared: DataFrame, concepts: DataFrame) -> DataFrame:
             F.lit(BLANK_TEXT).alias("reason"),
         ),
     )
-    return prepared.where("blank").join(concepts, RUN_KEY).select(
+    blank = prepared.where("blank")
+    blank = blank if "concepts" in prepared.columns else blank.join(concepts, RUN_KEY)
+    return blank.select(
         *STUDENT_KEY, "model", F.lit("static").alias("agent"), F.lit("ok").alias("outcome"),
         *[F.lit(0).cast("bigint").alias(name) for name in USAGE],
         F.lit(0).cast("double").alias("seconds"), rows.alias("data"),
@@ -71,13 +77,16 @@ def blank_results(prepared: DataFrame, concepts: DataFrame) -> DataFrame:
 def response_results(responses: DataFrame, settings: DataFrame) -> DataFrame:
     """Parse, check and vote every stored response of the runs in ``settings``.
 
-    ``seconds``, how long the response took, is passed on where it is known.
+    ``seconds``, how long the response took, is passed on where it is known. Responses
+    that carry their run's settings are not joined with ``settings``.
     """
     if "seconds" not in responses.columns:
         responses = responses.withColumn("seconds", F.lit(None).cast("double"))
-    settings = settings.where(F.col("concepts").isNotNull()).select(*RUN_KEY, "model", "response_type", "concepts")
+    if "concepts" not in responses.columns:
+        settings = settings.where(F.col("concepts").isNotNull()).select(*RUN_KEY, "model", "response_type", "concepts")
+        responses = responses.join(settings, RUN_KEY)
     provider = prompts.provider(F.col("model"))
-    known = responses.join(settings, RUN_KEY).withColumn(
+    known = responses.withColumn(
         # Other providers always answer in JSON.
         "response_type", F.when(provider == "openai", F.col("response_type")).otherwise("json")
     )
@@ -142,7 +151,8 @@ def label_submissions(
     text is parsed where it is read; only keys and result rows are joined.
     ``keep`` may store what several branches read: the submissions without their
     text (four times) and the scanned facts (three times). ``settings`` are the
-    stored ``run_settings``, made here unless given. Without ``with_data`` the rows of
+    stored ``run_settings``, made here unless given; where every row is a run of its own,
+    submissions and responses carry them instead (``plans.requests``). Without ``with_data`` the rows of
     results are NULL and no program is scanned: an outcome comes from the response.
     """
     keep = keep or (lambda df: df)

@@ -33,12 +33,12 @@ def _rubric_rows(rubric: Column) -> Column:
     return F.filter(F.transform(answers.sheet_rows(rubric), row), lambda r: r["key_concept"].isNotNull())
 
 
-def request_fields(requests: DataFrame) -> DataFrame:
+def request_fields(requests: DataFrame, passed: list[str] | None = None) -> DataFrame:
     """The fields of ``validate.read_requests`` with run key, rubric rows and concepts.
 
     ``requests`` has request_id and ``form``. A rubric without a concept is refused.
     """
-    fields = validate.read_requests(requests).withColumn("rubric_rows", _rubric_rows(F.col("rubric")))
+    fields = validate.read_requests(requests, passed).withColumn("rubric_rows", _rubric_rows(F.col("rubric")))
     names = F.transform("rubric_rows", lambda r: r["key_concept"])
     none = (F.col("status") == "ok") & (F.size(names) < 1)
     return (
@@ -60,21 +60,22 @@ def label_requests(requests: DataFrame, keep=None) -> DataFrame:
     ``requests`` has request_id (distinct), ``form``, and of the answer http_status,
     body and, where known, seconds. Outcome is ``bad_request`` for a form that cannot
     be used, with ``message`` saying why; everything else is as in
-    ``label.label_submissions``. ``keep`` may store what several branches read.
+    ``label.label_submissions``. ``keep`` may store what several branches read. Programs
+    and answers carry the settings of their own row, so that no text is joined.
     """
     keep = keep or (lambda df: df)
-    fields = keep(request_fields(requests))
+    answer = [c for c in ("http_status", "body", "seconds") if c in requests.columns]
+    fields = keep(request_fields(requests, answer))
     good = fields.where("status = 'ok'")
-    levels = good.select(*RUN_KEY, F.inline("rubric_rows")).select(
-        *RUN_KEY, "key_concept", "ord", F.explode("descriptors").alias("label", "descriptor")
-    )
+    # Only concepts that are labelled by rule are looked up.
+    ruled = good.select(*RUN_KEY, "rule_concepts", F.inline("rubric_rows")).where(F.expr("array_contains(rule_concepts, key_concept)"))
+    levels = ruled.select(*RUN_KEY, "key_concept", "ord", F.explode("descriptors").alias("label", "descriptor"))
     settings = good.select(
         *RUN_KEY, "model", "response_type", "remove_comments", "rule_concepts", "tree_lesson", "concepts"
     )
-    answer = [c for c in ("http_status", "body", "seconds") if c in requests.columns]
-    responses = requests.select(F.col("request_id").alias("student_id"), *answer)
-    responses = responses.join(good.select(*STUDENT_KEY), "student_id").where(F.col("http_status").isNotNull())
-    labelled = label.label_submissions(good.select(*STUDENT_KEY, "code"), levels, settings, responses, keep=keep, settings=settings)
+    programs = good.select(*STUDENT_KEY, "code", *[c for c in settings.columns if c not in RUN_KEY])
+    responses = good.where(F.col("http_status").isNotNull()).select(*STUDENT_KEY, "model", "response_type", "concepts", *answer)
+    labelled = label.label_submissions(programs, levels, settings, responses, keep=keep, settings=settings)
     # The rules are named even if the text names no concept of the rubric.
     silent = good.where(F.col("by_rules") & (F.size("rule_concepts") == 0)).select(*STUDENT_KEY, F.lit(True).alias("silent"))
     agent = F.when(

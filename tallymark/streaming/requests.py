@@ -87,7 +87,11 @@ def _run(stream: DataFrame, labelled, out: str, checkpoint: str):
             return kept[-1]
 
         try:
-            commit_batch(labelled(keep(batch), keep), out, batch_id)
+            rows = keep(batch)
+            # After the last rows a batch without any moves the watermark on: nothing to label.
+            if batch_id > 0 and rows.isEmpty():
+                return
+            commit_batch(labelled(rows, keep), out, batch_id)
         finally:
             for df in kept:
                 df.unpersist()

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tallymark.plans import label
 from tallymark.plans import requests as plan
 from tallymark.sources import snapshots, writers
 from tallymark.streaming import requests as stream
@@ -165,3 +166,21 @@ def test_the_second_of_two_writers_fails(spark, tmp_path):
     assert snapshots.commit(none, path, keys, one) == 2 and snapshots.read(spark, path).count() == 0
     snapshots.prune(spark, path)
     assert snapshots.read(spark, path).columns == one.columns
+
+
+def test_a_batch_without_rows_is_not_labelled(spark, tmp_path):
+    path = str(tmp_path)
+    requests(spark, ROWS[:2]).coalesce(1).write.json(f"{path}/in")
+    stream.label_request_stream(stream.read_request_stream(spark, f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+    # The watermark moves on in a batch of its own.
+    assert stream.read_totals(spark, f"{path}/out").count() == 1
+    assert stream.read_results(spark, f"{path}/out").count() == 2
+
+
+def test_answers_meet_their_settings_in_their_own_row(spark):
+    found = requests(spark)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().split("Join ")[1:]
+    assert not [j for j in joins(plan.label_requests(found)) if "body" in j.split("Generate")[0].split("\n")[1]]
+    good = plan.request_fields(found, ["http_status", "body"]).where("status = 'ok' AND http_status IS NOT NULL")
+    graded = label.response_results(good, None)
+    assert joins(graded) == [] and {r.student_id: r.outcome for r in graded.collect()}["a"] == "ok"
