@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from tallymark.llm.common import arrow_map, text_chunks
 
 # Pre-tokens a worker remembers; beyond it the memory starts anew.
-CACHED = 150_000
+CACHED = 75_000
 # Longer pre-tokens (in bytes) get a tree of their own and are not remembered.
 SHORT = 64
 NONE = np.iinfo(np.int32).max
@@ -273,7 +273,7 @@ def load(path: str) -> WordBpe:
 
 def _encode_batches(batches, path: str, digests: bool) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
-    for batch, texts in text_chunks(batches, 1, 1_000_000):
+    for batch, texts in text_chunks(batches, 1, 500_000):
         found = bpe.encode_texts(texts)
         counts = pa.array([len(ids) // 4 for ids, _ in found], pa.int64())
         if digests:

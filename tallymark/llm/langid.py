@@ -43,7 +43,8 @@ GROUP_CELLS = 16_000_000  # words times labels that training holds at one time
 FEATURES = 60_000
 ROUNDS = 25
 PIECE, PIECES = 12, 8  # mean words and number of pieces of a spliced chain
-CACHED = 300_000  # words a worker remembers
+CACHED = 100_000  # words a worker remembers
+CHUNK = CHUNK_CHARS // 4  # characters whose posteriors a task holds at one time
 # The pipeline keeps a text whose words are this sure of a language, the same or not.
 MIN_SURE = 0.4
 
@@ -278,7 +279,7 @@ def _predict_batches(batches, text: int, kept: list[int], state: dict, key: str,
         _models.clear()
         _models[key] = LanguageModel(**state)
     model = _models[key]
-    size = max(1, min(CHUNK_CHARS, 16 * CHUNK_CHARS // max(1, len(model.languages))))
+    size = max(1, min(CHUNK, 16 * CHUNK_CHARS // max(1, len(model.languages))))
     for batch, texts in text_chunks(batches, text, size):
         langs, scores, sure = model.predict(texts)
         names = [batch.schema.names[i] for i in kept]
