@@ -8,7 +8,7 @@ import pytest
 from tallymark.catalog import QUERIES, Inputs, plan_queries
 from tallymark.dims import RUN_KEY
 from tallymark.llm import pii
-from tallymark.operators import responses
+from tallymark.operators import responses, rules
 from tallymark.plans import label
 
 
@@ -61,3 +61,15 @@ def test_addresses_are_found_from_run_to_run():
         assert [(s, e) for kind, s, e in pii.base_spans(text) if kind == "ip"] == small, text
     # A search that begins with a look behind tries every character.
     assert not pii.IP.pattern.startswith("(?<")
+
+
+def test_texts_of_a_concept_have_their_first_place(spark):
+    at = "dataset string, experiment string, lesson string, student_id string, key_concept string, section_ord int, done long, seq long, text string"
+    texts = [("A", 1, 5, 1, "x"), ("A", 0, 9, 2, "y"), ("A", 0, 7, 3, "x"), ("A", 0, 9, 4, "z"), ("B", 0, 1, 1, "x")]
+    rows = spark.createDataFrame([("d", "e", "l", "s", *t) for t in texts], at)
+    assert {r.key_concept: r.evidence for r in rules.concept_lists(rows).collect()} == {"A": ["x", "z", "y"], "B": ["x"]}
+
+
+def test_rule_rows_group_evidence_once(inputs):
+    found = rules.rule_rows(inputs.programs(), inputs.facts(), inputs.requested(), inputs.rubric_levels())
+    assert "min(struct(section_ord" not in plan_of(found)  # a text's first place had a grouping of its own
