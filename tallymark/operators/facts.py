@@ -116,8 +116,11 @@ _PARTS_OF_STATEMENT = 1 << 31
 def _split_match(text: Column, pattern: str, n_groups: int) -> Column:
     """Groups of a whole-text match as an array, NULL when there is no match."""
     joined = F.regexp_replace(text, pattern, "\x01".join(f"${g}" for g in range(1, n_groups + 1)))
-    parts = F.split(joined, "\x01", -1)
-    return F.when(F.size(parts) == n_groups, F.transform(parts, lambda p: F.nullif(p, F.lit(""))))
+    # Matched once: inside generated columns nothing else keeps the search from running twice.
+    return let(
+        F.split(joined, "\x01", -1),
+        lambda parts: F.when(F.size(parts) == n_groups, F.transform(parts, lambda p: F.nullif(p, F.lit("")))),
+    )
 
 
 def _tokens(code: Column) -> Column:
@@ -194,10 +197,12 @@ def mask_brackets(masked: Column) -> Column:
         return state(depth, F.greatest(acc["most"], depth))
 
     def disguised(text: Column) -> Column:
-        marks = F.regexp_extract_all(text, F.lit("[()]"), F.lit(0))
-        depth = F.aggregate(marks, state(F.lit(0), F.lit(0)), deeper, lambda acc: acc["most"])
-        closing = F.size(F.filter(marks, lambda m: m == ")"))
-        levels = let(F.least(depth, closing), lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
+        def rounds(marks: Column) -> Column:
+            depth = F.aggregate(marks, state(F.lit(0), F.lit(0)), deeper, lambda acc: acc["most"])
+            return F.least(depth, F.size(F.filter(marks, lambda m: m == ")")))
+
+        found = let(F.regexp_extract_all(text, F.lit("[()]"), F.lit(0)), rounds)
+        levels = let(found, lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")))
         return F.aggregate(levels, text, lambda t, _: F.regexp_replace(t, r"\(([^()]*+)\)", f"{_OPEN}$1{_CLOSE}"))
 
     return let(masked, lambda text: let(disguised(text), _outer_brackets))
@@ -327,12 +332,14 @@ def blocks(stmts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     # At one level, opening and closing braces alternate.
     same_level = W.partitionBy(*keys, "brace", "level").orderBy("pos")
     following = F.lead(F.when(closes, F.struct("end", "pos"))).over(same_level)
-    heads = F.sum(F.when(opens & ~F.col("block").isin("else", "else_if"), 1).otherwise(0)).over(same_level)
+    begins = opens & ~F.col("block").isin("else", "else_if")
+    last_of = lambda here: F.coalesce(F.max(F.when(here, F.col("pos"))).over(same_level), F.lit(-1))
     chained = (
         leveled.withColumn("close", following)
         .withColumn("block_end", F.when(opens, F.coalesce("close.end", "last_line")))
         .withColumn("block_close", F.when(opens, F.coalesce(F.col("close.pos"), F.lit(_OPEN_ENDED))))
-        .withColumn("chain", heads)
+        .withColumn("chain", F.sum(F.when(begins, 1).otherwise(0)).over(same_level))
+        .withColumn("after_else_if", last_of(F.col("block") == "else_if") > last_of(begins))
     )
     # Ordered, although two of its frames are the whole chain, so that one sort serves all.
     chain = W.partitionBy(*keys, "brace", "level", "chain").orderBy("pos")
@@ -340,7 +347,6 @@ def blocks(stmts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     closed = (
         chained.withColumn("chain_end", F.max("block_end").over(whole))
         .withColumn("chain_close", F.max("block_close").over(whole))
-        .withColumn("after_else_if", F.max((F.col("block") == "else_if").cast("int")).over(chain) == 1)
         .withColumn("name", F.when(F.col("block") == "function", F.regexp_extract("text", rf"^function\s++({_ID})", 1)))
         .withColumn(
             "stmt_end",
@@ -367,8 +373,7 @@ def blocks(stmts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
         opens
         & F.col("in_draw")
         & (F.col("block").isin("function", "else_if", "block") | ((F.col("block") == "else") & F.col("after_else_if")))
-    ).cast("int")
-    was_hidden = F.coalesce(F.lag("hidden").over(same_level), F.lit(0))
+    )
     outer_if = F.max(
         F.when(
             (F.col("block") == "if") & F.col("in_draw") & (F.col("level") == F.col("draw.level") + 1),
@@ -377,10 +382,8 @@ def blocks(stmts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     ).over(program)
     return (
         in_draw.withColumn("hidden", hidden)
-        .withColumn("closes_hidden", F.when(closes, was_hidden).otherwise(0))
-        .withColumn(
-            "hiding", F.coalesce(F.sum(F.col("hidden") - F.col("closes_hidden")).over(before), F.lit(0))
-        )
+        # What a hidden block hides ends at its brace, whatever the blocks inside it do.
+        .withColumn("hiding", F.coalesce(F.max(F.when(F.col("hidden"), F.col("block_close"))).over(before) >= F.col("pos"), F.lit(False)))
         .withColumn("outer_if", outer_if)
     )
 
@@ -466,7 +469,7 @@ def facts(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     random = F.when(
         is_kind("assign"), calls_random(left) | calls_random(right) | F.coalesce(call == "randomNumber", F.lit(False))
     )
-    visible = F.col("in_draw") & (F.col("hiding") == 0) & is_kind("assign", "update")
+    visible = F.col("in_draw") & ~F.col("hiding") & is_kind("assign", "update")
     direct = F.col("depth") == F.col("draw.level") + 1
     place = F.col("pos").cast("bigint") * _PARTS_OF_STATEMENT + F.col("_i")
     last_of = lambda pos: pos * _PARTS_OF_STATEMENT + (_PARTS_OF_STATEMENT - 1)

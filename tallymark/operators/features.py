@@ -7,6 +7,8 @@ its partial results meet.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -241,58 +243,82 @@ def with_name_key(facts: DataFrame) -> DataFrame:
     return facts.withColumn("ns", ns).withColumn("nm", nm)
 
 
-def name_stats(facts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
-    """Per program and name: first declaration, changes, calls, movement."""
+def _of_names() -> dict[str, Column]:
+    """What is known of a name: aggregates over its facts in one program."""
     outside = ~F.col("in_draw")
-    return (
-        with_name_key(facts)
-        .where(F.col("ns").isNotNull())
-        .groupBy(*keys, "ns", "nm")
-        .agg(
-            F.min(F.when(kind_is("declare"), F.struct("seq", "call", "end"))).alias("decl"),
-            F.max(is_change() & F.col("in_draw")).alias("changed_in_draw"),
-            F.max(kind_is("method") & (F.col("name") == "setAnimation") & outside).alias("animated"),
-            F.max(F.coalesce(F.col("property").contains("velocity"), F.lit(False)) & is_change() & outside).alias("velocity"),
-            F.count_if(_moves() & F.col("random")).alias("n_random"),
-            F.count_if(_moves() & F.col("counter")).alias("n_counter"),
-            F.max("draw_end").alias("draw_end"),
-            F.count_if(kind_is("call")).alias("n_calls"),
-            F.count_if(kind_is("function")).alias("n_defs"),
-            F.count_if(kind_is("function") & ~F.coalesce("seen_draw", F.lit(False))).alias("n_open_defs"),
-            F.count_if(kind_is("if") & F.col("in_draw")).alias("n_cond_draw"),
-        )
-        .withColumn("type", F.when(F.col("decl").isNotNull(), declared_type(F.col("decl.call"))))
-        .withColumn(
-            "moves",
-            F.coalesce((F.col("type") != "none") & (F.col("decl.end") <= F.col("draw_end")), F.lit(False)),
-        )
+    return {
+        "decl": F.min(F.when(kind_is("declare"), F.struct("seq", "call", "end"))),
+        "changed_in_draw": F.max(is_change() & F.col("in_draw")),
+        "animated": F.max(kind_is("method") & (F.col("name") == "setAnimation") & outside),
+        "velocity": F.max(F.coalesce(F.col("property").contains("velocity"), F.lit(False)) & is_change() & outside),
+        "n_random": F.count_if(_moves() & F.col("random")),
+        "n_counter": F.count_if(_moves() & F.col("counter")),
+        "last_draw": F.max("draw_end"),
+        "n_calls": F.count_if(kind_is("call")),
+        "n_defs": F.count_if(kind_is("function")),
+        "n_open_defs": F.count_if(kind_is("function") & ~F.coalesce("seen_draw", F.lit(False))),
+        "n_cond_draw": F.count_if(kind_is("if") & F.col("in_draw")),
+    }
+
+
+def _typed(stats: DataFrame) -> DataFrame:
+    """Add what a declared name holds and whether it can move."""
+    return stats.withColumn("type", F.when(F.col("decl").isNotNull(), declared_type(F.col("decl.call")))).withColumn(
+        "moves",
+        F.coalesce((F.col("type") != "none") & (F.col("decl.end") <= F.col("last_draw")), F.lit(False)),
     )
 
 
-def _total(column: str, condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col(column))), F.lit(0))
+def name_stats(facts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
+    """Per program and name: first declaration, changes, calls, movement."""
+    named = with_name_key(facts).where(F.col("ns").isNotNull())
+    stats = named.groupBy(*keys, "ns", "nm").agg(*[value.alias(name) for name, value in _of_names().items()])
+    return _typed(stats).withColumnRenamed("last_draw", "draw_end")
 
 
-def program_features(stats: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
-    """The numbers the rules look at, from ``name_stats``."""
-    obj, fun, trig = (F.col("ns") == ns for ns in ("object", "function", "trigger"))
+def _of_programs(row: Column, over: Callable[[Column], Column]) -> dict[str, Column]:
+    """``FEATURES``: figures of a program's names, the rows of ``row``; ``over`` completes an aggregate."""
+    obj, fun, trig = (row & (F.col("ns") == ns) for ns in ("object", "function", "trigger"))
+    count = lambda condition: over(F.count_if(condition))
+    total = lambda column, condition: F.coalesce(over(F.sum(F.when(condition, F.col(column)))), F.lit(0))
     sprite = obj & (F.col("type") == "sprite")
     defined = fun & (F.col("n_defs") > 0)
-    return stats.groupBy(*keys).agg(
-        F.count_if(sprite).alias("sprites"),
-        (F.count_if(obj & (F.col("type") == "shape")) + _total("n_calls", fun & F.col("nm").isin(SHAPE_FUNCTIONS))).alias("shapes"),
-        (F.count_if(obj & (F.col("type") == "text")) + _total("n_calls", fun & (F.col("nm") == "text"))).alias("texts"),
-        F.count_if(fun & F.col("nm").isin(COUNTED_SHAPES) & (F.col("n_calls") > 0)).alias("counted_shapes"),
-        F.count_if(sprite & F.col("changed_in_draw")).alias("sprites_updated"),
-        F.count_if(sprite & F.col("animated")).alias("sprites_animated"),
-        F.count_if(sprite & F.col("velocity")).alias("sprites_with_velocity"),
-        _total("n_random", obj & F.col("moves")).alias("random"),
-        _total("n_counter", obj & F.col("moves")).alias("counter"),
-        _total("n_cond_draw", trig).alias("cond_draw"),
-        _total("n_cond_draw", trig & (F.col("nm") == "user")).alias("cond_user"),
-        _total("n_cond_draw", trig & (F.col("nm") == "variable")).alias("cond_variable"),
-        _total("n_cond_draw", trig & (F.col("nm") == "object")).alias("cond_object"),
-        _total("n_open_defs", fun).alias("functions"),
-        F.count_if(defined & (F.col("n_calls") > 0)).alias("functions_called"),
-        F.count_if(defined & (F.col("n_calls") > 1)).alias("functions_called_again"),
-    )
+    return {
+        "sprites": count(sprite),
+        "shapes": count(obj & (F.col("type") == "shape")) + total("n_calls", fun & F.col("nm").isin(SHAPE_FUNCTIONS)),
+        "texts": count(obj & (F.col("type") == "text")) + total("n_calls", fun & (F.col("nm") == "text")),
+        "counted_shapes": count(fun & F.col("nm").isin(COUNTED_SHAPES) & (F.col("n_calls") > 0)),
+        "sprites_updated": count(sprite & F.col("changed_in_draw")),
+        "sprites_animated": count(sprite & F.col("animated")),
+        "sprites_with_velocity": count(sprite & F.col("velocity")),
+        "random": total("n_random", obj & F.col("moves")),
+        "counter": total("n_counter", obj & F.col("moves")),
+        "cond_draw": total("n_cond_draw", trig),
+        "cond_user": total("n_cond_draw", trig & (F.col("nm") == "user")),
+        "cond_variable": total("n_cond_draw", trig & (F.col("nm") == "variable")),
+        "cond_object": total("n_cond_draw", trig & (F.col("nm") == "object")),
+        "functions": total("n_open_defs", fun),
+        "functions_called": count(defined & (F.col("n_calls") > 0)),
+        "functions_called_again": count(defined & (F.col("n_calls") > 1)),
+    }
+
+
+def program_features(stats: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
+    """The numbers the rules look at, from ``name_stats``."""
+    return stats.groupBy(*keys).agg(*[value.alias(name) for name, value in _of_programs(F.lit(True), lambda value: value).items()])
+
+
+def with_figures(facts: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
+    """Facts of names with the columns of ``name_stats`` and, as ``features``, ``program_features``.
+
+    The facts of a program are moved once and ordered once for both; a program has its
+    facts in one task already when it is scanned.
+    """
+    by_name = W.partitionBy(*keys, "ns", "nm").orderBy("seq")
+    whole = by_name.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    named = with_name_key(facts).where(F.col("ns").isNotNull())
+    columns = {name: value.over(whole) for name, value in _of_names().items()} | {"first": F.row_number().over(by_name) == 1}
+    # Ordered like the names, although its frame is the whole program, so that one sort serves both.
+    program = W.partitionBy(*keys).orderBy("ns", "nm", "seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counts = _of_programs(F.col("first"), lambda value: value.over(program))
+    return _typed(named.withColumns(columns)).withColumn("features", F.struct(*[value.alias(name) for name, value in counts.items()]))

@@ -25,8 +25,7 @@ from tallymark.operators.features import (
     drawn_type,
     is_change,
     kind_is,
-    name_stats,
-    program_features,
+    with_figures,
     with_name_key,
 )
 
@@ -348,10 +347,28 @@ def evidence_items(
         rows = named.join(counts, keys) if by_count else named
         rows = rows if shown is None else rows.join(shown, RUN_KEY)
     if by_name:
-        first = kind_is("declare") & (F.col("seq") == F.col("decl_seq")) & (F.col("type") != "none")
-        drawn = F.when(kind_is("call"), drawn_type(F.col("name")))
-        is_move = F.col("moves") & F.col("move_start").isNotNull() & F.col("property").isin(MOVEMENT_PROPERTIES)
-        rows = rows.withColumn("object_type", F.when(first, F.col("type")).otherwise(drawn)).withColumn("is_move", is_move)
+        rows = _with_objects(rows)
+    shown_here = None if requested is None else lambda s: F.array_contains(F.col("shown.section"), s)
+    found = _messages(built, shown_here)
+    place, own = [*keys, "seq", "done"], ["e.section", "e.start", "e.end", evidence_text(F.col("e")).alias("text")]
+    if not by_concept:
+        return rows.select(*place, F.explode(found).alias("e")).select(*place, *own)
+    shows = F.explode(F.filter("shown", lambda s: s["section"] == F.col("e.section"))).alias("s")
+    return rows.select(*place, "shown", F.explode(found).alias("e")).select(*place, "e", shows).select(
+        *place, *own, "s.key_concept", "s.section_ord"
+    )
+
+
+def _with_objects(rows: DataFrame) -> DataFrame:
+    """Add what a fact draws or declares and whether it moves, from what is known of its name."""
+    first = kind_is("declare") & (F.col("seq") == F.col("decl_seq")) & (F.col("type") != "none")
+    drawn = F.when(kind_is("call"), drawn_type(F.col("name")))
+    is_move = F.col("moves") & F.col("move_start").isNotNull() & F.col("property").isin(MOVEMENT_PROPERTIES)
+    return rows.withColumn("object_type", F.when(first, F.col("type")).otherwise(drawn)).withColumn("is_move", is_move)
+
+
+def _messages(built: Iterable[str], shown: Callable[[str], Column] | None) -> Column:
+    """What the sections of ``built`` say of a fact, of all or of those that are ``shown``."""
 
     def entry_of(section: str) -> Column:
         by_if = section in _MOVEMENT_SECTIONS
@@ -361,16 +378,9 @@ def evidence_items(
             F.col("move_end" if by_if else "end").alias("end"),
             SECTIONS[section]().alias("message"),
         )
-        return entry if requested is None else F.when(F.array_contains(F.col("shown.section"), section), entry)
+        return entry if shown is None else F.when(shown(section), entry)
 
-    found = F.filter(F.array(*[entry_of(s) for s in built]), lambda e: e["message"].isNotNull())
-    place, own = [*keys, "seq", "done"], ["e.section", "e.start", "e.end", evidence_text().alias("text")]
-    if not by_concept:
-        return rows.select(*place, F.explode(found).alias("e")).select(*place, *own)
-    shows = F.explode(F.filter("shown", lambda s: s["section"] == F.col("e.section"))).alias("s")
-    return rows.select(*place, "shown", F.explode(found).alias("e")).select(*place, "e", shows).select(
-        *place, *own, "s.key_concept", "s.section_ord"
-    )
+    return F.filter(F.array(*[entry_of(s) for s in built]), lambda e: e["message"].isNotNull())
 
 
 def _shown(requested: DataFrame) -> DataFrame:
@@ -385,12 +395,12 @@ def looks_up(sections: Iterable[str]) -> bool:
     return any(s in _OF_NAMES or s in _OF_COUNTS for s in sections)
 
 
-def evidence_text() -> Column:
+def evidence_text(e: Column) -> Column:
     """ "Line s: message" or "Lines s-e: message"."""
-    start, end = F.col("e.start").cast("string"), F.col("e.end").cast("string")
-    return F.when(
-        F.col("e.start") == F.col("e.end"), F.concat(F.lit("Line "), start, F.lit(": "), F.col("e.message"))
-    ).otherwise(F.concat(F.lit("Lines "), start, F.lit("-"), end, F.lit(": "), F.col("e.message")))
+    start, end = e["start"].cast("string"), e["end"].cast("string")
+    return F.when(e["start"] == e["end"], F.concat(F.lit("Line "), start, F.lit(": "), e["message"])).otherwise(
+        F.concat(F.lit("Lines "), start, F.lit("-"), end, F.lit(": "), e["message"])
+    )
 
 
 def rule_evidence(items: DataFrame, requested: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
@@ -429,13 +439,45 @@ def with_reasons(labels: DataFrame, rubric_levels: DataFrame) -> DataFrame:
     return labels.join(texts, key, "left").withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
+_BITS = {section: 1 << n for n, section in enumerate(SECTIONS)}
+
+
+def program_evidence(facts: DataFrame, requested: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
+    """One row per program: its ``features`` and the ``entries`` of the sections that its run's rules show.
+
+    The facts move once, by program; a run's sections are the bits of a number, which may
+    be one of a table as long as the programs'.
+    """
+    dim = F.broadcast(rule_dim(requested.sparkSession))  # a few dozen constant rows
+    bits = F.element_at(F.create_map(*[F.lit(x) for pair in _BITS.items() for x in pair]), F.col("section")).cast("bigint")
+    shown = requested.join(dim, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(F.bit_or(bits).alias("shown"))
+    rows = with_figures(facts.join(shown, RUN_KEY, "left"), keys).withColumns(
+        {"decl_seq": F.col("decl.seq"), "n_random": F.col("features.random"), "n_counter": F.col("features.counter")}
+        | {name: F.col(f"features.{name}") for name in ("sprites", "shapes", "texts", "counted_shapes")}
+    )
+    found = _messages(SECTIONS, lambda s: F.col("shown").bitwiseAND(F.lit(_BITS[s]).cast("bigint")) != 0)
+    entries = F.transform(
+        found,
+        lambda e: F.struct(
+            e["section"].alias("section"), F.col("done").alias("done"), (-F.col("seq")).alias("inner_first"), evidence_text(e).alias("text")
+        ),
+    )
+    # A fact without a name, as of a call of what is no name, counts but shows nothing.
+    entries = F.when(F.col("nm").isNotNull(), entries)
+    return _with_objects(rows).groupBy(*keys).agg(
+        F.first("features").alias("features"), F.flatten(F.collect_list(entries)).alias("entries")
+    )
+
+
 def rule_rows(programs: DataFrame, facts: DataFrame, requested: DataFrame, rubric_levels: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     """Result rows of the rules: label, reason from the rubric, evidence list."""
-    stats = name_stats(facts, keys)
-    features = program_features(stats, keys)
-    labels = label_programs(programs, features, requested, keys)
-    lists = concept_lists(evidence_items(facts, stats, features, keys, requested, by_concept=True), keys)
-    return with_reasons(labels.join(lists, [*keys, "key_concept"], "left"), rubric_levels).select(
+    about = program_evidence(facts, requested, keys).select(*keys, "features.*", "entries")
+    asked = programs.select(*keys).join(requested, RUN_KEY)
+    zeros = {name: 0 for name in FEATURES}
+    # Stored facts are far larger than their files, so no file size may have them broadcast.
+    known = asked.join(about.hint("merge"), keys, "left").fillna(zeros).withColumn("label", rule_label())
+    rows = known.withColumn("evidence", _listed(rule_sections()))
+    return with_reasons(rows, rubric_levels).select(
         *keys,
         "key_concept",
         F.lit("").alias("observations"),
@@ -443,3 +485,21 @@ def rule_rows(programs: DataFrame, facts: DataFrame, requested: DataFrame, rubri
         "label",
         "reason",
     )
+
+
+def rule_sections() -> Column:
+    """Evidence sections by (key_concept, tree_lesson), in their order; NULL where no rule is registered."""
+    result = F.lit(None).cast("array<string>")
+    for rule in RULES.values():
+        here = (F.col("key_concept") == rule.key_concept) & (F.col("tree_lesson") == rule.lesson)
+        result = F.when(here, F.array(*[F.lit(s) for s in rule.evidence]).cast("array<string>")).otherwise(result)
+    return result
+
+
+def _listed(sections: Column) -> Column:
+    """The texts of the entries of ``sections``, each at its first place."""
+    places = F.transform(
+        F.filter("entries", lambda e: F.array_contains(sections, e["section"])),
+        lambda e: F.struct(F.array_position(sections, e["section"]).alias("section_ord"), e["done"], e["inner_first"], e["text"].alias("text")),
+    )
+    return F.array_distinct(F.transform(F.array_sort(places), lambda e: e["text"]))
