@@ -416,8 +416,14 @@ def _trigger(test: Column, binary: Column) -> Column:
 
 
 def facts(programs: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
-    """Scan programs (key columns and ``code``) to facts."""
-    nested = blocks(statements(programs, keys), keys)
+    """Scan programs (key columns and ``code``) to facts.
+
+    The programs' texts move, not their statements, and to the session's number of shuffle
+    partitions: statements take many times the memory of the bytes that move, by whose
+    size partitions would be merged.
+    """
+    n = int(programs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nested = blocks(statements(programs.repartition(n, *keys), keys), keys)
     block, text = F.col("block"), F.col("text")
     head = F.nullif(F.regexp_extract(text, _LOOP_HEAD, 1), F.lit(""))
     function_value = F.nullif(F.regexp_extract(text, _FUNCTION_VALUE, 1), F.lit(""))

@@ -165,6 +165,7 @@ SECTIONS: dict[str, Callable[[], Column]] = {
     "function_definitions": _function_definitions,
     "function_calls": _function_calls,
 }
+_BITS = {section: 1 << n for n, section in enumerate(SECTIONS)}
 _MOVEMENT_SECTIONS = ("random_movement", "counter_movement")
 # Sections that show what is known of a name (``name_stats``) or counted in a program.
 _OF_OBJECTS = ("object_types", "total_objects", "sprites_and_others", "sprites", *_MOVEMENT_SECTIONS)
@@ -317,14 +318,13 @@ def label_programs(programs: DataFrame, features: DataFrame, requested: DataFram
 
 def evidence_items(
     facts: DataFrame, stats: DataFrame, features: DataFrame, keys: list[str] = STUDENT_KEY, requested: DataFrame | None = None,
-    sections: list[str] | None = None, by_concept: bool = False,
+    sections: list[str] | None = None,
 ) -> DataFrame:
     """Every message a section would give: one row per fact and section.
 
     With ``requested``, only the sections that the run's rules show are built, with
     ``sections`` only those named; ``stats`` and ``features`` are joined for sections
-    that show something of them. ``by_concept`` gives a message once for every requested
-    concept that shows it, with ``key_concept`` and ``section_ord``.
+    that show something of them.
     """
     built = list(SECTIONS) if sections is None else sections
     about = with_name_key(facts).where(F.col("ns").isNotNull())
@@ -348,15 +348,9 @@ def evidence_items(
         rows = rows if shown is None else rows.join(shown, RUN_KEY)
     if by_name:
         rows = _with_objects(rows)
-    shown_here = None if requested is None else lambda s: F.array_contains(F.col("shown.section"), s)
-    found = _messages(built, shown_here)
+    found = _messages(built, None if requested is None else _is_shown)
     place, own = [*keys, "seq", "done"], ["e.section", "e.start", "e.end", evidence_text(F.col("e")).alias("text")]
-    if not by_concept:
-        return rows.select(*place, F.explode(found).alias("e")).select(*place, *own)
-    shows = F.explode(F.filter("shown", lambda s: s["section"] == F.col("e.section"))).alias("s")
-    return rows.select(*place, "shown", F.explode(found).alias("e")).select(*place, "e", shows).select(
-        *place, *own, "s.key_concept", "s.section_ord"
-    )
+    return rows.select(*place, F.explode(found).alias("e")).select(*place, *own)
 
 
 def _with_objects(rows: DataFrame) -> DataFrame:
@@ -384,10 +378,14 @@ def _messages(built: Iterable[str], shown: Callable[[str], Column] | None) -> Co
 
 
 def _shown(requested: DataFrame) -> DataFrame:
-    """Per run the sections that its requested rules show, with concept and order."""
+    """Per run the sections that its requested rules show, as the bits of a number."""
     dim = F.broadcast(rule_dim(requested.sparkSession))  # a few dozen constant rows
-    asked = F.collect_set(F.struct("section", "key_concept", "section_ord"))
-    return requested.join(dim, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(asked.alias("shown"))
+    bits = F.element_at(F.create_map(*[F.lit(x) for pair in _BITS.items() for x in pair]), F.col("section")).cast("bigint")
+    return requested.join(dim, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(F.bit_or(bits).alias("shown"))
+
+
+def _is_shown(section: str) -> Column:
+    return F.col("shown").bitwiseAND(F.lit(_BITS[section]).cast("bigint")) != 0
 
 
 def looks_up(sections: Iterable[str]) -> bool:
@@ -439,23 +437,17 @@ def with_reasons(labels: DataFrame, rubric_levels: DataFrame) -> DataFrame:
     return labels.join(texts, key, "left").withColumn("reason", F.coalesce("reason", F.lit("")))
 
 
-_BITS = {section: 1 << n for n, section in enumerate(SECTIONS)}
-
-
 def program_evidence(facts: DataFrame, requested: DataFrame, keys: list[str] = STUDENT_KEY) -> DataFrame:
     """One row per program: its ``features`` and the ``entries`` of the sections that its run's rules show.
 
     The facts move once, by program; a run's sections are the bits of a number, which may
     be one of a table as long as the programs'.
     """
-    dim = F.broadcast(rule_dim(requested.sparkSession))  # a few dozen constant rows
-    bits = F.element_at(F.create_map(*[F.lit(x) for pair in _BITS.items() for x in pair]), F.col("section")).cast("bigint")
-    shown = requested.join(dim, ["key_concept", "tree_lesson"]).groupBy(*RUN_KEY).agg(F.bit_or(bits).alias("shown"))
-    rows = with_figures(facts.join(shown, RUN_KEY, "left"), keys).withColumns(
+    rows = with_figures(facts.join(_shown(requested), RUN_KEY, "left"), keys).withColumns(
         {"decl_seq": F.col("decl.seq"), "n_random": F.col("features.random"), "n_counter": F.col("features.counter")}
         | {name: F.col(f"features.{name}") for name in ("sprites", "shapes", "texts", "counted_shapes")}
     )
-    found = _messages(SECTIONS, lambda s: F.col("shown").bitwiseAND(F.lit(_BITS[s]).cast("bigint")) != 0)
+    found = _messages(SECTIONS, _is_shown)
     entries = F.transform(
         found,
         lambda e: F.struct(

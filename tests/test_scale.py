@@ -4,11 +4,13 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallymark.catalog import QUERIES, Inputs, plan_queries
 from tallymark.dims import RUN_KEY
 from tallymark.llm import pii
-from tallymark.operators import responses, rules
+from tallymark.operators import facts as scan
+from tallymark.operators import features, responses, rules
 from tallymark.plans import label
 
 
@@ -73,3 +75,22 @@ def test_texts_of_a_concept_have_their_first_place(spark):
 def test_rule_rows_group_evidence_once(inputs):
     found = rules.rule_rows(inputs.programs(), inputs.facts(), inputs.requested(), inputs.rubric_levels())
     assert "min(struct(section_ord" not in plan_of(found)  # a text's first place had a grouping of its own
+
+
+def test_rule_rows_read_the_facts_once(inputs, spark, tmp_path):
+    inputs.facts().write.parquet(f"{tmp_path}/facts")
+    facts, asked = spark.read.parquet(f"{tmp_path}/facts"), inputs.requested().localCheckpoint()
+    found = rules.rule_rows(inputs.programs(), facts, asked, inputs.rubric_levels())
+    # Once each for labels, names and counts, and once more for the messages, before.
+    assert len(re.findall(r"Relation \[[^]]*seen_draw", plan_of(found))) == 1
+    stats = features.name_stats(facts).localCheckpoint()
+    apart = rules.evidence_items(facts, stats, features.program_features(stats), requested=asked)
+    lists = rules.evidence_lists(rules.rule_evidence(apart, asked)).collect()
+    shown = {(r.student_id, r.key_concept): r.evidence for r in found.collect()}
+    assert {(r.student_id, r.key_concept): r.evidence for r in lists} == {k: v for k, v in shown.items() if v}
+    assert any(shown.values())
+
+
+def test_scanned_programs_are_not_merged_by_size(inputs):
+    scanned = scan.facts(inputs.programs()).select(F.spark_partition_id().alias("p"))
+    assert scanned.distinct().count() == 4  # the session's; merged into one task before
