@@ -24,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ LONGEST = 3  # words of an n-gram
 MIN_WORDS = 20
 PERCENT = 5
 SEED = 42
-CHUNK_BYTES = 2_000_000
+# Text that a task scans at one time; its words and arrays take about forty times as much.
+CHUNK_BYTES = 200_000
 
 # Every ASCII byte but letters and digits is a separator; A-Z becomes a-z.
 CLEAN = bytes(
@@ -151,12 +153,15 @@ def gram_crcs(texts: list[bytes | None], longest: int = LONGEST) -> tuple[np.nda
 
 
 def _chunks(batches, text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Slices of the batches with about ``CHUNK_BYTES`` of text; only a slice's texts are copied."""
     for batch in batches:
-        values, start, size = batch.column(text).to_pylist(), 0, 0
-        for at, value in enumerate(values):
-            size += len(value) if value else 0
-            if size >= CHUNK_BYTES or at + 1 == len(values):
-                yield batch.slice(start, at + 1 - start), values[start : at + 1]
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        start, size = 0, 0
+        for at, own in enumerate(sizes):
+            size += own
+            if size >= CHUNK_BYTES or at + 1 == len(sizes):
+                part = batch.slice(start, at + 1 - start)
+                yield part, part.column(text).to_pylist()
                 start, size = at + 1, 0
 
 

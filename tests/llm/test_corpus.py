@@ -3,10 +3,12 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from fixtures import ENGLISH, GERMAN, PASSAGE, TEXTS, documents, nobody, sorted_rows
@@ -49,6 +51,21 @@ def test_resampling(spark):
     assert sum(r[4] is not None for r in want) == 10
 
 
+def test_a_batch_is_scanned_in_small_parts():
+    resample.shifts()
+    texts = [b"The quick, brown fox jumps over a lazy dog: so it goes. " * 40, None, b""] * 2000
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["text"])
+    tracemalloc.start()
+    found = list(resample._bucket_batches([batch], 10_000, 3))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(found[0].column(1).to_pylist()) == 2000 * (3 * 480 - 3)
+    assert peak < 20_000_000  # of a batch of 4.5 MB; 85 MB for 2 MB at a time
+    slices = list(resample._chunks([batch.slice(3)], 0))
+    assert [t for _, part in slices for t in part] == texts[3:]
+    assert [part.num_rows for part, _ in slices] == [len(own) for _, own in slices]
+
+
 def test_resampling_with_a_third_of_equal_rows(spark):
     same = [(7, ENGLISH + " " + ENGLISH)] * 400
     rows = same + [(i, f"{GERMAN} {GERMAN} {i}") for i in range(100, 400)]
