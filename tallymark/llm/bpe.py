@@ -6,11 +6,12 @@ leftmost pair of the lowest rank. A merge changes three leaves (the pair, the on
 before and the swallowed one) and the nodes above them: a logarithmic update. It
 ends when the root holds no pair. Short pre-tokens of a chunk are merged together,
 one tree per row of an array; long ones each have a tree of their own. What was
-found for a pre-token is kept in the worker (bounded, see ``CACHED``).
+found for a pre-token is kept in the worker (bounded, see ``Memory``).
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import unicodedata
@@ -24,8 +25,11 @@ from pyspark.sql import DataFrame
 
 from tallymark.llm.common import arrow_map, text_chunks
 
-# Pre-tokens a worker remembers; beyond it the memory starts anew.
-CACHED = 75_000
+# What the younger part of a worker's memory may hold before it becomes the older one.
+CACHED_WORDS = 37_500
+CACHED_PRE_TOKENS = 75_000
+# Rows whose texts a task copies at one time.
+ROWS = 500
 # Longer pre-tokens (in bytes) get a tree of their own and are not remembered.
 SHORT = 64
 NONE = np.iinfo(np.int32).max
@@ -47,6 +51,32 @@ def byte_letters() -> list[str]:
     return letters
 
 
+class Memory:
+    """Entries of words in two parts, so that words in use outlive the rare ones.
+
+    With more than ``most`` words the younger part becomes the older one, which is
+    dropped; words that are met again move back to the younger part.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words without an entry; those with one are in the younger part now."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old, none = self.young, self.old, []
+        for word in words.difference(young):
+            entry = old.get(word)
+            if entry is None:
+                none.append(word)
+            else:
+                young[word] = entry
+        return none
+
+
 class WordBpe:
     """A tokenizer file with word ends (``</w>``), lower case and byte letters."""
 
@@ -66,10 +96,10 @@ class WordBpe:
         self.keys = np.array(sorted(self.rank_of), dtype=np.int64)
         self.ranks = np.array([self.rank_of[k] for k in self.keys.tolist()], dtype=np.int32)
         self.pattern = regex.compile(PRE_TOKEN)
+        self.lines = regex.compile(PRE_TOKEN + r"|\n")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         # Of pre-tokens and of words between white space: ids and decoded text.
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.known, self.words = Memory(CACHED_PRE_TOKENS), Memory(CACHED_WORDS)
 
     # ---- text -> pre-tokens ------------------------------------------------
 
@@ -79,10 +109,27 @@ class WordBpe:
         return list(chain.from_iterable([p] if i % 2 else self._plain(p) for i, p in enumerate(parts)))
 
     def _plain(self, text: str) -> list[str]:
+        return self.pattern.findall(self._normalised(text))
+
+    @staticmethod
+    def _normalised(text: str) -> str:
         if not text.isascii():
             # Lower case goes letter by letter: a final sigma has no form of its own.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.pattern.findall(text.lower())
+        return text.lower()
+
+    def pre_tokens_of(self, words: list[str]) -> list[list[str]]:
+        """Pre-tokens of words without white space, found in one text of a line each."""
+        marked = {at: self.pre_tokens(w) for at, w in enumerate(words) if "<|" in w}
+        lines: list[list[str]] = [[]]
+        for token in self.lines.findall(self._normalised("\n".join(words))):
+            if token == "\n":
+                lines.append([])
+            else:
+                lines[-1].append(token)
+        for at, pre_tokens in marked.items():
+            lines[at] = pre_tokens
+        return lines
 
     # ---- pre-tokens -> ids -------------------------------------------------
 
@@ -148,7 +195,9 @@ class WordBpe:
                     tree[r, n] = np.minimum(tree[r, 2 * n], tree[r, 2 * n + 1])
             row = row[tree[row, 1] < NONE]
         keep = symbols[:, :leaves] >= 0
-        return np.split(symbols[:, :leaves][keep], np.cumsum(keep.sum(axis=1))[:-1])
+        ids = symbols[:, :leaves][keep].astype("<u4")
+        bounds = [0, *np.cumsum(keep.sum(axis=1)).tolist()]
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def merge_long(self, word: bytes) -> np.ndarray:
         """Ids of one word of any length: the same tree, alone."""
@@ -206,7 +255,7 @@ class WordBpe:
         raw = [w.encode("utf-8", "replace") for w in new]
         short = [i for i, w in enumerate(raw) if len(w) <= SHORT]
         for i, ids in zip(short, self.merge_many([raw[i] for i in short])):
-            self.known[new[i]] = ids.astype("<u4").tobytes(), self.decode(ids.tolist())
+            self.known.young[new[i]] = ids.tobytes(), self.decode(ids.tolist())
         long = {mark: (np.array([i], "<u4").tobytes(), self.decode([i])) for mark, i in self.special.items()}
         for word, data in zip(new, raw):
             if len(data) > SHORT:
@@ -220,17 +269,23 @@ class WordBpe:
         White space ends a pre-token, so texts are looked up word by word; only
         words that the worker has not seen are normalised, split and merged.
         """
-        if len(self.known) > CACHED:
-            self.known.clear()
-        if len(self.words) > CACHED:
-            self.words.clear()
+        # Many small lists and no cycles are made: the collector would only walk the memory.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encoded(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encoded(self, texts: list[str]) -> list[tuple[bytes, str]]:
         split = [self._words(t) for t in texts]
-        new = list(set(chain.from_iterable(split)).difference(self.words))
-        inner = [self.pre_tokens(w) for w in new]
-        long = self._learn(set(chain.from_iterable(inner)).difference(self.known))
-        words = self.words
+        new = self.words.missing(set(chain.from_iterable(split)))
+        inner = self.pre_tokens_of(new)
+        long = self._learn(self.known.missing(set(chain.from_iterable(inner))))
+        words, known = self.words.young, self.known.young
         for word, pre_tokens in zip(new, inner):
-            words[word] = self._joined([self.known.get(p) or long[p] for p in pre_tokens])
+            words[word] = self._joined([known.get(p) or long[p] for p in pre_tokens])
         out = [self._joined([words[w] for w in parts]) for parts in split]
         for word in new:
             if len(word) > SHORT:
@@ -273,7 +328,9 @@ def load(path: str) -> WordBpe:
 
 def _encode_batches(batches, path: str, digests: bool) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
-    for batch, texts in text_chunks(batches, 1, 500_000):
+    # A few rows at a time, so that the texts of a batch are not all copied at once.
+    few = (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS))
+    for batch, texts in text_chunks(few, 1, 500_000):
         found = bpe.encode_texts(texts)
         counts = pa.array([len(ids) // 4 for ids, _ in found], pa.int64())
         if digests:

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import random
 import time
 import zlib
@@ -53,6 +54,28 @@ def test_bpe_of_no_rows(spark):
     assert bpe.encode(nobody(spark), WORD).count() == 0
 
 
+def test_frequent_words_outlive_rare_ones():
+    own, rare, learned = bpe.WordBpe(WORD), iter(range(10**9)), []
+    own.words, own.known = bpe.Memory(200), bpe.Memory(300)
+    merge = own.merge_many
+    own.merge_many = lambda words: learned.extend(words) or merge(words)  # type: ignore[method-assign]
+    frequent = "The quick, brown fox\u2019s na\u00efve ΣΑΣ <|endoftext|>jumps 12"
+    expected = bpe.WordBpe(WORD).encode_texts([frequent])
+    for _ in range(40):
+        texts = [frequent, " ".join(f"z{chr(97 + n % 26)}q{chr(97 + n // 26 % 26)}{chr(97 + n // 676)}x!" for n in itertools.islice(rare, 50))]
+        assert own.encode_texts(texts)[:1] == expected
+    assert learned.count(b"quick") == 1  # with a memory that starts anew it was learned again and again
+    assert len(own.known.young) + len(own.known.old) <= 2 * (300 + 70)
+    assert len(own.words.young) + len(own.words.old) <= 2 * (200 + 70)
+
+
+def test_words_are_split_alone_or_together():
+    own = bpe.WordBpe(WORD)
+    words = ["Don't", "a.b", "x" * 90, "ΌΔΟΣ", "e\u0301", "\u0301e", "<|endoftext|>", "<|no", "\u0130stanbul", "1999", "'s", "\x1c\x1d", "", "!"]
+    assert own.pre_tokens_of(words) == [own.pre_tokens(w) for w in words]
+    assert own.pre_tokens_of([]) in ([], [[]])
+
+
 def test_single_and_shared_trees_agree():
     own = bpe.load(WORD)
     words = [w.encode() for w in ("a", "the", "internationalization", "zzzzzzzz", "straße", "x" * 64)]
